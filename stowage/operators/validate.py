@@ -28,7 +28,38 @@ MEMBER_RULES = (
 )
 # ---- end of fixed values ----------------------------------------------------
 
-_VERDICT = "struct<phase:int,member_idx:bigint,rule:int,reason:string>"
+# A violation is one number, so the smallest per bundle is a codegen hash
+# aggregate: phase, then member position, then rule.
+_PHASE_UNIT, _MEMBER_UNIT = 1 << 58, 1 << 3
+
+
+def _code(phase: int, rule: Column | int, member_idx: Column | None = None) -> Column:
+    at = F.col("member_idx").cast("long") if member_idx is None else member_idx
+    return (F.lit(phase * _PHASE_UNIT).cast("long") + at * F.lit(_MEMBER_UNIT) + rule).cast("long")
+
+
+def _reason(phase: Column, rule: Column) -> Column:
+    by_rule = F.element_at(F.array(*[F.lit(r) for r in MEMBER_RULES]), (rule + 1).cast("int"))
+    return (
+        F.when(phase == PHASE_DECLARED, "too_many_files")
+        .when(phase == PHASE_MEMBER, by_rule)
+        .when(phase == PHASE_TEXT, "not_text")
+        .when(phase == PHASE_HASH, "hash_mismatch")
+    )
+
+
+def decoded(code: Column) -> dict[str, Column]:
+    """Phase, place and reason of a packed violation; all null when there is none."""
+    phase = F.shiftright(code, 58).cast("int")
+    inside = code.bitwiseAND(F.lit(_PHASE_UNIT - 1).cast("long"))
+    whole_bundle = (phase == PHASE_DECLARED) | (
+        (phase == PHASE_HASH) & (inside >= F.lit(_PHASE_UNIT - _MEMBER_UNIT).cast("long"))
+    )
+    return {
+        "phase": phase,
+        "at_member": F.when(~whole_bundle, F.shiftright(inside, 3)),
+        "reason": _reason(phase, inside.bitwiseAND(F.lit(7).cast("long"))),
+    }
 
 
 def checked_members(members: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -49,16 +80,6 @@ def checked_members(members: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return members.filter("member_type <> 'dir'").withColumns(derived).drop("content")
 
 
-def _verdict(phase: int, rule: Column | int, reason: Column | str) -> Column:
-    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        F.lit(phase).alias("phase"),
-        F.col("member_idx").cast("long").alias("member_idx"),
-        as_column(rule).cast("int").alias("rule"),
-        as_column(reason).alias("reason"),
-    ).cast(_VERDICT)
-
-
 def member_order(keys: tuple[str, ...] = BUNDLE, width: int = SLICE_MEMBERS) -> SlicedOrder:
     return SlicedOrder(keys, by_number("member_idx", width), ("member_idx",))
 
@@ -81,7 +102,8 @@ def latest_manifest_entries(
     )
 
 
-def _first_violation(limits: Limits, hash_known: bool) -> Column:
+def _content_violation(limits: Limits) -> Column:
+    """Packed violation of a member by the rules that need no manifest."""
     broken = {
         "path_unsafe": F.col("path_unsafe"),
         "too_many_files": F.col("running_files") > limits.max_files,
@@ -89,16 +111,10 @@ def _first_violation(limits: Limits, hash_known: bool) -> Column:
         "file_too_large": F.col("size_bytes") > limits.max_file_bytes,
         "bundle_too_large": F.col("running_bytes") > limits.max_bundle_bytes,
     }
-    rule_no, reason = F, F
+    found = F
     for number, name in enumerate(MEMBER_RULES):
-        rule_no = rule_no.when(broken[name], F.lit(number))
-        reason = reason.when(broken[name], F.lit(name))
-    found = F.when(reason.isNotNull(), _verdict(PHASE_MEMBER, rule_no, reason))
-    found = found.when(F.col("has_nul"), _verdict(PHASE_TEXT, 0, "not_text"))
-    if hash_known:
-        bad = ~F.col("declared.sha256").eqNullSafe(F.col("sha256"))
-        found = found.when(bad, _verdict(PHASE_HASH, 0, "hash_mismatch"))
-    return found
+        found = found.when(broken[name], _code(PHASE_MEMBER, number))
+    return found.when(F.col("has_nul"), _code(PHASE_TEXT, 0))
 
 
 def member_findings(
@@ -111,13 +127,27 @@ def member_findings(
     """Each member with the earliest rule it breaks, null when it breaks none.
 
     A member's own earliest rule is enough: the smallest over the bundle is the
-    bundle's first violation.
+    bundle's first violation.  Members already found at fault need no digest
+    check, so they join on their position and not on their path; what is left
+    is at most `max_files` rows per bundle, whatever the bundle's size.
     """
-    rows = with_running_totals(checked, keys, width)
-    if manifest_files is not None:
-        entries = latest_manifest_entries(manifest_files, keys)
-        rows = rows.join(entries, [*keys, "relative_path"], "left")
-    return rows.withColumn("violation", _first_violation(limits, manifest_files is not None))
+    rows = with_running_totals(checked, keys, width).withColumn(
+        "violation", _content_violation(limits)
+    )
+    if manifest_files is None:
+        return rows
+    entries = latest_manifest_entries(manifest_files, keys).withColumnRenamed(
+        "relative_path", "_lookup"
+    )
+    at_fault = F.col("violation").isNotNull()
+    position = F.concat(F.lit("//"), F.col("member_idx").cast("string"))
+    wrong = ~F.col("declared.sha256").eqNullSafe(F.col("sha256"))
+    return (
+        rows.withColumn("_lookup", F.when(at_fault, position).otherwise(F.col("relative_path")))
+        .join(entries, [*keys, "_lookup"], "left")
+        .withColumn("violation", F.when(at_fault, F.col("violation")).when(wrong, _code(PHASE_HASH, 0)))
+        .drop("_lookup")
+    )
 
 
 def bundle_verdicts(
@@ -128,73 +158,72 @@ def bundle_verdicts(
     width: int = SLICE_MEMBERS,
     strict_missing: bool = False,
 ) -> DataFrame:
-    """One row per bundle: accepted, or the reason and place of the first violation.
-
-    `strict_missing` also rejects a bundle that lacks a declared file.
-    """
+    """One row per bundle: accepted, or the reason and place of the first violation."""
     checked = checked_members(members, limits)
     findings = member_findings(checked, manifest_files, limits, keys, width)
+    return verdicts_from(findings, manifest_files, limits, keys, strict_missing)
+
+
+def verdicts_from(
+    findings: DataFrame,
+    manifest_files: DataFrame | None,
+    limits: Limits = Limits(),
+    keys: tuple[str, ...] = BUNDLE,
+    strict_missing: bool = False,
+) -> DataFrame:
+    """Reduce member findings to verdicts.
+
+    A bundle known only from its manifest counts as empty.  `strict_missing`
+    also rejects a bundle that lacks a declared file.
+    """
     per_bundle = findings.groupBy(*keys).agg(
-        F.min("violation").alias("violation"),
+        F.min("violation").alias("code"),
         F.count(F.lit(1)).alias("n_members"),
         F.sum("size_bytes").alias("n_bytes"),
     )
+    code = F.col("code")
     if manifest_files is not None:
         declared = manifest_files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_declared"))
         per_bundle = per_bundle.join(declared, list(keys), "full_outer")
-        too_many = F.when(
-            F.col("n_declared") > limits.max_files,
-            F.struct(
-                F.lit(PHASE_DECLARED).alias("phase"),
-                F.lit(-1).cast("long").alias("member_idx"),
-                F.lit(0).alias("rule"),
-                F.lit("too_many_files").alias("reason"),
-            ).cast(_VERDICT),
-        )
-        per_bundle = per_bundle.withColumn("violation", F.coalesce(too_many, F.col("violation")))
+        declared_over = F.col("n_declared") > limits.max_files
+        code = F.when(declared_over, _code(PHASE_DECLARED, 0, F.lit(0))).otherwise(code)
         if strict_missing:
             lacking = (
-                undeclared_and_missing(checked, manifest_files, keys)
+                undeclared_and_missing(findings, manifest_files, keys)
                 .filter("side = 'missing'")
                 .select(*keys)
                 .distinct()
                 .withColumn("_lacks", F.lit(True))
             )
-            missing = F.when(
-                F.col("_lacks"),
-                F.struct(
-                    F.lit(PHASE_HASH).alias("phase"),
-                    F.lit(-1).cast("long").alias("member_idx"),
-                    F.lit(1).alias("rule"),
-                    F.lit("hash_mismatch").alias("reason"),
-                ).cast(_VERDICT),
-            )
-            per_bundle = per_bundle.join(lacking, list(keys), "left").withColumn(
-                "violation", F.coalesce(F.col("violation"), missing)
-            ).drop("_lacks")
-    return per_bundle.select(
+            per_bundle = per_bundle.join(lacking, list(keys), "left")
+            end = _code(PHASE_HASH, 0, F.lit(_PHASE_UNIT // _MEMBER_UNIT - 1).cast("long"))
+            code = F.coalesce(code, F.when(F.col("_lacks"), end))
+    parts = decoded(F.col("code"))
+    return per_bundle.withColumn("code", code).select(
         *keys,
-        F.col("violation").isNull().alias("accepted"),
-        F.col("violation.reason").alias("reason"),
-        F.col("violation.phase").alias("phase"),
-        F.col("violation.member_idx").alias("at_member"),
+        F.col("code").isNull().alias("accepted"),
+        *[value.alias(name) for name, value in parts.items()],
         F.coalesce("n_members", F.lit(0)).cast("long").alias("n_members"),
         F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"),
     )
 
 
 def accepted_members(
-    checked: DataFrame,
+    findings: DataFrame,
     verdicts: DataFrame,
+    limits: Limits = Limits(),
     keys: tuple[str, ...] = BUNDLE,
 ) -> DataFrame:
     """Members of accepted bundles; a rejected bundle loses every member.
 
-    The verdict decides first: accepted bundles are within the file cap, so
-    each key on the lookup side matches a bounded number of rows here.
+    A member with a finding of its own, or past the file cap, is in a rejected
+    bundle already, so the join sees at most `max_files` rows per bundle.
     """
     accepted = verdicts.filter("accepted").select(*keys)
-    return checked.join(accepted, list(keys), "left_semi")
+    open_rows = findings.filter(
+        F.col("violation").isNull() & (F.col("running_files") <= limits.max_files)
+    )
+    return open_rows.join(accepted, list(keys), "left_semi")
 
 
 def undeclared_and_missing(
