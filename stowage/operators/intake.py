@@ -21,6 +21,10 @@ ATTEMPT = ("attempt_id",)
 
 
 # -- who ----------------------------------------------------------------------
+def token_ok() -> Column:
+    return F.coalesce(F.sha2("token", 256) == F.col("token_sha"), F.lit(False))
+
+
 def authenticate(attempts: DataFrame, senders: DataFrame) -> DataFrame:
     """Add auth_ok: the sender is allowed and the token is its token.
 
@@ -29,9 +33,7 @@ def authenticate(attempts: DataFrame, senders: DataFrame) -> DataFrame:
     """
     known = senders.select("sender_id", "token_sha")
     return (
-        attempts.join(known, "sender_id", "left")
-        .withColumn("auth_ok", F.coalesce(F.sha2("token", 256) == F.col("token_sha"), F.lit(False)))
-        .drop("token_sha")
+        attempts.join(known, "sender_id", "left").withColumn("auth_ok", token_ok()).drop("token_sha")
     )
 
 
@@ -41,10 +43,8 @@ def header_match(attempts: DataFrame, sender: Column, bundle: Column) -> DataFra
     return attempts.withColumn("header_ok", same)
 
 
-def within_body_cap(arrivals: DataFrame, limits: Limits = Limits()) -> Column:
-    size = "length" if "length" in arrivals.columns else None
-    bytes_in = F.col(size) if size else F.octet_length("archive") + F.octet_length("manifest")
-    return bytes_in <= limits.max_bundle_bytes
+def within_body_cap(body_bytes: Column, limits: Limits = Limits()) -> Column:
+    return body_bytes <= limits.max_bundle_bytes
 
 
 # -- what is new --------------------------------------------------------------
@@ -153,13 +153,16 @@ def gate(
 ) -> DataFrame:
     """Checks before the content is looked at, in the order they apply.
 
-    `senders` has sender_id, token_sha, ipad and opad.  Adds the parsed manifest
-    `m` and `early`, the status and reason that ended the attempt, or null.
+    `senders` has sender_id, token_sha, ipad and opad.  `arrivals` went through
+    `described`, so the archive bytes are not carried along.  Adds the parsed
+    manifest `m` and `early`, the status and reason that ended the attempt, or
+    null.
     """
-    attempts = authenticate(arrivals, senders)
-    keyed = attempts.join(senders.select("sender_id", "ipad", "opad"), "sender_id", "left")
+    known = arrivals.join(
+        senders.select("sender_id", "token_sha", "ipad", "opad"), "sender_id", "left"
+    ).withColumn("auth_ok", token_ok())
     seen = stored.select(*BUNDLE).distinct().withColumn("_stored", F.lit(True))
-    looked_up = keyed.join(seen, list(BUNDLE), "left")
+    looked_up = known.join(seen, list(BUNDLE), "left")
     read = manifests.read_manifests(looked_up)
     signed = digests.signature_matches(
         F.col("manifest"), F.col("signature"), F.col("ipad"), F.col("opad")
@@ -173,12 +176,14 @@ def gate(
     early = (
         F.when(~F.col("auth_ok"), ended("refused", "auth"))
         .when(F.col("_stored"), ended("replay", F.lit(None).cast("string")))
-        .when(~within_body_cap(arrivals, limits), ended("refused", "body_too_large"))
+        .when(~within_body_cap(F.col("body_bytes"), limits), ended("refused", "bundle_too_large"))
         .when(~signed, ended("refused", "auth"))
         .when(F.col("manifest_reason").isNotNull(), ended("refused", F.col("manifest_reason")))
         .when(~F.col("header_ok"), ended("refused", "auth"))
     )
-    return matched.withColumn("early", early).drop("ipad", "opad", "_stored", "token")
+    return matched.withColumn("early", early).drop(
+        "ipad", "opad", "token_sha", "_stored", "token", "manifest"
+    )
 
 
 def accept_bundles(
@@ -270,11 +275,21 @@ def accept_bundles(
     return Intake(outcomes, accepted, receipts, audit)
 
 
-def with_receipt_digest(arrivals: DataFrame) -> DataFrame:
-    """Add receipt_sha256 and byte_count while the archive bytes are at hand."""
+def described(arrivals: DataFrame) -> DataFrame:
+    """Arrivals without their archive: its digest and sizes take its place.
+
+    Done on the scan, so archive bytes never enter a shuffle.
+    """
     return arrivals.withColumns(
         {
             "receipt_sha256": digests.receipt_digest(F.col("manifest"), F.col("archive")),
             "byte_count": F.octet_length("archive").cast("long"),
+            "body_bytes": (F.octet_length("archive") + F.octet_length("manifest")).cast("long"),
         }
-    )
+    ).drop("archive")
+
+
+def archives_to_open(arrivals: DataFrame, gated: DataFrame) -> DataFrame:
+    """Archives of the attempts that passed the gate, nothing else is opened."""
+    passed = gated.filter("early IS NULL").select("attempt_id")
+    return arrivals.select("attempt_id", "archive").join(passed, "attempt_id", "left_semi")
