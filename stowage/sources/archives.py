@@ -117,7 +117,7 @@ def _first_header_ok(stream) -> bool:
     if not head:
         return True
     try:
-        tarfile.open(fileobj=io.BytesIO(head + b"..."), mode="r:").close()
+        tarfile.open(fileobj=io.BytesIO(head + b"..."), mode="r").close()
     except Exception:  # noqa: BLE001
         return False
     return True
@@ -125,7 +125,7 @@ def _first_header_ok(stream) -> bool:
 
 def _all_headers_ok(stream) -> bool:
     try:
-        with tarfile.open(fileobj=stream, mode="r|") as tar:
+        with tarfile.open(fileobj=stream, mode="r|*") as tar:
             for _ in tar:
                 pass
     except Exception:  # noqa: BLE001
