@@ -123,10 +123,11 @@ def first_root_wins(files: DataFrame) -> DataFrame:
 
 
 # -- folders ------------------------------------------------------------------
-_COUNTS = {
-    "descendant_files": F.lit(1).cast("long"),
-    "selectable_files": F.col("toggleable").cast("long"),
-}
+_COUNTS = ("descendant_files", "selectable_files")
+
+
+def _counted() -> dict[str, Column]:
+    return dict(zip(_COUNTS, (F.lit(1).cast("long"), F.col("toggleable").cast("long"))))
 
 
 def folder_rollup(
@@ -144,10 +145,10 @@ def folder_rollup(
     kept = first_root_wins(narrow).drop("absolute_path")
     keys = ["root", "root_ord"]
     if consistent_counts:
-        rolled = spread.ancestors_with_counts(kept, keys, "relative_path", _COUNTS)
+        rolled = spread.ancestors_with_counts(kept, keys, "relative_path", _counted())
     else:
-        nested = spread.ancestors_with_counts(narrow, keys, "relative_path", _COUNTS)
-        tops = kept.groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in _COUNTS.items()])
+        nested = spread.ancestors_with_counts(narrow, keys, "relative_path", _counted())
+        tops = kept.groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in _counted().items()])
         every_root = nested.filter("folder = ''").select(*keys)
         rolled = nested.filter("folder <> ''").unionByName(
             every_root.join(tops, keys, "left")

@@ -21,7 +21,8 @@ def _bucketed(df: DataFrame, spread_by: list[str], copies: int) -> DataFrame:
 
 
 def _repeated(df: DataFrame, copies: int) -> DataFrame:
-    return df.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).cast("long"))
+    buckets = F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))
+    return df.withColumn("_bucket", F.explode(buckets))
 
 
 def spread_semi(
