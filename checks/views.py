@@ -15,6 +15,7 @@ from stowage.schemas import Limits
 
 FILE_LIMITS = Limits(max_file_bytes=16384)
 BUNDLE_LIMITS = Limits(max_file_bytes=2000, max_bundle_bytes=3000, max_files=6)
+STREAM_LIMITS = Limits(max_file_bytes=2000, max_bundle_bytes=200_000, max_files=6)
 LARGE_LIMITS = Limits(max_file_bytes=490_000, max_bundle_bytes=1_500_000, max_files=12)
 NOW = 1706659200
 RECEIVED = "2024-02-01 06:07:08"
@@ -218,30 +219,33 @@ _RULES = """
        WHEN lower(regexp_extract(regexp_extract(relative_path, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) <> '.log' THEN 2
        WHEN size_bytes > {file} THEN 3 WHEN running_bytes > {bundle} THEN 4 END"""
 _NAMES = "CASE rule WHEN 0 THEN 'path_unsafe' WHEN 1 THEN 'too_many_files' WHEN 2 THEN 'ext_not_allowed' WHEN 3 THEN 'file_too_large' WHEN 4 THEN 'bundle_too_large' END"
-_B = BUNDLE_LIMITS
 
 SQL["running"] = """
 SELECT *, member_type <> 'file' OR name LIKE '../%' OR name LIKE '%/../../%' AS path_unsafe,
   row_number() OVER w AS running_files, CAST(sum(size_bytes) OVER w AS BIGINT) AS running_bytes
 FROM regular WINDOW w AS (PARTITION BY sender_id, bundle_id ORDER BY member_idx)"""
 
-SQL["findings"] = f"""
+
+def _findings_sql(b: Limits) -> str:
+    return f"""
 SELECT r.*, d.sha256 AS declared_sha,
   CASE WHEN rule IS NOT NULL THEN 1 WHEN strpos(content, chr(0)) BETWEEN 1 AND 8192 THEN 2
        WHEN d.sha256 IS DISTINCT FROM r.sha256 THEN 3 END AS phase,
   CASE WHEN rule IS NOT NULL THEN {_NAMES} WHEN strpos(content, chr(0)) BETWEEN 1 AND 8192 THEN 'not_text'
        WHEN d.sha256 IS DISTINCT FROM r.sha256 THEN 'hash_mismatch' END AS reason
-FROM (SELECT *, {_RULES.format(files=_B.max_files, file=_B.max_file_bytes, bundle=_B.max_bundle_bytes)} AS rule FROM running) r
+FROM (SELECT *, {_RULES.format(files=b.max_files, file=b.max_file_bytes, bundle=b.max_bundle_bytes)} AS rule FROM running) r
 LEFT JOIN (SELECT sender_id, bundle_id, relative_path, arg_max(sha256, idx) AS sha256 FROM manifest_files GROUP BY ALL) d
   USING (sender_id, bundle_id, relative_path)"""
 
-SQL["verdicts"] = f"""
+
+def _verdicts_sql(b: Limits) -> str:
+    return f"""
 SELECT sender_id, bundle_id,
-  CASE WHEN coalesce(n_declared, 0) > {_B.max_files} THEN 'too_many_files' ELSE m.reason END AS reason,
-  CAST(CASE WHEN coalesce(n_declared, 0) > {_B.max_files} THEN 0 ELSE m.phase END AS INTEGER) AS phase,
-  CASE WHEN coalesce(n_declared, 0) > {_B.max_files} THEN NULL ELSE m.at_member END AS at_member,
+  CASE WHEN coalesce(n_declared, 0) > {b.max_files} THEN 'too_many_files' ELSE m.reason END AS reason,
+  CAST(CASE WHEN coalesce(n_declared, 0) > {b.max_files} THEN 0 ELSE m.phase END AS INTEGER) AS phase,
+  CASE WHEN coalesce(n_declared, 0) > {b.max_files} THEN NULL ELSE m.at_member END AS at_member,
   CAST(coalesce(n_members, 0) AS BIGINT) AS n_members, CAST(coalesce(n_bytes, 0) AS BIGINT) AS n_bytes,
-  coalesce(n_declared, 0) <= {_B.max_files} AND m.phase IS NULL AS accepted
+  coalesce(n_declared, 0) <= {b.max_files} AND m.phase IS NULL AS accepted
 FROM (
   SELECT a.sender_id, a.bundle_id, n_members, n_bytes, v.reason, v.phase, v.member_idx AS at_member
   FROM (SELECT sender_id, bundle_id, count(*) AS n_members, sum(size_bytes) AS n_bytes FROM findings GROUP BY ALL) a
@@ -250,6 +254,11 @@ FROM (
     ON v.sender_id = a.sender_id AND v.bundle_id = a.bundle_id AND v.rn = 1
 ) m FULL JOIN (SELECT sender_id, bundle_id, count(*) AS n_declared FROM manifest_files GROUP BY ALL) d USING (sender_id, bundle_id)"""
 
+
+SQL["findings"] = _findings_sql(BUNDLE_LIMITS)
+SQL["verdicts"] = _verdicts_sql(BUNDLE_LIMITS)
+# The same rules with the limits of the streaming queries.
+STREAM_SQL = {"findings": _findings_sql(STREAM_LIMITS), "verdicts": _verdicts_sql(STREAM_LIMITS)}
 BUNDLE_VIEWS = ("members", "regular", "manifest_files", "running", "findings", "verdicts")
 
 # -- audit --------------------------------------------------------------------
