@@ -245,22 +245,19 @@ def fan_out_copy(spark, sf):
 STREAM_LIMITS = V.STREAM_LIMITS
 
 
-def _arrivals(spark, sf, again: bool):
-    """Uploads of all bundles; the first time some tokens are wrong."""
+def _arrivals(spark, sf):
+    """Uploads of all bundles; some tokens are wrong, some signatures do not hold."""
     members = _sent(spark, sf)
     declared = V.manifest_files(members).withColumnRenamed("idx", "member_idx").withColumn("mtime", F.lit(V.NOW))
     manifests, _ = manifest.build_manifests(declared, F.lit("2024-01-31T00:00:00Z"), F.lit("/var/log"))
-    pads = V.senders(members)
-    signed = manifest.sign(manifests, pads)
+    signed = manifest.sign(manifests, V.senders(members))
     packed, _ = _packed(spark, sf, limits=Limits())
     conv = F.substring("bundle_id", 2, 20).cast("long")
-    wrong = F.lit(False) if again else (conv % 11 == 0)
-    token = F.when(wrong, "stolen").otherwise(F.concat(F.lit("token-"), "sender_id"))
     claimed = F.when(conv % 17 == 0, F.concat("signature", F.lit("0"))).otherwise(F.col("signature"))
     rows = packed.join(signed, KEYS).select(
-        (conv + (1_000_000 if again else 0)).alias("attempt_id"),
+        conv.alias("attempt_id"),
         *KEYS,
-        token.alias("token"),
+        F.when(conv % 11 == 0, "stolen").otherwise(F.concat(F.lit("token-"), "sender_id")).alias("token"),
         claimed.alias("signature"),
         F.lit("10.0.0.1").alias("remote_addr"),
         F.col("manifest").cast("binary").alias("manifest"),
@@ -270,11 +267,15 @@ def _arrivals(spark, sf, again: bool):
 
 
 def run_stream(spark, sf):
-    """Land all bundles, take them in, land them again, take those in."""
+    """Land all bundles, take them in, land them again with good tokens, take those in."""
     root = fresh_folder(spark, "intake")
     senders = through_table(V.senders(V.members(spark, sf)), "senders")
-    for again in (False, True):
-        _arrivals(spark, sf, again).write.mode("append").parquet(f"{root}/landing")
+    first = through_table(_arrivals(spark, sf), "arrivals")
+    second = first.withColumns(
+        {"attempt_id": F.col("attempt_id") + 1_000_000, "token": F.concat(F.lit("token-"), "sender_id")}
+    )
+    for uploads in (first, second):
+        uploads.write.mode("append").parquet(f"{root}/landing")
         intake_stream.run_available(
             spark,
             f"{root}/landing",
@@ -344,7 +345,7 @@ def audit_every_attempt(spark, sf):
     """Audit input that also records attempts refused before validation."""
     from stowage.operators import intake
 
-    arrivals = through_table(_arrivals(spark, sf, False), "arrivals")
+    arrivals = through_table(_arrivals(spark, sf), "arrivals")
     senders = V.senders(V.members(spark, sf))
     none_stored = senders.filter(F.lit(False)).select("sender_id", F.lit("").alias("bundle_id"))
     gated = through_table(
@@ -354,6 +355,6 @@ def audit_every_attempt(spark, sf):
         intake.archives_to_open(arrivals, gated), ["attempt_id"], "gzip", STREAM_LIMITS.max_file_bytes
     )
     result = intake.accept_bundles(
-        gated, members, F.lit(V.RECEIVED).cast("timestamp"), STREAM_LIMITS, audit_all=True
+        gated, members, F.lit(V.RECEIVED).cast("timestamp"), STREAM_LIMITS, audit_all=True, stage=through_table
     )
     return result.audit.select("attempt_id", "event", "reject_reason")

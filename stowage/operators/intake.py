@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -193,6 +194,7 @@ def accept_bundles(
     limits: Limits = Limits(),
     audit_all: bool = False,
     width: int = validate.SLICE_MEMBERS,
+    stage: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> Intake:
     """Judge every attempt that passed the gate and shape what is to be stored.
 
@@ -200,11 +202,18 @@ def accept_bundles(
     attempts that passed, keyed by attempt_id.  Attempts are judged one by one;
     of several accepted attempts of one bundle the earliest is stored and later
     ones are replays.  `audit_all` also records attempts the gate ended.
+    `stage` may store a frame that several results are made from; with a written
+    table every archive is opened once.
     """
     passed = gated.filter("early IS NULL")
     entries = manifests.manifest_entries(passed, ATTEMPT)
     checked = validate.checked_members(members, limits)
-    findings = validate.member_findings(checked, entries, limits, ATTEMPT, width)
+    findings = stage(
+        validate.member_findings(checked, entries, limits, ATTEMPT, width).select(
+            "attempt_id", "member_idx", "relative_path", "sha256", "size_bytes", "running_files", "violation"
+        ),
+        "findings",
+    )
     verdicts = validate.verdicts_from(findings, entries, limits, ATTEMPT)
     heads = gated.select("attempt_id", *BUNDLE, "remote_addr", "early", "receipt_sha256", "byte_count")
     judged = heads.join(verdicts, "attempt_id", "left").withColumn(
@@ -240,6 +249,7 @@ def accept_bundles(
         "byte_count",
         "receipt_sha256",
     )
+    outcomes = stage(outcomes, "outcomes")
     kept = outcomes.filter("status = 'accept'").select("attempt_id", *BUNDLE)
     open_rows = findings.filter(
         F.col("violation").isNull() & (F.col("running_files") <= limits.max_files)

@@ -65,12 +65,18 @@ def batch_writer(
         )
         opened = intake.archives_to_open(batch, gated)
         members = read_members(opened, ["attempt_id"], "gzip", limits.max_file_bytes)
-        result = intake.accept_bundles(gated, members, received_at, limits, audit_all)
-        outcomes = through_table(result.outcomes, f"outcomes-{batch_id}")
+        result = intake.accept_bundles(
+            gated,
+            members,
+            received_at,
+            limits,
+            audit_all,
+            stage=lambda df, label: through_table(df, f"{label}-{batch_id}"),
+        )
         tables.write_batch(result.accepted, f"{root}/members", batch_id)
         tables.write_batch(result.receipts, f"{root}/receipts", batch_id)
         _extend_audit(spark, result.audit, root, batch_id)
-        tables.write_batch(outcomes, f"{root}/outcomes", batch_id)
+        tables.write_batch(result.outcomes, f"{root}/outcomes", batch_id)
 
     return write
 
