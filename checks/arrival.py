@@ -167,7 +167,7 @@ def _accepted(spark, sf):
     members = V.members(spark, sf)
     declared = V.manifest_files(members)
     checked = validate.checked_members(members, V.BUNDLE_LIMITS)
-    findings = validate.member_findings(checked, declared, V.BUNDLE_LIMITS)
+    findings = through_table(validate.member_findings(checked, declared, V.BUNDLE_LIMITS), "findings")
     verdicts = validate.verdicts_from(findings, declared, V.BUNDLE_LIMITS)
     return validate.accepted_members(findings, verdicts, V.BUNDLE_LIMITS)
 

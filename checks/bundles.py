@@ -9,6 +9,7 @@ from checks.registry import register
 from stowage.functions import canonical, digests, ids
 from stowage.operators import intake, manifest, validate
 from stowage.schemas import Limits
+from stowage.session import through_table
 from stowage.sinks import tables
 
 KEYS = list(validate.BUNDLE)
@@ -116,6 +117,7 @@ def member_findings(spark, sf):
 
 def _accepted(spark, sf):
     findings, declared = _findings(spark, sf)
+    findings = through_table(findings, "findings")
     verdicts = validate.verdicts_from(findings, declared, V.BUNDLE_LIMITS)
     return validate.accepted_members(findings, verdicts, V.BUNDLE_LIMITS)
 

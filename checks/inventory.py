@@ -90,7 +90,7 @@ SELECT root, root_ord, CASE WHEN folder = '' THEN regexp_extract(root, '[^/]*$')
 )
 def folder_rollup(spark, sf):
     """Recursive and selectable file counts of every folder."""
-    return inventory.folder_rollup(_checked(spark, sf)).drop("folder")
+    return inventory.folder_rollup(_checked(spark, sf), roots=["/data"]).drop("folder")
 
 
 @register(
@@ -109,7 +109,7 @@ def folder_rollup(spark, sf):
 )
 def folder_rollup_two_roots(spark, sf):
     """Overlapping roots: a later root counts only files not yet listed."""
-    return inventory.folder_rollup(_two_roots(spark, sf)).drop("folder")
+    return inventory.folder_rollup(_two_roots(spark, sf), roots=["/data", "/data/src3"]).drop("folder")
 
 
 @register(
@@ -223,7 +223,7 @@ FROM file_folders WHERE mtime >= {V.NOW} - 28800 GROUP BY folder""",
 def window_filter(spark, sf):
     """Folders after a trailing window: empty ones are gone, counts are new."""
     recent = inventory.in_window(_checked(spark, sf), "8H ", F.lit(V.NOW))
-    return inventory.folder_rollup(recent).select("relative_path", "descendant_files", "selectable_files")
+    return inventory.folder_rollup(recent, roots=["/data"]).select("relative_path", "descendant_files", "selectable_files")
 
 
 @register(
@@ -253,7 +253,7 @@ def expand_selection(spark, sf):
     folders = checked.filter("source = 'src1' OR (source = 'src2' AND lang = 'en')").select(
         "root", F.when(F.col("source") == "src1", "src1").otherwise("src2/en").alias("relative_path")
     )
-    return inventory.expand_selection(checked, folders, named).select("root", "relative_path")
+    return inventory.expand_selection(checked, folders, named, ["/data"]).select("root", "relative_path")
 
 
 @register(
@@ -273,7 +273,7 @@ WHERE toggleable AND (relative_path IN (SELECT source || '/' || lang FROM labels
 def select_by_list(spark, sf):
     """Entries whose path or last name is in a list."""
     checked = _checked(spark, sf)
-    entries = inventory.tree(checked, inventory.folder_rollup(checked))
+    entries = inventory.tree(checked, inventory.folder_rollup(checked, roots=["/data"]))
     labels = V.table(spark, sf, "labels")
     docs = V.table(spark, sf, "documents").select("doc_id", "source", "lang")
     wanted = (
@@ -368,7 +368,7 @@ def human_sizes(spark, sf):
 def preorder_tree(spark, sf):
     """Folder, its files, then its sub-folders, by one sort key."""
     checked = _checked(spark, sf)
-    entries = inventory.tree(checked, inventory.folder_rollup(checked))
+    entries = inventory.tree(checked, inventory.folder_rollup(checked, roots=["/data"]))
     return inventory.in_tree_order(entries).select(
         "kind", "relative_path", F.replace("tree_key", F.lit("\u0001"), F.lit("|")).alias("tree_key")
     )

@@ -6,6 +6,8 @@ seconds) and, where a probe is asked for, content.  Paths are normalised.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,19 +109,42 @@ def absolute_path() -> Column:
     return F.concat_ws("/", F.col("root"), F.col("relative_path"))
 
 
-def first_root_wins(files: DataFrame) -> DataFrame:
+def overlapping_roots(roots: Sequence[str]) -> list[str]:
+    """Roots that hold, lie in or repeat another root of the same scan."""
+    tops = [r.rstrip("/") for r in roots]
+    return sorted(
+        {
+            a
+            for i, a in enumerate(tops)
+            for j, b in enumerate(tops)
+            if i != j and (a == b or a.startswith(b + "/") or b.startswith(a + "/"))
+        }
+    )
+
+
+def first_root_wins(files: DataFrame, roots: Sequence[str] | None = None) -> DataFrame:
     """Drop a file already listed under an earlier root.
 
     An aggregate with map-side combine, so copies of one path never meet in a
-    single task before they are reduced.
+    single task before they are reduced.  `roots` is the list given to the scan;
+    only files of roots that overlap are compared then, the others pass.
     """
     rest = [c for c in files.columns if c not in ("root_ord", "root", "relative_path")]
+    named = files.withColumn("absolute_path", absolute_path())
+    shared = None if roots is None else overlapping_roots(roots)
+    compared = named if shared is None else named.filter(F.col("root").isin(shared))
     row = F.struct("root_ord", "root", "relative_path", *rest)
-    return (
-        files.groupBy(absolute_path().alias("absolute_path"))
+    kept = (
+        compared.groupBy("absolute_path")
         .agg(F.min_by(row, F.struct("root_ord", "root")).alias("_row"))
         .select("absolute_path", "_row.*")
     )
+    if shared is None:
+        return kept
+    alone = named.select("absolute_path", "root_ord", "root", "relative_path", *rest)
+    if not shared:
+        return alone
+    return kept.unionByName(alone.filter(~F.col("root").isin(shared)))
 
 
 # -- folders ------------------------------------------------------------------
@@ -134,19 +159,23 @@ def folder_rollup(
     checked: DataFrame,
     directories: DataFrame | None = None,
     consistent_counts: bool = False,
+    roots: Sequence[str] | None = None,
 ) -> DataFrame:
     """Recursive file counts of every folder, the root included.
 
     A root counts its files after files of earlier roots were dropped, folders
     below it before; `consistent_counts` drops them everywhere.  `directories`
-    (root, root_ord, folder) adds folders that hold no file.
+    (root, root_ord, folder) adds folders that hold no file.  With `roots`, the
+    list given to the scan, roots that cannot overlap are counted in one pass.
     """
     narrow = checked.select("root", "root_ord", "relative_path", "toggleable")
-    kept = first_root_wins(narrow).drop("absolute_path")
     keys = ["root", "root_ord"]
-    if consistent_counts:
+    disjoint = roots is not None and not overlapping_roots(roots)
+    if consistent_counts or disjoint:
+        kept = narrow if disjoint else first_root_wins(narrow, roots).drop("absolute_path")
         rolled = spread.ancestors_with_counts(kept, keys, "relative_path", _counted())
     else:
+        kept = first_root_wins(narrow, roots).drop("absolute_path")
         nested = spread.ancestors_with_counts(narrow, keys, "relative_path", _counted())
         tops = kept.groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in _counted().items()])
         every_root = nested.filter("folder = ''").select(*keys)
@@ -270,16 +299,20 @@ def in_window(checked: DataFrame, window_key: str | None, now_epoch: Column) ->
 
 # -- selections ---------------------------------------------------------------
 def expand_selection(
-    checked: DataFrame, folders: DataFrame, files: DataFrame
+    checked: DataFrame,
+    folders: DataFrame,
+    files: DataFrame,
+    roots: Sequence[str] | None = None,
 ) -> DataFrame:
     """Selectable files chosen by name or lying below a chosen folder.
 
     `folders` and `files` have (root, relative_path); a folder of '' is the
-    root.  Each file appears once however often it was chosen.
+    root.  Each file appears once however often it was chosen.  Directories are
+    taken from the unfiltered table, so finding the chosen ones reads no content.
     """
-    listed = first_root_wins(checked.filter("toggleable"))
+    listed = first_root_wins(checked.filter("toggleable"), roots)
     by_folder = spread.covered(
-        listed, "relative_path", folders, ["root"], "_below", include_top=True
+        listed, "relative_path", folders, ["root"], "_below", include_top=True, directories_of=checked
     )
     both = spread.spread_flag(
         by_folder, files, ["root", "relative_path"], ["relative_path"], "_named", copies=1

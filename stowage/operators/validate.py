@@ -71,6 +71,7 @@ def checked_members(members: DataFrame, limits: Limits = Limits()) -> DataFrame:
     derived = {
         "relative_path": paths.normalise(F.col("name")),
         "path_unsafe": (F.col("member_type") != "file") | paths.escapes_root(F.col("name")),
+        "bad_extension": ~paths.extension(paths.normalise(F.col("name"))).isin(list(limits.extensions)),
     }
     if "content" in members.columns:
         derived["has_nul"] = F.coalesce(
@@ -107,7 +108,7 @@ def _content_violation(limits: Limits) -> Column:
     broken = {
         "path_unsafe": F.col("path_unsafe"),
         "too_many_files": F.col("running_files") > limits.max_files,
-        "ext_not_allowed": ~paths.extension(F.col("relative_path")).isin(list(limits.extensions)),
+        "ext_not_allowed": F.col("bad_extension"),
         "file_too_large": F.col("size_bytes") > limits.max_file_bytes,
         "bundle_too_large": F.col("running_bytes") > limits.max_bundle_bytes,
     }

@@ -80,16 +80,19 @@ def covered(
     flag: str,
     include_top: bool = False,
     copies: int = DEFAULT_COPIES,
+    directories_of: DataFrame | None = None,
 ) -> DataFrame:
     """Flag rows whose path lies strictly below one of the given folders.
 
-    `folders` has the key columns and `path`.  Containment becomes equality by
+    `folders` has the key columns and the path column; `directories_of` is a
+    cheaper table with at least the same directories.  Containment becomes equality by
     listing the ancestors of each distinct directory, which is far smaller than
     the table; near the root one ancestor covers everything, so both joins are
     spread.
     """
     marked = df.withColumn("_dir", paths.parent(F.col(path)))
-    dirs = marked.select(*keys, "_dir").distinct()
+    source = df if directories_of is None else directories_of
+    dirs = source.select(*keys, paths.parent(F.col(path)).alias("_dir")).distinct()
     above = dirs.withColumn(
         "_folder",
         F.explode(paths.ancestors(F.col("_dir"), include_self=True, include_top=include_top)),
