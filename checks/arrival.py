@@ -143,7 +143,7 @@ def scan_given_files(spark, sf):
     found = listing.scan_roots(spark, [sf, f"{sf}/no-such-folder", f"{sf}/nation.parquet"])
     limits = Limits(max_file_bytes=1 << 20, extensions=(".parquet",))
     checked = inventory.preflight(found, limits)
-    kept = inventory.first_root_wins(checked.select("root", "root_ord", "relative_path", "size_bytes", "preflight"))
+    kept = inventory.first_root_wins(checked.drop("mtime", "reject_detail"))
     return kept.select("relative_path", "size_bytes", "preflight")
 
 

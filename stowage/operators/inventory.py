@@ -105,8 +105,14 @@ def send_blocked(selected: DataFrame, by: list[str], probe_bytes: int) -> DataFr
 
 
 # -- several roots ------------------------------------------------------------
-def absolute_path() -> Column:
-    return F.concat_ws("/", F.col("root"), F.col("relative_path"))
+def from_file_root(files: DataFrame) -> Column:
+    """True for a root that is itself a file; false where nothing says so."""
+    return F.col("root_is_file") if "root_is_file" in files.columns else F.lit(False)
+
+
+def absolute_path(files: DataFrame) -> Column:
+    below = F.concat_ws("/", F.col("root"), F.col("relative_path"))
+    return F.when(from_file_root(files), F.col("root")).otherwise(below)
 
 
 def overlapping_roots(roots: Sequence[str]) -> list[str]:
@@ -130,7 +136,7 @@ def first_root_wins(files: DataFrame, roots: Sequence[str] | None = None) -> Dat
     only files of roots that overlap are compared then, the others pass.
     """
     rest = [c for c in files.columns if c not in ("root_ord", "root", "relative_path")]
-    named = files.withColumn("absolute_path", absolute_path())
+    named = files.withColumn("absolute_path", absolute_path(files))
     shared = None if roots is None else overlapping_roots(roots)
     compared = named if shared is None else named.filter(F.col("root").isin(shared))
     row = F.struct("root_ord", "root", "relative_path", *rest)
@@ -163,20 +169,23 @@ def folder_rollup(
 ) -> DataFrame:
     """Recursive file counts of every folder, the root included.
 
-    A root counts its files after files of earlier roots were dropped, folders
-    below it before; `consistent_counts` drops them everywhere.  `directories`
-    (root, root_ord, folder) adds folders that hold no file.  With `roots`, the
-    list given to the scan, roots that cannot overlap are counted in one pass.
+    A root that is a file has no folder.  Other roots count their files after
+    files of earlier roots were dropped, folders below them before;
+    `consistent_counts` drops them everywhere.  `directories` (root, root_ord,
+    folder) adds folders that hold no file.  With `roots`, the list given to the
+    scan, roots that cannot overlap are counted in one pass.
     """
-    narrow = checked.select("root", "root_ord", "relative_path", "toggleable")
+    narrow = checked.select(
+        "root", "root_ord", "relative_path", "toggleable", from_file_root(checked).alias("root_is_file")
+    )
     keys = ["root", "root_ord"]
     disjoint = roots is not None and not overlapping_roots(roots)
+    kept = narrow if disjoint else first_root_wins(narrow, roots).drop("absolute_path")
+    trees, kept = narrow.filter("NOT root_is_file"), kept.filter("NOT root_is_file")
     if consistent_counts or disjoint:
-        kept = narrow if disjoint else first_root_wins(narrow, roots).drop("absolute_path")
         rolled = spread.ancestors_with_counts(kept, keys, "relative_path", _counted())
     else:
-        kept = first_root_wins(narrow, roots).drop("absolute_path")
-        nested = spread.ancestors_with_counts(narrow, keys, "relative_path", _counted())
+        nested = spread.ancestors_with_counts(trees, keys, "relative_path", _counted())
         tops = kept.groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in _counted().items()])
         every_root = nested.filter("folder = ''").select(*keys)
         rolled = nested.filter("folder <> ''").unionByName(
@@ -211,7 +220,7 @@ def tree(checked: DataFrame, folders: DataFrame) -> DataFrame:
         "relative_path",
         "size_bytes",
         "toggleable",
-        paths.depth(F.col("relative_path")).alias("depth"),
+        F.when(from_file_root(checked), F.lit(0)).otherwise(paths.depth(F.col("relative_path"))).alias("depth"),
         paths.tree_key(F.col("relative_path"), F.lit(False)).alias("tree_key"),
     )
     folder_rows = folders.select(
@@ -342,7 +351,7 @@ def common_root(selected: DataFrame, by: list[str]) -> DataFrame:
     Any component all paths share is shared by the smallest and the largest
     directory, so two aggregates replace a set of all directories.
     """
-    folder = F.split(paths.parent(absolute_path()), "/")
+    folder = F.split(paths.parent(absolute_path(selected)), "/")
     ends = selected.groupBy(*by).agg(F.min(folder).alias("_lo"), F.max(folder).alias("_hi"))
     shared = F.aggregate(
         F.zip_with("_lo", "_hi", lambda a, b: a.eqNullSafe(b)),

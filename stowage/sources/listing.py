@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import stat
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stowage.functions import paths
+from stowage.session import through_table
 
 # ---- fixed values -----------------------------------------------------------
 ARCHIVE_SUFFIX = ".tar.zst"
@@ -33,6 +41,7 @@ def scan_root(spark: SparkSession, root: str, root_ord: int, with_content: bool
     columns = {
         "root": F.lit(top),
         "root_ord": F.lit(root_ord),
+        "root_is_file": is_file,
         "relative_path": F.when(is_file, paths.base_name(F.lit(top))).otherwise(below),
         "size_bytes": F.col("length"),
         "mtime": F.unix_micros("modificationTime") / F.lit(1e6),
@@ -49,7 +58,7 @@ def scan_roots(spark: SparkSession, roots: list[str], with_content: bool = True)
         if _exists(spark, root):
             frames.append(scan_root(spark, root, number, with_content))
     if not frames:
-        schema = "root string, root_ord int, relative_path string, size_bytes bigint, mtime double"
+        schema = "root string, root_ord int, root_is_file boolean, relative_path string, size_bytes bigint, mtime double"
         return spark.createDataFrame([], schema + (", content binary" if with_content else ""))
     joined = frames[0]
     for frame in frames[1:]:
@@ -63,6 +72,80 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop_path))
 
 
+LISTING = "root string, root_ord int, path string, kind string, size_bytes bigint, mtime double"
+
+
+def walk(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Exact listing of trees on a mount every executor sees.
+
+    Hidden and empty files are listed, links are named and not followed, missing
+    roots give nothing.  One job per level of depth; the directories of a level
+    are dealt over the executors, and entries stream out while one is read.
+    """
+    tops = [(r.rstrip("/"), n, r.rstrip("/")) for n, r in enumerate(roots)]
+    level = spark.createDataFrame(tops, "root string, root_ord int, path string")
+    levels = [through_table(level.mapInPandas(_describe, LISTING), "level")]
+    while not (folders := levels[-1].filter("kind = 'dir'")).isEmpty():
+        dealt = folders.select("root", "root_ord", "path").repartition("path")
+        levels.append(through_table(dealt.mapInPandas(_children, LISTING), "level"))
+    listed = levels[0]
+    for deeper in levels[1:]:
+        listed = listed.unionByName(deeper)
+    return listed
+
+
+def _row(root: str, root_ord: int, path: str) -> tuple:
+    found = os.lstat(path)
+    if stat.S_ISLNK(found.st_mode):
+        kind = "link"
+    elif stat.S_ISDIR(found.st_mode):
+        kind = "dir"
+    else:
+        kind = "file" if stat.S_ISREG(found.st_mode) else "other"
+    return root, root_ord, path, kind, found.st_size, found.st_mtime
+
+
+def _frames(rows: Iterator[tuple], size: int = 10_000) -> Iterator[pd.DataFrame]:
+    names = ["root", "root_ord", "path", "kind", "size_bytes", "mtime"]
+    while chunk := list(itertools.islice(rows, size)):
+        yield pd.DataFrame(chunk, columns=names)
+
+
+def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    named = (row for batch in batches for row in batch.itertuples(index=False))
+    yield from _frames(_row(*row) for row in named if os.path.lexists(row.path))
+
+
+def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    named = (row for batch in batches for row in batch.itertuples(index=False))
+    yield from _frames(
+        _row(row.root, row.root_ord, f"{row.path}/{entry.name}") for row in named for entry in os.scandir(row.path)
+    )
+
+
+def with_content(files: DataFrame) -> DataFrame:
+    """Add the bytes of listed files, read where the rows are.
+
+    Filter by size first; batches are kept small for the wide column.
+    """
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+    path = F.when(F.col("root_is_file"), F.col("root")).otherwise(F.concat_ws("/", "root", "relative_path"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 64):
+                part = batch.iloc[start : start + 64]
+                content = [_bytes(p) for p in part["_path"]]
+                yield part.drop(columns="_path").assign(content=content)
+
+    return files.withColumn("_path", path).mapInPandas(read, schema)
+
+
+def _bytes(path: str) -> bytes:
+    with open(path, "rb") as handle:
+        return handle.read()
+
+
 def from_listing(listing: DataFrame) -> DataFrame:
     """File table from a listing that knows links, hidden and empty files.
 
@@ -71,9 +154,17 @@ def from_listing(listing: DataFrame) -> DataFrame:
     outside their root.
     """
     inside = F.startswith(F.col("path"), F.concat(F.col("root"), F.lit("/")))
+    is_root = F.col("path") == F.col("root")
     return (
-        listing.filter((F.col("kind") == "file") & inside)
-        .withColumn("relative_path", F.substr("path", F.length("root") + 2))
+        listing.filter((F.col("kind") == "file") & (inside | is_root))
+        .withColumns(
+            {
+                "root_is_file": is_root,
+                "relative_path": F.when(is_root, paths.base_name(F.col("path"))).otherwise(
+                    F.substr("path", F.length("root") + 2)
+                ),
+            }
+        )
         .drop("path", "kind")
     )
 
