@@ -67,14 +67,15 @@ def _detail(limits: Limits) -> Column:
 def preflight(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add preflight, reject_detail and toggleable; drop content.
 
-    Two branches, so a file that its name or size already rejects never has its
-    content read.
+    Two branches, so a file that its name or size already rejects is not probed;
+    the size test stands alone to reach the scan, which then skips large files.
     """
     plain = [c for c in files.columns if c != "content"]
     named = cheap_status(limits)
     rejected = files.select(*plain).withColumn("preflight", named).filter("preflight IS NOT NULL")
     probed = (
-        files.filter(named.isNull())
+        files.filter(F.col("size_bytes") <= limits.max_file_bytes)
+        .filter(named.isNull())
         .withColumn(
             "preflight",
             F.when(text.has_nul(F.col("content"), limits.probe_bytes), "not_text").otherwise("ok"),
