@@ -172,6 +172,8 @@ def check_backup_files(archives: DataFrame, keys: list[str], codec: str = "zstd"
             return False, codec
         if size == 0:
             return True, None
+        if size % tarfile.BLOCKSIZE:
+            return False, "tar"
         with _opened(data, codec) as stream:
             return (True, None) if _all_headers_ok(stream) else (False, "tar")
 
