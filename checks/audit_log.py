@@ -18,7 +18,7 @@ _SLICE = 16
 )
 def audit_chain_build(spark, sf):
     """Audit lines of every chain, each naming the digest of the one before."""
-    return V.built_chain(spark, sf).select(*CHAIN, "seq", "prev_hash", "line", "line_sha256")
+    return audit.build_chain(V.attempts(spark, sf), CHAIN).select(*CHAIN, "seq", "prev_hash", "line", "line_sha256")
 
 
 @register(

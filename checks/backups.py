@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import views as V
 from checks.registry import register
 from stowage.operators import catalog, restore
+from stowage.session import through_table
 from stowage.sources import listing
 
 _SLICE = 90 * 86400
@@ -293,7 +294,8 @@ def snapshot_list(spark, sf):
 )
 def snapshot_rotation(spark, sf):
     """Snapshots past the newest ten of each target."""
-    dropped = catalog.snapshots_to_drop(catalog.snapshots(_snapped(spark, sf)))
+    listed = through_table(catalog.snapshots(_snapped(spark, sf)), "snapshots")
+    dropped = catalog.snapshots_to_drop(listed)
     return dropped.select("target", "snapshot", "newest_rank")
 
 

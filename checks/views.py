@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stowage.functions import digests
 from stowage.operators import audit
 from stowage.schemas import Limits
+from stowage.session import through_table
 
 FILE_LIMITS = Limits(max_file_bytes=16384)
 BUNDLE_LIMITS = Limits(max_file_bytes=2000, max_bundle_bytes=3000, max_files=6)
@@ -316,7 +317,8 @@ def with_chain(body: str, *more: str) -> str:
 
 
 def built_chain(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.build_chain(attempts(spark, sf), ["sender_id", "chain_no"])
+    """Audit logs as they are stored; what reads them twice does not build them twice."""
+    return through_table(audit.build_chain(attempts(spark, sf), ["sender_id", "chain_no"]), "chain")
 
 
 # -- backups ------------------------------------------------------------------

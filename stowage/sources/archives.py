@@ -201,6 +201,31 @@ def _per_archive(archives: DataFrame, keys: list[str], fields: str, types: list,
     return archives.select(*keys, "archive").mapInArrow(run, schema)
 
 
+class _Packer:
+    """One archive under construction; only its compressed bytes are held."""
+
+    def __init__(self, codec: str) -> None:
+        self.count, self._out = 0, io.BytesIO()
+        if codec == "gzip":
+            self._squeezed = gzip.GzipFile(fileobj=self._out, mode="wb", mtime=0)
+        elif codec == "zstd":
+            self._squeezed = zstandard.ZstdCompressor(level=3).stream_writer(self._out, closefd=False)
+        else:
+            raise ValueError(f"unknown codec {codec!r}")
+        self._tar = tarfile.open(fileobj=self._squeezed, mode="w|")
+
+    def add(self, path: str, content: bytes) -> None:
+        info = tarfile.TarInfo(path)
+        info.size = len(content)
+        self._tar.addfile(info, io.BytesIO(content))
+        self.count += 1
+
+    def close(self) -> bytes:
+        self._tar.close()
+        self._squeezed.close()
+        return self._out.getvalue()
+
+
 def pack_bundles(
     files: DataFrame,
     limits: Limits = Limits(),
@@ -212,7 +237,8 @@ def pack_bundles(
 
     `files` has the keys, member_idx, relative_path and content.  Bundles over
     the file cap or the byte cap are refused by every receiver; they are named in
-    the second frame and never gathered.
+    the second frame and never gathered.  Rows arrive sorted and are packed as
+    they stream by.
     """
     few, many = member_order(keys, width).within(files, limits.max_files)
     sizes = few.groupBy(*keys).agg(F.sum(F.octet_length("content")).alias("n_bytes"))
@@ -220,29 +246,35 @@ def pack_bundles(
     light = few.join(heavy.select(*keys), list(keys), "left_anti")
     types = dict(files.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["n_files bigint, archive binary"])
-
-    def pack(group):
-        import pandas as pd
-
-        ordered = group.sort_values("member_idx")
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for path, content in zip(ordered["relative_path"], ordered["content"]):
-                info = tarfile.TarInfo(path)
-                info.size = len(content)
-                tar.addfile(info, io.BytesIO(content))
-        payload = out.getvalue()
-        squeezed = (
-            gzip.compress(payload, mtime=0)
-            if codec == "gzip"
-            else zstandard.ZstdCompressor(level=3).compress(payload)
-        )
-        row = {k: group[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**row, "n_files": len(ordered), "archive": squeezed}])
-
-    packed = light.select(*keys, "member_idx", "relative_path", "content").groupBy(*keys).applyInPandas(
-        pack, schema
+    ordered = (
+        light.select(*keys, "member_idx", "relative_path", "content")
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, "member_idx")
     )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def row(key, archive):
+            values, types_ = [*key, archive.count, archive.close()], [*kinds, pa.int64(), pa.binary()]
+            arrays = [pa.array([v], t) for v, t in zip(values, types_)]
+            return pa.RecordBatch.from_arrays(arrays, names=[*keys, "n_files", "archive"])
+
+        current, archive = None, None
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            key_rows = zip(*[batch.column(k).to_pylist() for k in keys])
+            contents = batch.column("content")
+            for at, (key, path) in enumerate(zip(key_rows, batch.column("relative_path").to_pylist())):
+                if key != current:
+                    if archive is not None:
+                        yield row(current, archive)
+                    current, archive = key, _Packer(codec)
+                archive.add(path, contents[at].as_py() or b"")
+        if archive is not None:
+            yield row(current, archive)
+
+    packed = ordered.mapInArrow(pack, schema)
     refused = many.select(*keys, F.lit("too_many_files").alias("reason")).unionByName(
         heavy.select(*keys, F.lit("bundle_too_large").alias("reason"))
     )
