@@ -135,15 +135,15 @@ def local_listing(spark, sf):
 @register(
     "remote_listing",
     """SELECT 'd' || p_partkey AS id, name, size_bytes FROM (
-  SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'ami-agents-backup.tar.zst' ELSE replace(p_name, ' ', '-') || CASE WHEN p_size % 3 = 1 THEN '-ami-agents-backup.tar.zst.old' ELSE '' END END AS name,
+  SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'site-backup.tar.zst' ELSE replace(p_name, ' ', '-') || CASE WHEN p_size % 3 = 1 THEN '-site-backup.tar.zst.old' ELSE '' END END AS name,
     CASE WHEN p_size % 10 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) * 1000 END AS size_bytes, p_type, p_brand FROM part)
-WHERE contains(name, 'ami-agents-backup.tar.zst') AND p_type <> 'PROMO' AND p_brand = 'Brand#2'""",
+WHERE contains(name, 'site-backup.tar.zst') AND p_type <> 'PROMO' AND p_brand = 'Brand#2'""",
 )
 def remote_listing(spark, sf):
     """Catalog entries by name, trash mark and folder; blank sizes read as null."""
     name = F.expr(
-        "CASE WHEN p_size % 3 = 0 THEN 'ami-agents-backup.tar.zst' ELSE concat(replace(p_name, ' ', '-'), "
-        "CASE WHEN p_size % 3 = 1 THEN '-ami-agents-backup.tar.zst.old' ELSE '' END) END"
+        "CASE WHEN p_size % 3 = 0 THEN 'site-backup.tar.zst' ELSE concat(replace(p_name, ' ', '-'), "
+        "CASE WHEN p_size % 3 = 1 THEN '-site-backup.tar.zst.old' ELSE '' END) END"
     )
     raw = V.table(spark, sf, "part").select(
         F.expr("concat('d', p_partkey)").alias("id"),
@@ -153,7 +153,7 @@ def remote_listing(spark, sf):
         (F.col("p_type") == "PROMO").alias("trashed"),
         F.col("p_brand").alias("parent"),
     )
-    return listing.remote_backups(listing.read_catalog(raw), folder="Brand#2").select("id", "name", "size_bytes")
+    return listing.remote_backups(listing.read_catalog(raw), "site-backup.tar.zst", "Brand#2").select("id", "name", "size_bytes")
 
 
 @register(

@@ -66,8 +66,14 @@ def replay_split(attempts: DataFrame, stored: DataFrame, order: str = "attempt_i
 
 
 def stored_receipts(attempts: DataFrame, receipts: DataFrame) -> DataFrame:
-    """The receipt a replayed attempt is answered with."""
-    return spread.spread_lookup(attempts, receipts, list(BUNDLE), ["attempt_id"], how="inner")
+    """The receipt a replayed attempt is answered with.
+
+    Receipts are cut down to the bundles that were attempted before any of them
+    is repeated for a bundle that is sent over and over.
+    """
+    asked = attempts.select(*BUNDLE).distinct()
+    needed = receipts.join(asked, list(BUNDLE), "left_semi")
+    return spread.spread_lookup(attempts, needed, list(BUNDLE), ["attempt_id"], how="inner")
 
 
 # -- receipts -----------------------------------------------------------------

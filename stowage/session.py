@@ -42,12 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def through_table(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back.
+def through_table(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write a frame to a shared folder and read it back.
 
-    Cuts the lineage with files that outlive any executor.
+    Cuts the lineage with files that outlive any executor.  With a folder of the
+    caller's the table is replaced on every call, so a job that runs in batches
+    keeps one copy; otherwise each call makes a new table in the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder}/{label}" if folder else f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,6 @@ from stowage.session import through_table
 
 # ---- fixed values -----------------------------------------------------------
 ARCHIVE_SUFFIX = ".tar.zst"
-BACKUP_NAME_PATTERN = "ami-agents-backup.tar.zst"
 # ---- end of fixed values ----------------------------------------------------
 
 
@@ -205,7 +204,7 @@ def read_catalog(rows: DataFrame) -> DataFrame:
 
 
 def remote_backups(
-    catalog: DataFrame, pattern: str = BACKUP_NAME_PATTERN, folder: str | None = None
+    catalog: DataFrame, pattern: str, folder: str | None = None
 ) -> DataFrame:
     """Catalog entries whose name holds the pattern, not trashed, newest first."""
     chosen = catalog.filter(F.contains(F.col("name"), F.lit(pattern)) & ~F.col("trashed"))

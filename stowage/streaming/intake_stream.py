@@ -4,6 +4,7 @@ Tables under the output root, each written batch by batch:
 
   outcomes, members, receipts, audit/lines, audit/heads
 
+and `stage`, which holds what the current batch passes between its steps.
 A batch reads only earlier batches and replaces its own folders, so running it
 again after a failure gives the same tables and appends nothing twice.
 """
@@ -61,7 +62,7 @@ def batch_writer(
         stored = tables.read_batches(spark, f"{root}/receipts", RECEIPTS_SCHEMA, batch_id)
         # The gate is read several times below; a written table keeps it stable.
         gated = through_table(
-            intake.gate(intake.described(batch), senders, stored, limits), f"gate-{batch_id}"
+            intake.gate(intake.described(batch), senders, stored, limits), "gate", f"{root}/stage"
         )
         opened = intake.archives_to_open(batch, gated)
         members = read_members(opened, ["attempt_id"], "gzip", limits.max_file_bytes)
@@ -71,7 +72,7 @@ def batch_writer(
             received_at,
             limits,
             audit_all,
-            stage=lambda df, label: through_table(df, f"{label}-{batch_id}"),
+            stage=lambda df, label: through_table(df, label, f"{root}/stage"),
         )
         tables.write_batch(result.accepted, f"{root}/members", batch_id)
         tables.write_batch(result.receipts, f"{root}/receipts", batch_id)

@@ -86,18 +86,19 @@ def test_revision_labels(spark):
 def test_remote_catalog(spark):
     raw = spark.createDataFrame(
         [
-            ("1", "ami-agents-backup.tar.zst", "2026-01-01T00:00:00.000Z", "10", False, "p"),
-            ("2", "old ami-agents-backup.tar.zst", "2026-01-02T00:00:00Z", "", False, "p"),
-            ("3", "ami-agents-backup.tar.zst", "", "x", False, "q"),
-            ("4", "ami-agents-backup.tar.zst", "2026-01-03T00:00:00Z", "1", True, "p"),
+            ("1", "site-backup.tar.zst", "2026-01-01T00:00:00.000Z", "10", False, "p"),
+            ("2", "old site-backup.tar.zst", "2026-01-02T00:00:00Z", "", False, "p"),
+            ("3", "site-backup.tar.zst", "", "x", False, "q"),
+            ("4", "site-backup.tar.zst", "2026-01-03T00:00:00Z", "1", True, "p"),
             ("5", "other.tar.zst", "2026-01-03T00:00:00Z", "1", False, "p"),
         ],
         "id string, name string, modifiedTime string, size string, trashed boolean, parent string",
     )
     typed = listing.read_catalog(raw)
-    found = listing.remote_backups(typed).collect()
+    pattern = "site-backup.tar.zst"
+    found = listing.remote_backups(typed, pattern).collect()
     assert [(r.id, r.size_bytes) for r in found] == [("2", None), ("1", 10), ("3", None)]
-    assert [r.id for r in listing.remote_backups(typed, folder="p").collect()] == ["2", "1"]
+    assert [r.id for r in listing.remote_backups(typed, pattern, "p").collect()] == ["2", "1"]
     assert listing.by_id(typed, "3").first().modified_time is None
 
 
