@@ -24,7 +24,7 @@ def audit_chain_build(spark, sf):
 @register(
     "audit_chain_heads",
     V.with_chain(
-        "SELECT sender_id, chain_no, arg_max(sha256(line || chr(10)), seq) AS head_hash FROM chain GROUP BY ALL"
+        "SELECT sender_id, chain_no, arg_max(sha256(line || chr(10)), seq) AS head_hash, CAST(sum(strlen(line) + 1) AS BIGINT) AS log_bytes FROM chain GROUP BY ALL"
     ),
 )
 def audit_chain_heads(spark, sf):

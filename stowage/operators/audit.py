@@ -8,7 +8,7 @@ the digest of every line is known without its neighbours.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,6 +50,7 @@ def build_chain(
     chain_keys: list[str],
     order: str = "seq",
     heads: DataFrame | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Link unchained records into lines, continuing from known chain heads.
 
@@ -58,9 +59,10 @@ def build_chain(
     starts from the genesis value.  The JSON text is made by built-in functions;
     the ordered pass only hashes, keeps one digest in memory and streams, so a
     long chain needs time but no memory.  Bound chains with `split_chains`.
+    Columns named in `keep` come along.
     """
     values = {n: F.col(n) for n in canonical.AUDIT_FIELDS if n != "prev_hash"}
-    texts = records.select(*chain_keys, order, canonical.audit_line_head(**values).alias("_head"))
+    texts = records.select(*chain_keys, order, *keep, canonical.audit_line_head(**values).alias("_head"))
     if heads is not None:
         texts = texts.join(heads.select(*chain_keys, "head_hash"), chain_keys, "left")
     else:
@@ -101,8 +103,10 @@ def build_chain(
 
 
 def chain_heads(lines: DataFrame, chain_keys: list[str], order: str = "seq") -> DataFrame:
-    """Digest a chain's next record must name."""
-    return lines.groupBy(*chain_keys).agg(F.max_by("line_sha256", order).alias("head_hash"))
+    """Digest a chain's next record must name, and the size of its log."""
+    return lines.groupBy(*chain_keys).agg(
+        F.max_by("line_sha256", order).alias("head_hash"), F.sum(line_bytes()).alias("log_bytes")
+    )
 
 
 def next_heads(
@@ -112,9 +116,15 @@ def next_heads(
     fresh = chain_heads(lines, chain_keys, order)
     if previous is None:
         return fresh
-    return previous.select(*chain_keys, F.col("head_hash").alias("_old")).join(
-        fresh, chain_keys, "full_outer"
-    ).select(*chain_keys, F.coalesce("head_hash", "_old").alias("head_hash"))
+    before = previous.select(
+        *chain_keys, F.col("head_hash").alias("_hash"), F.col("log_bytes").alias("_bytes")
+    )
+    none = F.lit(0).cast("long")
+    return before.join(fresh, chain_keys, "full_outer").select(
+        *chain_keys,
+        F.coalesce("head_hash", "_hash").alias("head_hash"),
+        (F.coalesce("log_bytes", none) + F.coalesce("_bytes", none)).alias("log_bytes"),
+    )
 
 
 # -- seal ---------------------------------------------------------------------
@@ -283,11 +293,30 @@ def line_bytes() -> Column:
     return F.octet_length("line") + F.lit(1).cast("long")
 
 
-def byte_offsets(lines: DataFrame, keys: tuple[str, ...] = ("chain_id",), width: int = SLICE_LINES) -> DataFrame:
-    """Size of the log before each line was added."""
-    return SlicedOrder(keys, by_number("seq", width), ("seq",)).running(
+def byte_offsets(
+    lines: DataFrame,
+    keys: tuple[str, ...] = ("chain_id",),
+    width: int = SLICE_LINES,
+    order: str = "seq",
+    heads: DataFrame | None = None,
+) -> DataFrame:
+    """Size of the log before each line was added.
+
+    `heads` has the keys and log_bytes, the size the log had before these lines.
+    """
+    offsets = SlicedOrder(keys, by_number(order, width), (order,)).running(
         lines, {"audit_log_offset": line_bytes()}, inclusive=False
     )
+    if heads is None:
+        return offsets
+    before = heads.select(*keys, F.col("log_bytes").alias("_before"))
+    return (
+        offsets.join(before, list(keys), "left")
+        .withColumn(
+            "audit_log_offset", F.col("audit_log_offset") + F.coalesce("_before", F.lit(0).cast("long"))
+        )
+        .drop("_before")
+    )
 
 
 def log_status(lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -101,6 +101,16 @@ def build_receipts(
     )
 
 
+def answered(receipts: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Receipts as the sender gets them: with the place of their audit record.
+
+    The stored receipt is written before its audit record and keeps 0 there.
+    `offsets` has the bundle keys, event and audit_log_offset.
+    """
+    places = offsets.filter("event = 'accept'").select(*BUNDLE, "audit_log_offset")
+    return receipts.drop("audit_log_offset").join(places, list(BUNDLE), "left")
+
+
 def receipt_files(receipts: DataFrame, keys: tuple[str, ...] = BUNDLE) -> DataFrame:
     return receipts.select(*keys, F.explode("per_file_sha256_verified").alias("f")).select(
         *keys, "f.relative_path", "f.sha256", "f.size_bytes"
@@ -288,6 +298,7 @@ def accept_bundles(
         F.when(~F.col("status").isin("accept", "replay"), F.col("reason")).alias("reject_reason"),
         "receipt_sha256",
     )
+    # One accepted attempt per bundle is recorded, so a receipt finds one record.
     return Intake(outcomes, accepted, receipts, audit)
 
 

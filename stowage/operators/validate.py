@@ -88,7 +88,12 @@ def member_order(keys: tuple[str, ...] = BUNDLE, width: int = SLICE_MEMBERS) ->
 def with_running_totals(
     checked: DataFrame, keys: tuple[str, ...] = BUNDLE, width: int = SLICE_MEMBERS
 ) -> DataFrame:
-    """Running member count and running bytes in archive order, row included."""
+    """Running member count and running bytes in archive order, row included.
+
+    Members read from archives have both already and are not shuffled for it.
+    """
+    if {"running_files", "running_bytes"} <= set(checked.columns):
+        return checked
     return member_order(keys, width).running(
         checked, {"running_files": F.lit(1).cast("long"), "running_bytes": F.col("size_bytes")}
     )

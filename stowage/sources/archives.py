@@ -43,12 +43,18 @@ def _kind(member: tarfile.TarInfo) -> str:
     return "special"
 
 
-_MEMBER_FIELDS = (
-    "member_idx bigint, name string, member_type string, size_bytes bigint, "
-    "content binary, error string"
-)
-_MEMBER_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
-_MEMBER_NAMES = ["member_idx", "name", "member_type", "size_bytes", "content", "error"]
+_MEMBER_COLUMNS = {
+    "member_idx": pa.int64(),
+    "name": pa.string(),
+    "member_type": pa.string(),
+    "size_bytes": pa.int64(),
+    "running_files": pa.int64(),
+    "running_bytes": pa.int64(),
+    "content": pa.binary(),
+    "error": pa.string(),
+}
+_SQL_TYPES = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary"}
+_MEMBER_FIELDS = ", ".join(f"{name} {_SQL_TYPES[kind]}" for name, kind in _MEMBER_COLUMNS.items())
 
 
 def read_members(
@@ -61,24 +67,29 @@ def read_members(
     """One row per member in archive order.
 
     `archives` has the keys and `archive`.  Content above the byte cap is null:
-    a file that large is rejected by its size already.  An unreadable archive
-    ends with one row whose `error` is set.
+    a file that large is rejected by its size already.  The running count and
+    bytes of members that are no directories come along, since the reader passes
+    them in order anyway.  An unreadable archive ends with one row whose `error`
+    is set.
     """
     types = dict(archives.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys]) + ", " + _MEMBER_FIELDS
 
     def members(data: bytes):
-        index = -1
+        index, files, total = -1, 0, 0
         try:
             with _opened(data, codec) as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
                 for index, item in enumerate(tar):
                     content = None
+                    if not item.isdir():
+                        files, total = files + 1, total + item.size
                     wanted = max_content_bytes is None or item.size <= max_content_bytes
                     if with_content and item.isfile() and wanted:
                         content = tar.extractfile(item).read()
-                    yield index, item.name, _kind(item), item.size, content, None
+                    yield index, item.name, _kind(item), item.size, files, total, content, None
         except Exception as problem:  # noqa: BLE001 - any damage is reported, not raised
-            yield index + 1, None, "unreadable", 0, None, f"{type(problem).__name__}: {problem}"
+            reason = f"{type(problem).__name__}: {problem}"
+            yield index + 1, None, "unreadable", 0, files + 1, total, None, reason
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,14 +99,14 @@ def read_members(
 
             def flush(rows):
                 columns = list(zip(*rows))
-                arrays = [pa.array(c, t) for c, t in zip(columns, [*kinds, *_MEMBER_TYPES])]
-                return pa.RecordBatch.from_arrays(arrays, names=[*keys, *_MEMBER_NAMES])
+                arrays = [pa.array(c, t) for c, t in zip(columns, [*kinds, *_MEMBER_COLUMNS.values()])]
+                return pa.RecordBatch.from_arrays(arrays, names=[*keys, *_MEMBER_COLUMNS])
 
             rows, held = [], 0
             for position, key in enumerate(ids):
                 for row in members(blobs[position].as_py() or b""):
                     rows.append((*key, *row))
-                    held += len(row[4] or b"")
+                    held += len(row[-2] or b"")
                     if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
                         yield flush(rows)
                         rows, held = [], 0

@@ -2,7 +2,7 @@
 
 Tables under the output root, each written batch by batch:
 
-  outcomes, members, receipts, audit/lines, audit/heads
+  outcomes, members, receipts, answers, audit/lines, audit/heads
 
 and `stage`, which holds what the current batch passes between its steps.
 A batch reads only earlier batches and replaces its own folders, so running it
@@ -29,7 +29,7 @@ RECEIPTS_SCHEMA = (
     "per_file_sha256_verified array<struct<relative_path:string,sha256:string,size_bytes:bigint>>, "
     "audit_log_offset bigint, status string"
 )
-HEADS_SCHEMA = "sender_id string, head_hash string"
+HEADS_SCHEMA = "sender_id string, head_hash string, log_bytes bigint"
 CHAIN = ["sender_id"]
 
 
@@ -76,23 +76,30 @@ def batch_writer(
         )
         tables.write_batch(result.accepted, f"{root}/members", batch_id)
         tables.write_batch(result.receipts, f"{root}/receipts", batch_id)
-        _extend_audit(spark, result.audit, root, batch_id)
+        lines, heads = _extend_audit(spark, result.audit, root, batch_id)
+        receipts = spark.read.parquet(f"{root}/receipts/batch_id={batch_id}")
+        offsets = audit.byte_offsets(lines, tuple(CHAIN), order="attempt_id", heads=heads)
+        tables.write_batch(intake.answered(receipts, offsets), f"{root}/answers", batch_id)
         tables.write_batch(result.outcomes, f"{root}/outcomes", batch_id)
 
     return write
 
 
-def _extend_audit(spark: SparkSession, records: DataFrame, root: str, batch_id: int) -> None:
+def _extend_audit(
+    spark: SparkSession, records: DataFrame, root: str, batch_id: int
+) -> tuple[DataFrame, DataFrame]:
+    """Store the batch's audit lines and the new heads; give lines and old heads."""
     earlier = tables.read_batches(spark, f"{root}/audit/heads", HEADS_SCHEMA, batch_id)
     newest = earlier.agg(F.max("batch_id").alias("batch_id"))
-    heads = earlier.join(F.broadcast(newest), "batch_id").drop("batch_id")
-    lines = audit.build_chain(records, CHAIN, "attempt_id", heads)
+    heads = earlier.join(newest, "batch_id").drop("batch_id")
+    lines = audit.build_chain(records, CHAIN, "attempt_id", heads, keep=["bundle_id", "event"])
     tables.append_audit(lines, f"{root}/audit", batch_id)
     written = spark.read.parquet(f"{root}/audit/lines/batch_id={batch_id}")
     # One row per sender: the full set of heads is written every time.
     tables.write_batch(
         audit.next_heads(heads, written, CHAIN, "attempt_id"), f"{root}/audit/heads", batch_id
     )
+    return written, heads
 
 
 def run_available(

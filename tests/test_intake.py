@@ -229,7 +229,13 @@ def test_stream(spark, tmp_path):
         ("alpha", sum(c[1] in ("accept", "reject") and c[0][1] == "alpha" for c in cases.values()) + 2, True),
         ("beta", 1, True),
     ]
-    before = {t: rows(spark.read.parquet(f"{root}/{t}").drop("batch_id")) for t in ("members", "receipts", "audit/lines", "audit/heads")}
+    ordered = lines.filter("sender_id = 'alpha'").orderBy("attempt_id").collect()
+    offsets = {r.bundle_id: r.audit_log_offset for r in spark.read.parquet(f"{root}/answers").filter("sender_id = 'alpha'").collect()}
+    for at, row in enumerate(ordered):
+        if row.event == "accept":
+            assert offsets.pop(row.bundle_id) == sum(len(r.line) + 1 for r in ordered[:at])
+    assert offsets == {}
+    before = {t: rows(spark.read.parquet(f"{root}/{t}").drop("batch_id")) for t in ("members", "receipts", "answers", "audit/lines", "audit/heads")}
 
     # The last batch again, as after a lost driver: nothing is added or changed.
     again = spark.createDataFrame(second, ARRIVAL)
