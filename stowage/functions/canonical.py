@@ -12,12 +12,17 @@ _LETTERED = [f"{code:04X}" for code in range(0x20) if f"{code:04X}" != f"{code:0
 
 
 def lower_escapes(text: Column) -> Column:
-    """Turn \\u001F into \\u001f, leaving literal backslashes alone."""
-    fixed = text
+    """Turn \\u001F into \\u001f, leaving literal backslashes alone.
+
+    Backslashes escape each other in pairs from the left, so pairs are set aside
+    first under a control character, which JSON text never holds raw; what is
+    left of \\uXXXX then is an escape.  Plain replacements, no regex per code.
+    """
+    aside = F.lit("\u0001")
+    fixed = F.replace(text, F.lit("\\\\"), aside)
     for code in _LETTERED:
-        fixed = F.regexp_replace(
-            fixed, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}"
-        )
+        fixed = F.replace(fixed, F.lit(f"\\u{code}"), F.lit(f"\\u{code.lower()}"))
+    fixed = F.replace(fixed, aside, F.lit("\\\\"))
     return F.when(text.rlike(r"\\u00[01][A-F]"), fixed).otherwise(text)
 
 

@@ -16,7 +16,7 @@ from stowage.operators import manifest as manifests
 from stowage.operators import validate
 from stowage.operators.validate import BUNDLE
 from stowage.plans import spread
-from stowage.schemas import Limits
+from stowage.schemas import RECEIPT, Limits
 
 ATTEMPT = ("attempt_id",)
 
@@ -117,6 +117,15 @@ def receipt_files(receipts: DataFrame, keys: tuple[str, ...] = BUNDLE) -> DataFr
     )
 
 
+def read_receipts(texts: DataFrame, column: str = "receipt") -> DataFrame:
+    """Parse stored receipt texts; add `r` and `readable`."""
+    parsed = F.from_json(F.col(column).cast("string"), RECEIPT)
+    whole = F.lit(True)
+    for field in RECEIPT.fieldNames():
+        whole = whole & F.col("r")[field].isNotNull()
+    return texts.withColumn("r", parsed).withColumn("readable", F.coalesce(whole, F.lit(False)))
+
+
 def reverify(
     expected: DataFrame, stored: DataFrame, keys: tuple[str, ...] = BUNDLE
 ) -> DataFrame:
@@ -156,12 +165,14 @@ class Intake:
                  with the reason
     accepted  -- members of accepted bundles, with digests, no content
     receipts  -- one row per accepted bundle
+    manifests -- the signed manifest bytes of each accepted bundle
     audit     -- one unchained audit record per processed attempt
     """
 
     outcomes: DataFrame
     accepted: DataFrame
     receipts: DataFrame
+    manifests: DataFrame
     audit: DataFrame
 
 
@@ -199,7 +210,7 @@ def gate(
         .when(~F.col("header_ok"), ended("refused", "auth"))
     )
     return matched.withColumn("early", early).drop(
-        "ipad", "opad", "token_sha", "_stored", "token", "manifest"
+        "ipad", "opad", "token_sha", "_stored", "token"
     )
 
 
@@ -299,7 +310,8 @@ def accept_bundles(
         "receipt_sha256",
     )
     # One accepted attempt per bundle is recorded, so a receipt finds one record.
-    return Intake(outcomes, accepted, receipts, audit)
+    manifests_kept = gated.select("attempt_id", "manifest").join(kept, "attempt_id").select(*BUNDLE, "manifest")
+    return Intake(outcomes, accepted, receipts, manifests_kept, audit)
 
 
 def described(arrivals: DataFrame) -> DataFrame:

@@ -70,6 +70,15 @@ RECEIPT_FILE = T.StructType(
         T.StructField("size_bytes", T.LongType()),
     ]
 )
+RECEIPT = T.StructType(
+    [
+        T.StructField("bundle_id", T.StringType()),
+        T.StructField("received_at", T.StringType()),
+        T.StructField("per_file_sha256_verified", T.ArrayType(RECEIPT_FILE)),
+        T.StructField("audit_log_offset", T.LongType()),
+        T.StructField("status", T.StringType()),
+    ]
+)
 # One landed upload: what the sender claimed in its headers, and the two parts.
 ARRIVAL = T.StructType(
     [

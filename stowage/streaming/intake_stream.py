@@ -2,7 +2,7 @@
 
 Tables under the output root, each written batch by batch:
 
-  outcomes, members, receipts, answers, audit/lines, audit/heads
+  outcomes, members, manifests, receipts, answers, audit/lines, audit/heads
 
 and `stage`, which holds what the current batch passes between its steps.
 A batch reads only earlier batches and replaces its own folders, so running it
@@ -75,6 +75,7 @@ def batch_writer(
             stage=lambda df, label: through_table(df, label, f"{root}/stage"),
         )
         tables.write_batch(result.accepted, f"{root}/members", batch_id)
+        tables.write_batch(result.manifests, f"{root}/manifests", batch_id)
         tables.write_batch(result.receipts, f"{root}/receipts", batch_id)
         lines, heads = _extend_audit(spark, result.audit, root, batch_id)
         receipts = spark.read.parquet(f"{root}/receipts/batch_id={batch_id}")

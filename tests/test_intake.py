@@ -235,6 +235,8 @@ def test_stream(spark, tmp_path):
         if row.event == "accept":
             assert offsets.pop(row.bundle_id) == sum(len(r.line) + 1 for r in ordered[:at])
     assert offsets == {}
+    stored = {(r.sender_id, r.bundle_id): bytes(r.manifest) for r in spark.read.parquet(f"{root}/manifests").collect()}
+    assert len(stored) == 6 and stored[("alpha", BUNDLE)] == make_manifest(OK)
     before = {t: rows(spark.read.parquet(f"{root}/{t}").drop("batch_id")) for t in ("members", "receipts", "answers", "audit/lines", "audit/heads")}
 
     # The last batch again, as after a lost driver: nothing is added or changed.
@@ -245,6 +247,14 @@ def test_stream(spark, tmp_path):
     assert intake_stream.stored_bundles(spark, root).count() == 6
 
 
+def test_stored_receipts_are_read_back(spark):
+    text = '{"bundle_id":"b","received_at":"t","per_file_sha256_verified":[{"relative_path":"a","sha256":"x","size_bytes":1}],"audit_log_offset":0,"status":"accept"}'
+    df = spark.createDataFrame([(1, text), (2, "{}"), (3, "junk")], "n int, receipt string")
+    assert rows(intake.read_receipts(df), "n", "readable") == [(1, True), (2, False), (3, False)]
+    files = intake.receipt_files(intake.read_receipts(df).filter("readable").select("r.*").withColumn("sender_id", F.lit("s")))
+    assert rows(files) == [("s", "b", "a", "x", 1)]
+
+
 def test_replay_split(spark):
     attempts = spark.createDataFrame([(i, "a", f"b{i % 3}") for i in range(9)] + [(9, "c", "b0")], "attempt_id long, sender_id string, bundle_id string")
     stored = spark.createDataFrame([("a", "b1")], "sender_id string, bundle_id string")
