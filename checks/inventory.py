@@ -247,10 +247,11 @@ def window_files(spark, sf):
 )
 def expand_selection(spark, sf):
     """Chosen folders and files become the selectable files they stand for."""
-    checked = _checked(spark, sf)
+    files = V.files(spark, sf)
+    checked = inventory.preflight(files, V.FILE_LIMITS)
     toxic = V.table(spark, sf, "labels").filter("toxic = 1")
-    named = checked.join(toxic, "doc_id", "left_semi").select("root", "relative_path")
-    folders = checked.filter("source = 'src1' OR (source = 'src2' AND lang = 'en')").select(
+    named = files.join(toxic, "doc_id", "left_semi").select("root", "relative_path")
+    folders = files.filter("source = 'src1' OR (source = 'src2' AND lang = 'en')").select(
         "root", F.when(F.col("source") == "src1", "src1").otherwise("src2/en").alias("relative_path")
     )
     return inventory.expand_selection(checked, folders, named, ["/data"]).select("root", "relative_path")

@@ -308,6 +308,11 @@ def in_window(checked: DataFrame, window_key: str | None, now_epoch: Column) ->
 
 
 # -- selections ---------------------------------------------------------------
+def _chosen_paths(chosen: DataFrame) -> DataFrame:
+    whole = F.when(F.col("relative_path") == "", F.col("root")).otherwise(absolute_path(chosen))
+    return chosen.select(whole.alias("absolute_path"))
+
+
 def expand_selection(
     checked: DataFrame,
     folders: DataFrame,
@@ -317,15 +322,18 @@ def expand_selection(
     """Selectable files chosen by name or lying below a chosen folder.
 
     `folders` and `files` have (root, relative_path); a folder of '' is the
-    root.  Each file appears once however often it was chosen.  Directories are
-    taken from the unfiltered table, so finding the chosen ones reads no content.
+    root.  Absolute paths decide, so a choice made under one root also finds a
+    file that an earlier root listed.  Each file appears once however often it
+    was chosen.  Directories are taken from the unfiltered table, so finding the
+    chosen ones reads no content.
     """
     listed = first_root_wins(checked.filter("toggleable"), roots)
+    everywhere = checked.select(absolute_path(checked).alias("absolute_path"))
     by_folder = spread.covered(
-        listed, "relative_path", folders, ["root"], "_below", include_top=True, directories_of=checked
+        listed, "absolute_path", _chosen_paths(folders), [], "_below", directories_of=everywhere
     )
     both = spread.spread_flag(
-        by_folder, files, ["root", "relative_path"], ["relative_path"], "_named", copies=1
+        by_folder, _chosen_paths(files), ["absolute_path"], ["absolute_path"], "_named", copies=1
     )
     return both.filter("_below OR _named").drop("_below", "_named")
 

@@ -43,7 +43,7 @@ def build_manifests(
     gathered = fits.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
     manifests = gathered.select(
         *keys,
-        F.size("_entries").alias("n_files"),
+        F.size("_entries").cast("long").alias("n_files"),
         canonical.manifest_text(
             bundle_id=F.col("bundle_id"),
             files=F.transform("_entries", lambda e: e["file"]),

@@ -160,6 +160,17 @@ def test_selection(spark):
     assert chosen(["none"], ["nested/deep/d.exe"]) == []
 
 
+def test_selection_over_overlapping_roots(spark):
+    outer = inventory.preflight(files(spark, TREE))
+    inner = inventory.preflight(files(spark, {"b.log": b"2", "c.log": b"3"}, "/r/nested", 1))
+    both = outer.unionByName(inner)
+    nothing = pick(spark, "none")
+    by_folder = inventory.expand_selection(both, pick(spark, "", root="/r/nested"), nothing, ["/r", "/r/nested"])
+    assert rows(by_folder, "root", "relative_path") == [("/r", "nested/b.log"), ("/r", "nested/c.log")]
+    by_name = inventory.expand_selection(both, nothing, pick(spark, "c.log", root="/r/nested"))
+    assert rows(by_name, "absolute_path") == [("/r/nested/c.log",)]
+
+
 def test_selection_by_list(spark):
     checked = inventory.preflight(files(spark, TREE))
     entries = inventory.tree(checked, inventory.folder_rollup(checked))

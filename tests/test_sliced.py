@@ -81,6 +81,21 @@ def test_no_exchange_is_on_the_group_alone_for_the_rows(skewed):
     assert len(alone) == 1 and len(wide) > 1
 
 
+def largest_share(df, columns, parts=24):
+    dealt = df.repartition(parts, *columns).groupBy(F.spark_partition_id().alias("p")).count()
+    counts = [r["count"] for r in dealt.collect()]
+    return max(counts) / sum(counts)
+
+
+def test_a_group_with_a_third_of_the_rows_is_spread(spark):
+    hot = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5000))
+    df = spark.range(60_000).select(hot.alias("k"), F.col("id").alias("at"))
+    order = SlicedOrder(("k",), by_number("at", 500), ("at",))
+    assert largest_share(df, ["k"]) > 1 / 3
+    assert largest_share(order.sliced(df), order.group) < 0.12
+    assert largest_share(spread._bucketed(df, ["at"], 64), ["k", "_bucket"]) < 0.12
+
+
 def test_spread_joins_equal_plain_joins(skewed, spark):
     data, df = skewed
     lookup = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, w int")
