@@ -8,6 +8,7 @@ from checks import views as V
 from checks.backups import runs
 from checks.registry import register
 from stowage.operators import catalog, fleet
+from stowage.session import through_table
 from stowage.sources.logs import connections
 
 
@@ -184,7 +185,7 @@ def outages(spark, sf):
     samples = V.table(spark, sf, "events").select(
         "user_id", "ts", F.col("event_id").alias("sample_id"), (~F.col("event_type").isin("error", "view")).alias("up")
     )
-    found = fleet.outages(samples, ("user_id",), longer_than=36000, slice_seconds=86400)
+    found = fleet.outages(samples, ("user_id",), longer_than=36000, slice_seconds=86400, stage=through_table)
     return found.select("user_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss").alias("started_at"), "down_micros")
 
 

@@ -165,25 +165,31 @@ def calendar_retention(
     """Add `keep`: newest N, or newest of the last N days, weeks or months.
 
     A backup older than the age limit goes whatever else would keep it.  The
-    newest of each period comes from an aggregate; only one row per period is
-    ranked.
+    newest of each day, week and month comes from one aggregate; only one row
+    per period is ranked.
     """
-    stamp = F.struct("modified_time", "name")
+    periods = [(unit, count) for unit, count in (("day", daily), ("week", weekly), ("month", monthly)) if count > 0]
     kept = None
-    for unit, count in (("day", daily), ("week", weekly), ("month", monthly)):
-        if count <= 0:
-            continue
-        newest = (
-            backups.groupBy(*keys, F.date_trunc(unit, F.col("modified_time")).alias("_period"))
-            .agg(F.max(stamp).alias("_s"))
-            .withColumn(
-                "_rank",
-                F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_period").desc())),
-            )
-            .filter(F.col("_rank") <= count)
+    if periods:
+        each = F.array(
+            *[
+                F.struct(
+                    F.lit(unit).alias("unit"),
+                    F.date_trunc(unit, F.col("modified_time")).alias("starts"),
+                    F.lit(count).alias("most"),
+                )
+                for unit, count in periods
+            ]
+        )
+        newest_period = Window.partitionBy(*keys, "p.unit").orderBy(F.col("p.starts").desc())
+        kept = (
+            backups.select(*keys, "modified_time", "name", F.explode(each).alias("p"))
+            .groupBy(*keys, "p")
+            .agg(F.max(F.struct("modified_time", "name")).alias("_s"))
+            .withColumn("_rank", F.row_number().over(newest_period))
+            .filter(F.col("_rank") <= F.col("p.most"))
             .select(*keys, "_s.modified_time", "_s.name")
         )
-        kept = newest if kept is None else kept.unionByName(newest)
     if last > 0:
         order = Window.partitionBy(*keys).orderBy(F.col("modified_time").desc(), F.col("name").desc())
         newest = (

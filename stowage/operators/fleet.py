@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,20 +148,22 @@ def outages(
     longer_than: int = DOWN_SECONDS,
     slice_seconds: int = 3600,
     tie: str = "sample_id",
+    stage: Callable[[DataFrame, str], DataFrame] = lambda df, label: df,
 ) -> DataFrame:
     """Stretches in which a target was down for longer than the limit.
 
     `samples` has the keys, ts, `tie` (unique) and up.  A stretch starts at the
     first down sample and ends at the next up sample, or lasts until the target's
-    last sample.  Only changes of state go into the second pass.
+    last sample.  Only changes of state go into the second pass; `stage` may
+    store them, since that pass reads them twice.
     """
     ts = F.col("ts").cast("timestamp")
     timed = samples.select(*keys, ts.alias("ts"), tie, "up")
     slices = by_time("ts", slice_seconds)
     forward = SlicedOrder(keys, slices, ("ts", tie))
-    changes = forward.previous(timed, {"_was": F.col("up")}).filter(
-        F.col("_was").isNull() | (F.col("_was") != F.col("up"))
-    )
+    compared = forward.previous(timed, {"_was": F.col("up")})
+    changed = F.col("_was").isNull() | (F.col("_was") != F.col("up"))
+    changes = stage(compared.filter(changed).drop("_was"), "changes")
     backward = SlicedOrder(keys, slices, ("ts", tie), newest_first=True)
     starts = backward.previous(changes, {"ended_at": F.col("ts")}).filter("NOT up")
     last = timed.groupBy(*keys).agg(F.max("ts").alias("_last"))

@@ -42,9 +42,10 @@ def write_quarantine(
     """Store members under sender and received date; refuse a known bundle."""
     if stored is not None and collisions(members, stored).limit(1).count():
         raise QuarantineCollision("a bundle of this write is already stored")
-    quarantined(members, received_at).write.partitionBy("sender_id", "yyyy", "mm", "dd").mode(
-        "append"
-    ).parquet(root)
+    folders = ("sender_id", "yyyy", "mm", "dd")
+    # Rebalancing gives each folder few files, and a busy sender several tasks.
+    rows = quarantined(members, received_at).hint("rebalance", *folders)
+    rows.write.partitionBy(*folders).mode("append").parquet(root)
 
 
 def write_batch(df: DataFrame, root: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:

@@ -11,7 +11,7 @@ DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
 CHOSEN = (
     "bundle_verdict receipts preflight_status folder_rollup_two_roots window_counts expand_selection manifest_signature "
-    "replay_split audit_chain_build audit_chain_tamper audit_seal retention_delete selective_restore outages"
+    "replay_split audit_chain_build audit_chain_tamper audit_seal retention_delete selective_restore outages stream_metrics quarantine_write"
 ).split()
 
 
