@@ -16,9 +16,17 @@ def parts(path: Column) -> Column:
 def normalise(path: Column) -> Column:
     """Relative text form: no leading slash, no '.' and no empty component.
 
-    Only rows that need it pay for the split.
+    Plain substring tests pick the rows that need the split; few do.
     """
-    untidy = path.rlike(r"(?s)^/|/$|//|(^|/)\.(/|$)")
+    untidy = (
+        path.startswith("/")
+        | path.endswith("/")
+        | path.startswith("./")
+        | path.endswith("/.")
+        | path.contains("//")
+        | path.contains("/./")
+        | (path == ".")
+    )
     return F.when(untidy, F.array_join(parts(path), "/")).otherwise(path)
 
 
@@ -28,7 +36,8 @@ def base_name(path: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """Directory of a normalised path, '' at the top."""
-    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
+    above = F.length(path) - F.length(base_name(path)) - 1
+    return F.left(path, F.greatest(above, F.lit(0)))
 
 
 def depth(path: Column) -> Column:
@@ -38,8 +47,11 @@ def depth(path: Column) -> Column:
 
 
 def extension(path: Column) -> Column:
-    """Lower-cased final suffix; a name that is all suffix has none."""
-    return F.lower(F.regexp_extract(base_name(path), r"(?s)^.+(\.[^.]+)$", 1))
+    """Lower-cased final suffix; a name that is all suffix, or ends in a dot, has none."""
+    name = base_name(path)
+    last = F.substring_index(name, ".", -1)
+    has_stem = F.length(name) - F.length(last) > 1
+    return F.when(has_stem & (last != ""), F.concat(F.lit("."), F.lower(last))).otherwise("")
 
 
 def escapes_root(path: Column) -> Column:
@@ -57,7 +69,7 @@ def escapes_root(path: Column) -> Column:
         ),
         lambda acc: acc["lowest"] < 0,
     )
-    return F.when(path.rlike(r"(?s)(^|/)\.\.(/|$)"), walk).otherwise(F.lit(False))
+    return F.when(path.contains(".."), walk).otherwise(F.lit(False))
 
 
 def ancestors(path: Column, include_self: bool = False, include_top: bool = False) -> Column:
