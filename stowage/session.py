@@ -25,21 +25,24 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can read, as named by the cluster.
+    """Folder every executor can read, as the cluster names it in the session.
 
-    A machine-local folder is only chosen for a local master, where there is
-    one machine.
+    A machine-local folder is only made for a local master, where there is one
+    machine, and only where the session names none.
     """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is unset: name a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="stowage-")
-    context.getConf().set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="stowage-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def through_table(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
