@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,13 +20,31 @@ RUNTIME_SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session and hand it back."""
+    """Apply the runtime settings, send the package to the workers, hand the session back."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="stowage-package-")) / "stowage.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    context.addPyFile(str(bundle))
+    _SHIPPED.add(context.applicationId)
+
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
