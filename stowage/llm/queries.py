@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import exact_dedup, mixing, pieces, simhash, toxicity
-from stowage.llm.common import prepared
+from stowage.llm import blob_ledger, exact_dedup, forest, language, mixing, pieces, records, simhash, toxicity, warc
+from stowage.llm.common import fresh_folder, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -17,7 +17,8 @@ ORACLES: dict[str, str] = {}
 
 #: Model files; a job may set its own.
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
-TOXIC_FOLDS = 5
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LANGUAGE_FOLDS, TOXIC_FOLDS = 4, 5
 
 
 def register(name: str, sql: str | None = None):
@@ -54,12 +55,56 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf, "documents"))
 
 
+@register("op2_secrets")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    """A first scan, into a new ledger: every blob is unseen."""
+    found = blob_ledger.scan(table(spark, sf, "documents"), fresh_folder(spark, "secret-ledger"))
+    spans = blob_ledger.listed(found)
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"), "blob"
+    )
+
+
 @register("op3_mixing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register(
+    "op4_warc",
+    """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> newest THEN newest END AS refers_to
+FROM q""",
+)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive(table(spark, sf, "pages"))
+
+
+@register("op5_neighbours")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register("op6_language")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Learned from three folds of four, predicted for all documents."""
+    docs = table(spark, sf, "documents")
+    model = language.fit(docs.filter(fold(LANGUAGE_FOLDS) != 2))
+    return language.predict(docs, model).select(
+        "doc_id", (fold(LANGUAGE_FOLDS) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@register("op7_records")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return records.records(table(spark, sf, "documents"), WORD_TOKENIZER)
+
+
 @register("op8_pieces")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf, "documents"), PIECE_MODEL)
