@@ -56,16 +56,17 @@ def build_filters(fingerprints: DataFrame, bits: int) -> DataFrame:
             if size >= FOLD_ROWS:
                 held, size = [qf.merged(held)], 0
         values, counts = qf.merged(held)
+        if not len(values):
+            return
         blocks = (values >> np.uint64(64 - bits)).astype(np.int64)
-        edges = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(values) else []
+        edges = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
         rows = []
         for start, stop in zip(edges, [*edges[1:], len(values)], strict=True):
             rows.append((int(blocks[start]), qf.encode(values[start:stop], counts[start:stop], bits)))
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                names=["block", "filter"],
-            )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+            names=["block", "filter"],
+        )
 
     return fingerprints.mapInArrow(build, "block long, filter binary")
 
