@@ -117,7 +117,7 @@ class Normaliser:
         if self.squeeze:
             while at < len(data):
                 piece, length = self._next(data, at)
-                if piece.strip(b" "):
+                if piece != b" ":
                     break
                 at += length
         if at == len(data):

@@ -41,6 +41,7 @@ from pyspark.sql.datasource import (
     EqualTo,
     In,
     InputPartition,
+    IsNotNull,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
@@ -213,13 +214,17 @@ class WarcReader(DataSourceReader):
         self.folder = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
         self.bytes = int(options.get("partitionBytes", PARTITION_BYTES))
+        #: Headers that must be there, and the values of those that must have one of some.
+        self.present: list[str] = []
         self.tests: list[tuple[str, tuple]] = []
 
     def pushFilters(self, filters):
         """Take tests of one header column against values; leave the rest to Spark."""
         for test in filters:
             column = test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
-            if column in HEADERS and isinstance(test, EqualTo) and isinstance(test.value, str):
+            if column in HEADERS and isinstance(test, IsNotNull):
+                self.present.append(HEADERS[column].lower())
+            elif column in HEADERS and isinstance(test, EqualTo) and isinstance(test.value, str):
                 self.tests.append((HEADERS[column].lower(), (test.value,)))
             elif column in HEADERS and isinstance(test, In) and all(isinstance(v, str) for v in test.value):
                 self.tests.append((HEADERS[column].lower(), tuple(test.value)))
@@ -252,7 +257,9 @@ class WarcReader(DataSourceReader):
             with store.open_input_file(f"{path}/{name}") as file:
                 records = _Members(file, size) if name.endswith(".gz") else _Plain(file)
                 for offset, headers, payload in records.records():
-                    if all(headers.get(header) in values for header, values in self.tests):
+                    if all(header in headers for header in self.present) and all(
+                        headers.get(header) in values for header, values in self.tests
+                    ):
                         yield (
                             *(headers.get(c) for c in columns),
                             int(headers.get("content-length", 0)),
