@@ -16,7 +16,7 @@ from stowage.session import shared_folder, through_table, tune
 BATCH_ROWS = 1000
 
 #: Texts of a batch are worked off in blocks of about so many characters.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 
 __all__ = ["BATCH_ROWS", "blocks", "fresh_folder", "prepared", "text_of", "through_table", "words_of"]
 

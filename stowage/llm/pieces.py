@@ -18,7 +18,6 @@ Defined cases: a null text counts as empty; an empty text has no pieces.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ from sentencepiece import sentencepiece_model_pb2
 from stowage.llm.common import blocks, prepared, text_of
 
 #: Parts of texts whose pieces a task remembers, and the longest that it remembers.
-MEMORY, LONGEST = 200_000, 48
+MEMORY, LONGEST = 80_000, 48
 
 _MARK = "▁"
 _MARK_BYTES = _MARK.encode()
@@ -239,11 +238,6 @@ class Encoder:
         return self.processor.decode(ids.tolist())
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def _narrow(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     prepared(docs.sparkSession)
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(F.col(f"`{text_col}`")).alias("body"))
@@ -261,7 +255,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     narrow, kind = _narrow(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
+        own = Encoder(model)
         for batch, texts in blocks(batches, "body"):
             ids = [own.ids(d) for d in own.decimals(texts)]
             spans = [own.spans(t, i) for t, i in zip(texts, ids, strict=True)]
@@ -281,7 +275,7 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
+        own = Encoder(model)
         for batch in batches:
             texts = own.processor.decode(batch.column("ids").to_pylist(), num_threads=1) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -300,7 +294,7 @@ def round_trip(
     narrow, kind = _narrow(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(model)
+        own = Encoder(model)
         for batch, texts in blocks(batches, "body"):
             encoded = [(own.ids(d), d) for d in own.decimals(texts)]
             covered = []

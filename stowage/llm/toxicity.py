@@ -51,7 +51,7 @@ RATE = 0.3
 DECAY = 1e-3
 START_BIAS = -6.0
 #: Words a task remembers the features of.
-MEMORY = 1 << 18
+MEMORY = 100_000
 
 _SENTENCE = re.compile(r"[^.!?\n\r]+")
 _WORD = re.compile(r"[^\W_]+")

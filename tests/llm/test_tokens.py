@@ -26,7 +26,7 @@ def odd_texts(n, seed):
 
 
 def test_pieces_equal_the_library():
-    own = pieces.encoder(MODEL)
+    own = pieces.Encoder(MODEL)
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert own.in_parts
     for text in odd_texts(4000, 1):
