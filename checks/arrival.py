@@ -40,20 +40,20 @@ def with_sent(body, *names):
     return _SENT + "".join(f",\n{n} AS ({texts[n]})" for n in names) + "\n" + body
 
 
-def _packed(spark, sf, codec="gzip", limits=PACK_LIMITS):
+def _packed(spark, sf, codec="gzip", limits=Limits()):
     files = _sent(spark, sf).withColumn("relative_path", F.col("name"))
     return archives.pack_bundles(files, limits, codec=codec)
 
 
-_FITS = "(SELECT sender_id, bundle_id FROM members GROUP BY ALL HAVING count(*) <= 7 AND sum(size_bytes) <= 9000)"
+_BUNDLES = "(SELECT DISTINCT sender_id, bundle_id FROM members)"
 
 
 @register(
     "pack_bundles",
-    with_sent(f"SELECT sender_id, bundle_id, count(*) AS n_files FROM members JOIN {_FITS} USING (sender_id, bundle_id) GROUP BY ALL"),
+    with_sent(f"SELECT sender_id, bundle_id, count(*) AS n_files FROM members JOIN {_BUNDLES} USING (sender_id, bundle_id) GROUP BY ALL"),
 )
 def pack_bundles(spark, sf):
-    """One archive per bundle that a receiver would take."""
+    """One archive per bundle; all are within the default limits."""
     return _packed(spark, sf)[0].select(*KEYS, "n_files")
 
 
@@ -66,14 +66,14 @@ FROM members GROUP BY sender_id, bundle_id HAVING count(*) > 7 OR sum(size_bytes
 )
 def pack_refused(spark, sf):
     """Bundles over the file or byte cap."""
-    return _packed(spark, sf)[1]
+    return _packed(spark, sf, limits=PACK_LIMITS)[1]
 
 
 @register(
     "explode_archives",
     with_sent(
         f"""SELECT sender_id, bundle_id, row_number() OVER (PARTITION BY sender_id, bundle_id ORDER BY member_idx) - 1 AS member_idx, name, 'file' AS member_type, size_bytes,
-  CASE WHEN size_bytes <= 2000 THEN sha256(content) END AS sha256 FROM members JOIN {_FITS} USING (sender_id, bundle_id)"""
+  CASE WHEN size_bytes <= 2000 THEN sha256(content) END AS sha256 FROM members JOIN {_BUNDLES} USING (sender_id, bundle_id)"""
     ),
 )
 def explode_archives(spark, sf):
@@ -87,7 +87,7 @@ def explode_archives(spark, sf):
     "archive_listing",
     with_sent(
         f"""SELECT sender_id, bundle_id, row_number() OVER (PARTITION BY sender_id, bundle_id ORDER BY member_idx) - 1 AS member_idx, name
-FROM members JOIN {_FITS} USING (sender_id, bundle_id)"""
+FROM members JOIN {_BUNDLES} USING (sender_id, bundle_id)"""
     ),
 )
 def archive_listing(spark, sf):
@@ -120,8 +120,8 @@ def _assorted(spark, sf):
     return sound.unionByName(damaged).unionByName(_squeezed(spark, sf))
 
 
-_ASSORTED = f"""(SELECT 'ok-' || bundle_id AS label, true AS valid, NULL AS failed_stage FROM {_FITS}
-  UNION ALL SELECT 'bad-' || bundle_id, false, 'zstd' FROM {_FITS} UNION ALL SELECT 'doc-' || doc_id, false, 'tar' FROM documents)"""
+_ASSORTED = f"""(SELECT 'ok-' || bundle_id AS label, true AS valid, NULL AS failed_stage FROM {_BUNDLES}
+  UNION ALL SELECT 'bad-' || bundle_id, false, 'zstd' FROM {_BUNDLES} UNION ALL SELECT 'doc-' || doc_id, false, 'tar' FROM documents)"""
 
 
 @register("archive_validity", with_sent(f"SELECT label, valid FROM {_ASSORTED}"))
@@ -149,12 +149,12 @@ def scan_given_files(spark, sf):
 
 @register(
     "audit_log_files",
-    V.with_chain("SELECT sender_id || '-' || chain_no AS chain, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_broken, true AS ok FROM chain GROUP BY sender_id, chain_no"),
+    V.with_chain("SELECT sender_id AS chain, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_broken, true AS ok FROM chain GROUP BY sender_id"),
 )
 def audit_log_files(spark, sf):
     """Chains written as text logs, read back by file block and verified."""
     folder = fresh_folder(spark, "logs")
-    lines = V.built_chain(spark, sf).withColumn("chain", F.concat_ws("-", "sender_id", F.col("chain_no").cast("string")))
+    lines = V.built_chain(spark, sf).withColumnRenamed("sender_id", "chain")
     lines.sortWithinPartitions("chain", "seq").select("chain", "line").write.partitionBy("chain").text(folder)
     found = logs.numbered_lines(logs.read_audit_lines(spark, folder))
     checked = audit.verify_chains(found, audit.audit_order(1000))
@@ -251,7 +251,7 @@ def _arrivals(spark, sf):
     declared = V.manifest_files(members).withColumnRenamed("idx", "member_idx").withColumn("mtime", F.lit(V.NOW))
     manifests, _ = manifest.build_manifests(declared, F.lit("2024-01-31T00:00:00Z"), F.lit("/var/log"))
     signed = manifest.sign(manifests, V.senders(members))
-    packed, _ = _packed(spark, sf, limits=Limits())
+    packed, _ = _packed(spark, sf)
     conv = F.substring("bundle_id", 2, 20).cast("long")
     claimed = F.when(conv % 17 == 0, F.concat("signature", F.lit("0"))).otherwise(F.col("signature"))
     rows = packed.join(signed, KEYS).select(

@@ -8,13 +8,13 @@ from checks import views as V
 from checks.registry import register
 from stowage.operators import audit
 
-CHAIN = ["sender_id", "chain_no"]
+CHAIN = ["sender_id"]
 _SLICE = 16
 
 
 @register(
     "audit_chain_build",
-    V.with_chain("SELECT sender_id, chain_no, seq, prev_hash, line, sha256(line || chr(10)) AS line_sha256 FROM chain"),
+    V.with_chain("SELECT sender_id, seq, prev_hash, line, sha256(line || chr(10)) AS line_sha256 FROM chain"),
 )
 def audit_chain_build(spark, sf):
     """Audit lines of every chain, each naming the digest of the one before."""
@@ -24,7 +24,7 @@ def audit_chain_build(spark, sf):
 @register(
     "audit_chain_heads",
     V.with_chain(
-        "SELECT sender_id, chain_no, arg_max(sha256(line || chr(10)), seq) AS head_hash, CAST(sum(strlen(line) + 1) AS BIGINT) AS log_bytes FROM chain GROUP BY ALL"
+        "SELECT sender_id, arg_max(sha256(line || chr(10)), seq) AS head_hash, CAST(sum(strlen(line) + 1) AS BIGINT) AS log_bytes FROM chain GROUP BY ALL"
     ),
 )
 def audit_chain_heads(spark, sf):
@@ -34,7 +34,7 @@ def audit_chain_heads(spark, sf):
 
 @register(
     "audit_chain_continue",
-    V.with_chain("SELECT sender_id, chain_no, seq, line FROM chain"),
+    V.with_chain("SELECT sender_id, seq, line FROM chain"),
 )
 def audit_chain_continue(spark, sf):
     """Chains built in two steps, the second from the heads of the first."""
@@ -45,9 +45,9 @@ def audit_chain_continue(spark, sf):
     return first.unionByName(second).select(*CHAIN, "seq", "line")
 
 
-# Chains as log files: every ten lines a new file; the active one is the last.
+# Chains as log files: every 25 lines a new file; the fourth is still active.
 _FILED = """
-SELECT sender_id || '-' || chain_no AS chain_id, CAST(seq // 10 AS BIGINT) AS file_no, seq, line FROM chain"""
+SELECT sender_id AS chain_id, CAST(seq // 25 AS BIGINT) AS file_no, seq, line FROM chain"""
 _TAMPERED = """
 SELECT chain_id, file_no, seq, CASE WHEN hash_no % 97 = 0 THEN replace(line, '"remote_addr":"', '"remote_addr":"9') ELSE line END AS line
 FROM (SELECT f.*, row_number() OVER (PARTITION BY chain_id ORDER BY seq) * 31 + length(chain_id) * 7 + strlen(line) AS hash_no FROM filed f)
@@ -58,8 +58,8 @@ V.SQL["tampered"] = _TAMPERED
 
 def _filed(spark, sf):
     return V.built_chain(spark, sf).select(
-        F.concat_ws("-", "sender_id", F.col("chain_no").cast("string")).alias("chain_id"),
-        F.expr("seq div 10").alias("file_no"),
+        F.col("sender_id").alias("chain_id"),
+        F.expr("seq div 25").alias("file_no"),
         "seq",
         "line",
     )
@@ -132,7 +132,7 @@ def audit_chain_first_break(spark, sf):
 @register(
     "audit_offsets",
     V.with_chain(
-        """SELECT sender_id, chain_no, seq, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY sender_id, chain_no ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS audit_log_offset FROM chain"""
+        """SELECT sender_id, seq, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY sender_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS audit_log_offset FROM chain"""
     ),
 )
 def audit_offsets(spark, sf):
@@ -140,8 +140,8 @@ def audit_offsets(spark, sf):
     return audit.byte_offsets(V.built_chain(spark, sf), tuple(CHAIN), _SLICE).select(*CHAIN, "seq", "audit_log_offset")
 
 
-_SEAL = """SELECT sender_id, sha256(string_agg(line || chr(10), '' ORDER BY chain_no, seq)) AS seal_hash,
-  sha256(arg_max(line, chain_no * 100 + seq) || chr(10)) AS prev_hash, count(*) AS n_lines FROM chain GROUP BY sender_id"""
+_SEAL = """SELECT sender_id, sha256(string_agg(line || chr(10), '' ORDER BY seq)) AS seal_hash,
+  sha256(arg_max(line, seq) || chr(10)) AS prev_hash, count(*) AS n_lines FROM chain GROUP BY sender_id"""
 
 
 @register(
@@ -153,22 +153,21 @@ _SEAL = """SELECT sender_id, sha256(string_agg(line || chr(10), '' ORDER BY chai
 )
 def audit_seal(spark, sf):
     """Seal of each sender's log: digest of the whole file in order."""
-    lines = V.built_chain(spark, sf).withColumn("at", F.expr("chain_no * 100 + seq"))
-    return audit.seal_files(lines, ["sender_id"], F.lit("2024-02-01T00:00:00Z"), "at")
+    return audit.seal_files(V.built_chain(spark, sf), ["sender_id"], F.lit("2024-02-01T00:00:00Z"))
 
 
 @register(
     "audit_seal_check",
     V.with_chain(
-        """SELECT sender_id || '-' || chain_no AS chain_id, count(*) > 0 AND NOT coalesce(bool_or(seq = 5 AND chain_no = 1), false) AS seal_ok FROM chain GROUP BY sender_id, chain_no"""
+        """SELECT sender_id AS chain_id, NOT (sender_id LIKE '%1' AND bool_or(seq = 5)) AS seal_ok FROM chain GROUP BY sender_id"""
     ),
 )
 def audit_seal_check(spark, sf):
     """Seals recomputed over files, some of which had a line removed later."""
     lines = _filed(spark, sf).select("chain_id", "seq", "line")
     sealed = audit.rotate(lines, F.lit("2024-02-01T00:00:00Z"), F.lit("sealed"))
-    second = F.col("chain_id").endswith("-1")
-    return audit.verify_seals(sealed.filter(~(second & (F.col("seq") == 5) & ~F.col("line").contains('"seal"')))).select(
+    chosen = F.col("chain_id").endswith("1")
+    return audit.verify_seals(sealed.filter(~(chosen & (F.col("seq") == 5) & ~F.col("line").contains('"seal"')))).select(
         "chain_id", "seal_ok"
     )
 

@@ -263,8 +263,7 @@ STREAM_SQL = {"findings": _findings_sql(STREAM_LIMITS), "verdicts": _verdicts_sq
 BUNDLE_VIEWS = ("members", "regular", "manifest_files", "running", "findings", "verdicts")
 
 # -- audit --------------------------------------------------------------------
-# One receive attempt per event; chains are cut after 40 records.
-CHAIN_RECORDS = 40
+# One receive attempt per event; a sender's attempts are one chain.
 SQL["attempts"] = """
 SELECT event_id, 'u' || user_id AS sender_id, 'e' || event_id AS bundle_id,
   strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_text,
@@ -273,8 +272,7 @@ SELECT event_id, 'u' || user_id AS sender_id, 'e' || event_id AS bundle_id,
   CAST(CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 9 + 1 END AS BIGINT) AS file_count,
   CAST(strlen(props) AS BIGINT) AS byte_count, sha256(props) AS receipt_sha256,
   CASE WHEN event_id % 50 = 0 THEN 'unknown' ELSE '10.0.0.' || (event_id % 250) END AS remote_addr,
-  CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 40 AS BIGINT) AS chain_no,
-  CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 40 AS BIGINT) AS seq
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq
 FROM events"""
 
 
@@ -295,20 +293,20 @@ def attempts(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("CASE WHEN event_id % 50 = 0 THEN 'unknown' ELSE concat('10.0.0.', event_id % 250) END").alias("remote_addr"),
     )
     order = SlicedOrder(("sender_id",), by_number("event_id", 100_000), ("event_id",))
-    return audit.split_chains(records, order, CHAIN_RECORDS)
+    return order.position(records, "_at").withColumn("seq", F.col("_at") - 1).drop("_at")
 
 
 SQL["heads"] = """
-SELECT sender_id, chain_no, seq, event_id,
+SELECT sender_id, seq, event_id,
   '{"ts":"' || ts_text || '","event":"' || event || '","sender_id":"' || sender_id || '","bundle_id":"' || bundle_id
   || '","remote_addr":"' || remote_addr || '","byte_count":' || byte_count || ',"file_count":' || file_count
   || ',"reject_reason":' || coalesce('"' || reject_reason || '"', 'null') || ',"receipt_sha256":"' || receipt_sha256 || '","prev_hash":"' AS head
 FROM attempts"""
 SQL["chain"] = """
-SELECT sender_id, chain_no, seq, event_id, repeat('0', 64) AS prev_hash, head || repeat('0', 64) || '"}' AS line FROM heads WHERE seq = 0
+SELECT sender_id, seq, event_id, repeat('0', 64) AS prev_hash, head || repeat('0', 64) || '"}' AS line FROM heads WHERE seq = 0
 UNION ALL
-SELECT h.sender_id, h.chain_no, h.seq, h.event_id, sha256(c.line || chr(10)), h.head || sha256(c.line || chr(10)) || '"}'
-FROM chain c JOIN heads h ON h.sender_id = c.sender_id AND h.chain_no = c.chain_no AND h.seq = c.seq + 1"""
+SELECT h.sender_id, h.seq, h.event_id, sha256(c.line || chr(10)), h.head || sha256(c.line || chr(10)) || '"}'
+FROM chain c JOIN heads h ON h.sender_id = c.sender_id AND h.seq = c.seq + 1"""
 CHAIN_VIEWS = ("attempts", "heads", "chain")
 
 
@@ -318,7 +316,7 @@ def with_chain(body: str, *more: str) -> str:
 
 def built_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Audit logs as they are stored; what reads them twice does not build them twice."""
-    return through_table(audit.build_chain(attempts(spark, sf), ["sender_id", "chain_no"]), "chain")
+    return through_table(audit.build_chain(attempts(spark, sf), ["sender_id"]), "chain")
 
 
 # -- backups ------------------------------------------------------------------

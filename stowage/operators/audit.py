@@ -19,7 +19,6 @@ from stowage.plans.sliced import SlicedOrder, by_number
 from stowage.schemas import GENESIS_HASH
 
 SLICE_LINES = 50_000
-MAX_CHAIN_RECORDS = 1_000_000
 
 
 def line_hash(line: Column) -> Column:
@@ -28,23 +27,6 @@ def line_hash(line: Column) -> Column:
 
 
 # -- build --------------------------------------------------------------------
-def split_chains(
-    records: DataFrame, order: SlicedOrder, most: int = MAX_CHAIN_RECORDS
-) -> DataFrame:
-    """Number the chains of one key so that none exceeds `most` records.
-
-    Adds chain_no and seq.  A key with a large share of all records becomes many
-    chains that are built side by side.
-    """
-    ranked = order.position(records, "_at")
-    return ranked.withColumns(
-        {
-            "chain_no": F.expr(f"(_at - 1) div {int(most)}"),
-            "seq": F.expr(f"(_at - 1) % {int(most)}"),
-        }
-    ).drop("_at")
-
-
 def build_chain(
     records: DataFrame,
     chain_keys: list[str],
@@ -58,7 +40,9 @@ def build_chain(
     prev_hash.  `heads` has the chain keys and head_hash; a chain without a head
     starts from the genesis value.  The JSON text is made by built-in functions;
     the ordered pass only hashes, keeps one digest in memory and streams, so a
-    long chain needs time but no memory.  Bound chains with `split_chains`.
+    long chain needs time but no memory.
+    A sender's records are one chain, whatever its length: `rotate` divides a long
+    log into files, and the next file's chain starts from the seal.
     Columns named in `keep` come along.
     """
     values = {n: F.col(n) for n in canonical.AUDIT_FIELDS if n != "prev_hash"}

@@ -266,9 +266,13 @@ def upsert_by_name(catalog: DataFrame, incoming: DataFrame, new_id: Column) -> D
     """Catalog after an upload: a known name keeps its id, a new one gets `new_id`.
 
     Of several live entries with the name the first id is the one updated.
+    Entries marked `trashed` are not live, and where both sides have a `folder`
+    only entries of the same folder are.
     """
-    live = catalog.groupBy("name").agg(F.min("id").alias("_id"))
-    targeted = incoming.join(live, "name", "left").withColumns(
+    keys = ["name"] + ["folder"] * ("folder" in catalog.columns and "folder" in incoming.columns)
+    live = catalog.filter(~F.coalesce("trashed", F.lit(False))) if "trashed" in catalog.columns else catalog
+    live = live.groupBy(*keys).agg(F.min("id").alias("_id"))
+    targeted = incoming.join(live, keys, "left").withColumns(
         {
             "action": F.when(F.col("_id").isNull(), "create").otherwise("update"),
             "id": F.coalesce("_id", new_id),

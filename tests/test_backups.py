@@ -118,6 +118,16 @@ def test_upsert(spark):
     assert got == [("1", "a", 9, "update"), ("2", "a", 2, "keep"), ("3", "b", 3, "keep"), ("y", "c", 8, "create")]
 
 
+def test_upsert_leaves_trashed_and_other_folders(spark):
+    schema = "id string, name string, folder string, trashed boolean, modified_time timestamp_ntz, size_bytes long"
+    old = spark.createDataFrame(
+        [("a1", "n", "other", False, T0, 1), ("a2", "n", "here", True, T0, 2), ("b2", "n", "here", None, T0, 3)], schema
+    )
+    new = spark.createDataFrame([("n", "here", T0, 9, "x")], "name string, folder string, modified_time timestamp_ntz, size_bytes long, new_id string")
+    got = rows(catalog.upsert_by_name(old, new, F.col("new_id")), "id", "size_bytes", "action")
+    assert got == [("a1", 1, "keep"), ("a2", 2, "keep"), ("b2", 9, "update")]
+
+
 def test_calendar_retention(spark):
     df = spark.createDataFrame(
         [("d", f"b{i:03d}", T0 - timedelta(hours=12 * i), 1) for i in range(200)],
