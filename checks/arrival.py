@@ -266,12 +266,24 @@ def _arrivals(spark, sf):
     return rows.select(*ARRIVAL.fieldNames())
 
 
+def _repeated(spark, sf):
+    """All bundles, then each again with a forged signature, then with a damaged archive."""
+    sent = through_table(_arrivals(spark, sf), "arrivals")
+    forged = sent.withColumns(
+        {"attempt_id": F.col("attempt_id") + 300_000, "signature": F.concat("signature", F.lit("1"))}
+    )
+    damaged = sent.withColumns(
+        {"attempt_id": F.col("attempt_id") + 600_000, "archive": F.concat(F.lit(b"\x00\x01"), "archive")}
+    )
+    return sent, sent.unionByName(forged).unionByName(damaged)
+
+
 def run_stream(spark, sf):
-    """Land all bundles, take them in, land them again with good tokens, take those in."""
+    """Land all bundles several times, take them in, land them with good tokens, take those in."""
     root = fresh_folder(spark, "intake")
     senders = through_table(V.senders(V.members(spark, sf)), "senders")
-    first = through_table(_arrivals(spark, sf), "arrivals")
-    second = first.withColumns(
+    sent, first = _repeated(spark, sf)
+    second = sent.withColumns(
         {"attempt_id": F.col("attempt_id") + 1_000_000, "token": F.concat(F.lit("token-"), "sender_id")}
     )
     for uploads in (first, second):
@@ -288,11 +300,13 @@ def run_stream(spark, sf):
     return f"{root}/store"
 
 
-_OUTCOMES = """(SELECT attempt_id, sender_id, bundle_id, CASE WHEN bad_token OR bad_signature THEN 'refused' WHEN accepted AND prior THEN 'replay' WHEN accepted THEN 'accept' ELSE 'reject' END AS status,
-  CASE WHEN bad_token OR bad_signature THEN 'auth' ELSE reason END AS reason
-FROM (SELECT conv_id + 1000000 * k AS attempt_id, sender_id, bundle_id, k = 0 AND conv_id % 11 = 0 AS bad_token, conv_id % 17 = 0 AS bad_signature,
-    k = 1 AND conv_id % 11 <> 0 AS prior, accepted, reason
-  FROM (SELECT *, CAST(substr(bundle_id, 2) AS BIGINT) AS conv_id FROM verdicts WHERE bundle_id IN (SELECT bundle_id FROM manifest_files)), (VALUES (0), (1)) t(k)))"""
+# The four landings: sound, forged signature, damaged archive; then sound again with good tokens.
+_OUTCOMES = """(SELECT attempt_id, sender_id, bundle_id, status,
+  CASE status WHEN 'refused' THEN 'auth' WHEN 'reject' THEN CASE WHEN damaged AND phase IS DISTINCT FROM 0 THEN 'path_unsafe' ELSE reason END END AS reason
+FROM (SELECT *, CASE WHEN k < 1000000 AND conv_id % 11 = 0 THEN 'refused' WHEN accepted AND conv_id % 17 <> 0 AND conv_id % 11 <> 0 AND k > 0 THEN 'replay'
+    WHEN conv_id % 17 = 0 OR k = 300000 THEN 'refused' WHEN accepted AND NOT damaged THEN 'accept' ELSE 'reject' END AS status
+  FROM (SELECT conv_id + k AS attempt_id, k = 600000 AS damaged, *
+    FROM (SELECT *, CAST(substr(bundle_id, 2) AS BIGINT) AS conv_id FROM verdicts WHERE bundle_id IN (SELECT bundle_id FROM manifest_files)), (VALUES (0), (300000), (600000), (1000000)) t(k))))"""
 
 
 @register("stream_intake", with_sent(f"SELECT attempt_id, sender_id, bundle_id, status, reason FROM {_OUTCOMES}", *V.BUNDLE_VIEWS[1:]))
@@ -345,7 +359,7 @@ def audit_every_attempt(spark, sf):
     """Audit input that also records attempts refused before validation."""
     from stowage.operators import intake
 
-    arrivals = through_table(_arrivals(spark, sf), "arrivals")
+    arrivals = through_table(_repeated(spark, sf)[1], "repeated")
     senders = V.senders(V.members(spark, sf))
     none_stored = senders.filter(F.lit(False)).select("sender_id", F.lit("").alias("bundle_id"))
     gated = through_table(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import views as V
 from checks.registry import register
 from stowage.operators import audit
+from stowage.session import through_table
 
 CHAIN = ["sender_id"]
 _SLICE = 16
@@ -159,17 +160,56 @@ def audit_seal(spark, sf):
 @register(
     "audit_seal_check",
     V.with_chain(
-        """SELECT sender_id AS chain_id, NOT (sender_id LIKE '%1' AND bool_or(seq = 5)) AS seal_ok FROM chain GROUP BY sender_id"""
+        """SELECT sender_id AS chain_id, NOT (sender_id LIKE '%1' AND bool_or(seq = 5)) AND sender_id NOT LIKE '%2' AND sender_id NOT LIKE '%3' AS seal_ok
+FROM chain GROUP BY sender_id"""
     ),
 )
 def audit_seal_check(spark, sf):
-    """Seals recomputed over files, some of which had a line removed later."""
+    """Seals recomputed over files; some lost a line later, some got a copy of their seal."""
     lines = _filed(spark, sf).select("chain_id", "seq", "line")
     sealed = audit.rotate(lines, F.lit("2024-02-01T00:00:00Z"), F.lit("sealed"))
     chosen = F.col("chain_id").endswith("1")
-    return audit.verify_seals(sealed.filter(~(chosen & (F.col("seq") == 5) & ~F.col("line").contains('"seal"')))).select(
-        "chain_id", "seal_ok"
+    seals = sealed.filter(F.col("line").contains('"seal"'))
+    after = seals.filter(F.col("chain_id").endswith("2")).withColumn("seq", F.col("seq") + 1)
+    before = seals.filter(F.col("chain_id").endswith("3")).withColumn("seq", F.lit(-1).cast("long"))
+    lacking = sealed.filter(~(chosen & (F.col("seq") == 5) & ~F.col("line").contains('"seal"')))
+    return audit.verify_seals(lacking.unionByName(after).unionByName(before)).select("chain_id", "seal_ok")
+
+
+@register(
+    "audit_rotate_continue",
+    V.with_views(
+        """SELECT chain_id, n_lines, CAST(broken_seq IS NOT NULL AS BIGINT) AS n_broken, broken_seq IS NULL AS ok,
+  CASE broken_seq WHEN 15 THEN '000001' WHEN 30 THEN '000002' END AS broken_file, broken_seq
+FROM (SELECT sender_id AS chain_id,
+    CASE WHEN sender_id LIKE '%1' THEN 0 ELSE least(n, 15) + 1 END
+    + CASE WHEN n <= 15 OR sender_id LIKE '%2' THEN 0 ELSE least(n, 30) - 14 END + greatest(n - 30, 0) AS n_lines,
+    CASE WHEN sender_id LIKE '%1' AND n > 15 THEN CAST(15 AS BIGINT) WHEN sender_id LIKE '%2' AND n > 30 THEN CAST(30 AS BIGINT) END AS broken_seq
+  FROM (SELECT sender_id, count(*) AS n FROM attempts GROUP BY sender_id))
+WHERE n_lines > 0""",
+        "attempts",
+    ),
+)
+def audit_rotate_continue(spark, sf):
+    """Logs rotated twice, each file starting from the seal before; some sealed files are lost."""
+    records = V.attempts(spark, sf)
+    seal = F.lit("2024-02-01T00:00:00Z")
+    heads, files = None, []
+    for number, upto in enumerate((15, 30)):
+        part = records.filter(F.col("seq").between(upto - 15, upto - 1))
+        lines = through_table(audit.build_chain(part, CHAIN, heads=heads), "rotated")
+        named = lines.withColumnRenamed("sender_id", "chain_id")
+        files.append(audit.rotate(named, seal, F.lit(f"{number:06d}")).withColumn("active", F.lit(False)))
+        heads = audit.heads_after_seal(audit.seal_files(lines, CHAIN, seal), CHAIN)
+    last = audit.build_chain(records.filter("seq >= 30"), CHAIN, heads=heads)
+    active = last.select(
+        F.col("sender_id").alias("chain_id"), "seq", "line", F.lit("000002").alias("file_id"), F.lit(True).alias("active")
+    )
+    lost = (F.col("chain_id").endswith("1") & (F.col("file_id") == "000000")) | (
+        F.col("chain_id").endswith("2") & (F.col("file_id") == "000001")
     )
+    logs = files[0].unionByName(files[1]).unionByName(active)
+    return audit.verify_chains(logs.filter(~lost), audit.audit_order(_SLICE))
 
 
 @register(

@@ -72,6 +72,19 @@ def find_by_name(spark, sf):
     return catalog.latest_matching(V.backups(spark, sf), F.lit("v1."), ["location"]).select("location", "name")
 
 
+@register(
+    "find_by_name_glob",
+    V.with_views(
+        """SELECT location, name FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY modified_time DESC, name DESC) AS rn
+  FROM backups WHERE regexp_full_match(name, '.*up-[12].*7.*\\.tar\\.zst')) WHERE rn = 1""",
+        "backups",
+    ),
+)
+def find_by_name_glob(spark, sf):
+    """The same with wildcards in the pattern."""
+    return catalog.latest_matching(V.backups(spark, sf), "up-[12]*7", ["location"]).select("location", "name")
+
+
 @register(
     "latest_by_priority",
     V.with_views(
@@ -122,6 +135,29 @@ def revision_labels(spark, sf):
     return rows.select("location", "id", "revision", "label", "marker")
 
 
+_REVISIONS = """SELECT location, id, revision, CASE WHEN revision = 0 THEN 'Latest' ELSE 'Rev ~' || revision END AS label
+FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY {order}) - 1 AS revision
+  FROM (SELECT * REPLACE (CASE WHEN id % 13 <> 0 THEN modified_time END AS modified_time) FROM backups))"""
+
+
+def _blank_times(spark, sf):
+    return V.backups(spark, sf).withColumn("modified_time", F.expr("CASE WHEN id % 13 <> 0 THEN modified_time END"))
+
+
+@register("revision_blank_times", V.with_views(_REVISIONS.format(order="modified_time DESC NULLS LAST, id DESC"), "backups"))
+def revision_blank_times(spark, sf):
+    """Revisions by time where some have none: those are the oldest."""
+    rows = catalog.revision_labels(_blank_times(spark, sf), ("location",), _order(("location",), "id"))
+    return rows.select("location", "id", "revision", "label")
+
+
+@register("revision_listed", V.with_views(_REVISIONS.format(order="id DESC"), "backups"))
+def revision_listed(spark, sf):
+    """Revisions by their place in the listing, whatever their times."""
+    rows = catalog.revision_labels(_blank_times(spark, sf), ("location",), listed="id")
+    return rows.select("location", "id", "revision", "label")
+
+
 @register(
     "local_listing",
     V.with_views("SELECT location, name, size_bytes FROM backups WHERE name LIKE '%.tar.zst'", "backups"),
@@ -181,6 +217,35 @@ def catalog_upsert(spark, sf):
     return catalog.upsert_by_name(old, new, F.col("new_id")).drop("modified_time")
 
 
+@register(
+    "catalog_upsert_folders",
+    """WITH old AS (SELECT 'o' || o_orderkey AS id, 'n' || (o_orderkey % 900) AS name, 'f' || (o_orderkey % 4) AS folder, o_orderkey % 5 = 0 AS trashed,
+  CAST(floor(o_totalprice) AS BIGINT) AS size_bytes FROM orders),
+new AS (SELECT 'n' || (c_custkey * 7) AS name, 'f' || (c_custkey % 3) AS folder, CAST(c_custkey + 10000000 AS BIGINT) AS size_bytes, 'x' || c_custkey AS new_id FROM customer),
+t AS (SELECT n.name, n.size_bytes, coalesce(l.id, n.new_id) AS id, CASE WHEN l.id IS NULL THEN 'create' ELSE 'update' END AS action
+  FROM new n LEFT JOIN (SELECT name, folder, min(id) AS id FROM old WHERE NOT trashed GROUP BY ALL) l USING (name, folder))
+SELECT id, name, size_bytes, 'keep' AS action FROM old WHERE id NOT IN (SELECT id FROM t) UNION ALL SELECT id, name, size_bytes, action FROM t""",
+)
+def catalog_upsert_folders(spark, sf):
+    """Uploads into folders; entries in the trash or elsewhere are left alone."""
+    old = V.table(spark, sf, "orders").select(
+        F.expr("concat('o', o_orderkey)").alias("id"),
+        F.expr("concat('n', o_orderkey % 900)").alias("name"),
+        F.expr("concat('f', o_orderkey % 4)").alias("folder"),
+        F.expr("o_orderkey % 5 = 0").alias("trashed"),
+        F.col("o_orderdate").alias("modified_time"),
+        F.floor("o_totalprice").cast("long").alias("size_bytes"),
+    )
+    new = V.table(spark, sf, "customer").select(
+        F.expr("concat('n', c_custkey * 7)").alias("name"),
+        F.expr("concat('f', c_custkey % 3)").alias("folder"),
+        F.lit(None).cast("timestamp_ntz").alias("modified_time"),
+        (F.col("c_custkey") + 10000000).alias("size_bytes"),
+        F.expr("concat('x', c_custkey)").alias("new_id"),
+    )
+    return catalog.upsert_by_name(old, new, F.col("new_id")).drop("modified_time")
+
+
 # -- restore ------------------------------------------------------------------
 @register(
     "restore_plan",

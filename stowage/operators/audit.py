@@ -111,6 +111,11 @@ def next_heads(
     )
 
 
+def heads_after_seal(seals: DataFrame, chain_keys: list[str]) -> DataFrame:
+    """Heads for the files that follow sealed ones: the seal's hash, an empty log."""
+    return seals.select(*chain_keys, F.col("seal_hash").alias("head_hash"), F.lit(0).cast("long").alias("log_bytes"))
+
+
 # -- seal ---------------------------------------------------------------------
 def seal_files(lines: DataFrame, file_keys: list[str], sealed_at: Column, order: str = "seq") -> DataFrame:
     """Seal line of each file: digest of its bytes and of its last line.
@@ -258,16 +263,24 @@ def verify_chains(lines: DataFrame, order: SlicedOrder | None = None) -> DataFra
 
 
 def verify_seals(lines: DataFrame) -> DataFrame:
-    """Recompute each sealed file's digest and compare it with its seal line."""
-    event = F.get_json_object("line", "$.event")
-    body = lines.filter((F.col("line") != "") & ~event.eqNullSafe(F.lit("seal")))
-    seals = lines.filter(event == "seal").select(
-        "chain_id", "file_id", F.get_json_object("line", "$.seal_hash").alias("claimed")
+    """Recompute each sealed file's digest and compare it with its seal line.
+
+    Only the last line of a file can be its seal.  A seal line anywhere else is
+    part of the bytes that are digested, so a copied one breaks the seal.
+    """
+    file = ["chain_id", "file_id"]
+    written = lines.filter(F.col("line") != "")
+    last = written.groupBy(*file).agg(F.max("seq").alias("seq"))
+    seals = (
+        written.filter(F.get_json_object("line", "$.event") == "seal")
+        .join(last, [*file, "seq"], "left_semi")
+        .select(*file, "seq", F.get_json_object("line", "$.seal_hash").alias("claimed"))
     )
-    actual = seal_files(body, ["chain_id", "file_id"], F.lit("")).select(
+    body = written.join(seals.select(*file, F.col("seq").alias("_seal")), file).filter("seq < _seal")
+    actual = seal_files(body, file, F.lit("")).select(
         "chain_id", "file_id", F.col("seal_hash").alias("actual")
     )
-    return seals.join(actual, ["chain_id", "file_id"], "left").withColumn(
+    return seals.drop("seq").join(actual, file, "left").withColumn(
         "seal_ok", F.col("claimed").eqNullSafe(F.col("actual"))
     )
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.plans.sliced import SlicedOrder, by_time
+from stowage.functions.globs import any_glob
+from stowage.plans.sliced import SlicedOrder, by_number, by_time
 from stowage.sources.listing import ARCHIVE_SUFFIX
 
 # ---- fixed values -----------------------------------------------------------
@@ -18,6 +19,7 @@ SNAPSHOT_NAME = r"^\d{4}-\d{2}-\d{2}-\d{6}$"
 SNAPSHOT_TIME = "yyyy-MM-dd-HHmmss"
 # ---- end of fixed values ----------------------------------------------------
 SLICE_SECONDS = 3600
+SLICE_LISTED = 50_000
 
 
 def newest_first(keys: tuple[str, ...], seconds: int = SLICE_SECONDS, tie: str = "name") -> SlicedOrder:
@@ -45,8 +47,14 @@ def latest(backups: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def latest_matching(backups: DataFrame, pattern: Column, keys: list[str]) -> DataFrame:
-    """Newest archive whose name holds the pattern before its suffix."""
+def latest_matching(backups: DataFrame, pattern: Column | str, keys: list[str]) -> DataFrame:
+    """Newest archive whose name holds the pattern before its suffix.
+
+    A text may hold wildcards; a column, whose value may differ by row, is taken
+    literally.
+    """
+    if isinstance(pattern, str):
+        return latest(backups.filter(any_glob(F.col("name"), [f"*{pattern}*{ARCHIVE_SUFFIX}"])), keys)
     stem = F.left(F.col("name"), F.length("name") - len(ARCHIVE_SUFFIX))
     return latest(backups.filter(is_archive(F.col("name")) & F.contains(stem, pattern)), keys)
 
@@ -86,8 +94,16 @@ def revision_labels(
     revisions: DataFrame,
     keys: tuple[str, ...] = ("file_id",),
     order: SlicedOrder | None = None,
+    listed: str | None = None,
 ) -> DataFrame:
-    """Number revisions from the newest: 'Latest', then 'Rev ~1', ..."""
+    """Number revisions from the newest: 'Latest', then 'Rev ~1', ...
+
+    `listed` names the column with the place in the store's own listing, which
+    runs from the oldest; it then decides, and times do not.  Without it the time
+    does, and revisions without a time are the oldest.
+    """
+    if listed is not None:
+        order = SlicedOrder(keys, by_number(listed, SLICE_LISTED), (listed,), newest_first=True)
     order = order or newest_first(keys, tie="id")
     back = F.col("_at") - 1
     return (

@@ -227,8 +227,10 @@ def accept_bundles(
 
     `gated` is the output of `gate`; `members` are the archive members of the
     attempts that passed, keyed by attempt_id.  Attempts are judged one by one;
-    of several accepted attempts of one bundle the earliest is stored and later
-    ones are replays.  `audit_all` also records attempts the gate ended.
+    of several accepted attempts of one bundle the earliest is stored.  Every
+    later attempt with a good token is a replay, whatever its signature, size or
+    content, as it would be in a later batch: outcomes do not depend on how
+    uploads fall into batches.  `audit_all` also records attempts the gate ended.
     `stage` may store a frame that several results are made from; with a written
     table every archive is opened once.
     """
@@ -242,7 +244,7 @@ def accept_bundles(
         "findings",
     )
     verdicts = validate.verdicts_from(findings, entries, limits, ATTEMPT)
-    heads = gated.select("attempt_id", *BUNDLE, "remote_addr", "early", "receipt_sha256", "byte_count")
+    heads = gated.select("attempt_id", *BUNDLE, "remote_addr", "auth_ok", "early", "receipt_sha256", "byte_count")
     judged = heads.join(verdicts, "attempt_id", "left").withColumn(
         "_accepted", F.col("early").isNull() & F.coalesce("accepted", F.lit(True))
     )
@@ -251,18 +253,16 @@ def accept_bundles(
         .groupBy(*BUNDLE)
         .agg(F.min("attempt_id").alias("_first"))
     )
-    # Attempts that were not accepted do not need the lookup; the join key keeps
-    # them apart so only accepted ones of a bundle meet.
-    own = F.when(F.col("_accepted"), F.lit(-1)).otherwise(F.col("attempt_id"))
+    # Attempts without a good token do not need the lookup; the join key keeps
+    # them apart so only the others of a bundle meet.
+    own = F.when(F.col("auth_ok"), F.lit(-1)).otherwise(F.col("attempt_id"))
     later = judged.withColumn("_own", own).join(
         first.withColumn("_own", F.lit(-1).cast("long")), [*BUNDLE, "_own"], "left"
     )
-    is_replay = F.col("_accepted") & (
-        (F.col("attempt_id") > F.col("_first")) | (F.col("early.status") == "replay")
-    )
+    replayed = F.coalesce(F.col("attempt_id") > F.col("_first"), F.lit(False))
     status = (
-        F.when(F.col("early").isNotNull(), F.col("early.status"))
-        .when(F.coalesce(is_replay, F.lit(False)), "replay")
+        F.when(replayed, "replay")
+        .when(F.col("early").isNotNull(), F.col("early.status"))
         .when(F.col("_accepted"), "accept")
         .otherwise("reject")
     )
@@ -271,8 +271,8 @@ def accept_bundles(
         *BUNDLE,
         "remote_addr",
         status.alias("status"),
-        F.coalesce(F.col("early.reason"), F.col("reason")).alias("reason"),
-        F.coalesce("n_members", F.lit(0)).cast("long").alias("n_members"),
+        F.when(~replayed, F.coalesce(F.col("early.reason"), F.col("reason"))).alias("reason"),
+        F.when(replayed, 0).otherwise(F.coalesce("n_members", F.lit(0))).cast("long").alias("n_members"),
         "byte_count",
         "receipt_sha256",
     )

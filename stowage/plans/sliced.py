@@ -22,8 +22,8 @@ class SlicedOrder:
     """How a table is grouped, sliced and ordered.
 
     keys    -- group columns, never null
-    slices  -- name -> expression; taken together, in this order, they grow
-               with the row order, and no row order crosses a slice border
+    slices  -- name -> expression, never null; taken together, in this order,
+               they grow with the row order, and no row order crosses a border
     order   -- columns that order the rows inside a slice, without ties
     newest_first -- walk slices and rows from the end
     """
@@ -120,11 +120,16 @@ class SlicedOrder:
         return base.join(marked, self.group, "left_anti").drop(*self._names), large
 
 
+def _with_nulls_first(slices: str) -> Column:
+    """A slice of their own for rows without a position, before all others, as nulls sort."""
+    return F.coalesce(F.expr(slices), F.lit(-(1 << 63)).cast("long"))
+
+
 def by_number(column: str, width: int, name: str = "_slice") -> dict[str, Column]:
     """Slices of `width` consecutive values of an integer column."""
-    return {name: F.expr(f"`{column}` div {int(width)}")}
+    return {name: _with_nulls_first(f"`{column}` div {int(width)}")}
 
 
 def by_time(column: str, seconds: int, name: str = "_slice") -> dict[str, Column]:
     """Slices of equal length of a timestamp column."""
-    return {name: F.expr(f"unix_micros(cast(`{column}` as timestamp)) div {int(seconds) * 1_000_000}")}
+    return {name: _with_nulls_first(f"unix_micros(cast(`{column}` as timestamp)) div {int(seconds) * 1_000_000}")}

@@ -66,6 +66,18 @@ def read_batches(spark: SparkSession, root: str, schema: str, before: int | None
     return table if before is None else table.filter(F.col("batch_id") < before)
 
 
+def newest_batch(spark: SparkSession, root: str, schema: str, before: int) -> DataFrame:
+    """The last batch of a table before the given one, found by folder name; nothing else is opened."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [entry.getPath().getName() for entry in fs.listStatus(path)] if fs.exists(path) else []
+    ids = [int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")]
+    newest = max((i for i in ids if i < before), default=None)
+    if newest is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/batch_id={newest}")
+
+
 def write_snapshot(
     files: DataFrame, root: str, name: str, exclusions: tuple[str, ...] = (), path: str = "path"
 ) -> str:

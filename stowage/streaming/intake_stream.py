@@ -90,9 +90,7 @@ def _extend_audit(
     spark: SparkSession, records: DataFrame, root: str, batch_id: int
 ) -> tuple[DataFrame, DataFrame]:
     """Store the batch's audit lines and the new heads; give lines and old heads."""
-    earlier = tables.read_batches(spark, f"{root}/audit/heads", HEADS_SCHEMA, batch_id)
-    newest = earlier.agg(F.max("batch_id").alias("batch_id"))
-    heads = earlier.join(newest, "batch_id").drop("batch_id")
+    heads = tables.newest_batch(spark, f"{root}/audit/heads", HEADS_SCHEMA, batch_id)
     lines = audit.build_chain(records, CHAIN, "attempt_id", heads, keep=["bundle_id", "event"])
     tables.append_audit(lines, f"{root}/audit", batch_id)
     written = spark.read.parquet(f"{root}/audit/lines/batch_id={batch_id}")
