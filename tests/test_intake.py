@@ -80,7 +80,8 @@ def uploads():
         4: (upload(4, OK, bundle=other(4), token="wrong"), "refused", "auth"),
         5: (upload(5, OK, bundle=other(5), sender="gamma"), "refused", "auth"),
         6: (upload(6, OK, bundle=other(6), secret="not-the-secret"), "refused", "auth"),
-        7: (upload(7, OK, bundle=other(7), signature="md5=00"), "refused", "auth"),
+        # other(7) is the bundle of 1, stored by then: its signature is not looked at.
+        7: (upload(7, OK, bundle=other(7), signature="md5=00"), "replay", None),
         8: (upload(8, OK, bundle=other(8), body=make_manifest(OK, other(8), "someone")), "refused", "auth"),
         9: (upload(9, OK, bundle=other(9), body=make_manifest(OK, other(1))), "refused", "auth"),
         10: (upload(10, OK, bundle=other(10), body=b"{oops\n"), "refused", "path_unsafe"),
@@ -98,6 +99,7 @@ def uploads():
         22: (upload(22, {}, bundle=other(22)), "accept", None),
         23: (upload(23, OK, bundle=other(16)), "accept", None),
         24: (upload(24, OK, bundle=other(24), token=None), "refused", "auth"),
+        25: (upload(25, OK, bundle=other(25), signature="md5=00"), "refused", "auth"),
     }
 
 
@@ -247,6 +249,46 @@ def test_stream(spark, tmp_path):
     assert intake_stream.stored_bundles(spark, root).count() == 6
 
 
+def test_results_do_not_depend_on_batches(spark, tmp_path):
+    sent = [
+        upload(1, OK, bundle="a", tar=b"no archive"),
+        upload(2, OK, bundle="a"),
+        upload(3, OK, bundle="a", signature="md5=00"),
+        upload(4, OK, bundle="a", tar=b"no archive"),
+        upload(5, OK, bundle="a", token="x"),
+        upload(6, OK, bundle="b", signature="md5=00"),
+    ]
+    landing, results = str(tmp_path / "landing"), []
+    for one in sent:
+        spark.createDataFrame([one], ARRIVAL).coalesce(1).write.mode("append").parquet(landing)
+    for most in (1, 1000):
+        root = str(tmp_path / f"store-{most}")
+        always = lambda _batch: clock(0)
+        intake_stream.run_available(spark, landing, root, f"{root}-check", sender_table(spark), LIMITS, always, most)
+        read = lambda name: spark.read.parquet(f"{root}/{name}")
+        results.append(
+            (
+                rows(read("outcomes"), "attempt_id", "status", "reason", "n_members"),
+                rows(read("receipts"), "sender_id", "bundle_id"),
+                rows(read("audit/lines"), "attempt_id", "line"),
+            )
+        )
+    assert results[0] == results[1]
+    assert [r[:3] for r in results[0][0]] == [
+        (1, "reject", "path_unsafe"), (2, "accept", None), (3, "replay", None),
+        (4, "replay", None), (5, "refused", "auth"), (6, "refused", "auth"),
+    ]
+
+
+def test_only_the_newest_batch_is_opened(spark, tmp_path):
+    root = str(tmp_path / "heads")
+    assert tables.newest_batch(spark, root, "n long", 5).count() == 0
+    for batch in range(11):
+        tables.write_batch(spark.range(1).selectExpr(f"{batch} AS n"), root, batch)
+    heads = tables.newest_batch(spark, root, "n int", 10)
+    assert rows(heads) == [(9,)] and all("batch_id=9/" in f for f in heads.inputFiles())
+
+
 def test_stored_receipts_are_read_back(spark):
     text = '{"bundle_id":"b","received_at":"t","per_file_sha256_verified":[{"relative_path":"a","sha256":"x","size_bytes":1}],"audit_log_offset":0,"status":"accept"}'
     df = spark.createDataFrame([(1, text), (2, "{}"), (3, "junk")], "n int, receipt string")
