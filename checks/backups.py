@@ -10,13 +10,6 @@ from stowage.operators import catalog, restore
 from stowage.session import through_table
 from stowage.sources import listing
 
-_SLICE = 90 * 86400
-
-
-def _order(keys, tie="name"):
-    return catalog.newest_first(keys, _SLICE, tie)
-
-
 @register(
     "retention_delete",
     V.with_views(
@@ -28,7 +21,7 @@ def _order(keys, tie="name"):
 )
 def retention_delete(spark, sf):
     """Keep the newest five archives of each location; dotted names are not touched."""
-    kept = catalog.retention(V.backups(spark, sf), order=_order(("location",)))
+    kept = catalog.retention(V.backups(spark, sf))
     return kept.select("location", "name", "newest_rank", "delete")
 
 
@@ -42,7 +35,7 @@ def retention_delete(spark, sf):
 )
 def retention_dotted(spark, sf):
     """The same over every archive name, keeping three."""
-    kept = catalog.retention(V.backups(spark, sf), keep=3, dotted=True, order=_order(("location",)))
+    kept = catalog.retention(V.backups(spark, sf), keep=3, dotted=True)
     return kept.select("location", "name", "delete")
 
 
@@ -131,7 +124,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY modified_time
 )
 def revision_labels(spark, sf):
     """Revisions from the newest, with labels and the kept mark."""
-    rows = catalog.revision_labels(V.backups(spark, sf), ("location",), _order(("location",), "id"))
+    rows = catalog.revision_labels(V.backups(spark, sf), ("location",))
     return rows.select("location", "id", "revision", "label", "marker")
 
 
@@ -147,7 +140,7 @@ def _blank_times(spark, sf):
 @register("revision_blank_times", V.with_views(_REVISIONS.format(order="modified_time DESC NULLS LAST, id DESC"), "backups"))
 def revision_blank_times(spark, sf):
     """Revisions by time where some have none: those are the oldest."""
-    rows = catalog.revision_labels(_blank_times(spark, sf), ("location",), _order(("location",), "id"))
+    rows = catalog.revision_labels(_blank_times(spark, sf), ("location",))
     return rows.select("location", "id", "revision", "label")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions.globs import any_glob
-from stowage.plans.sliced import SlicedOrder, by_number, by_time
+from stowage.plans.sliced import SlicedOrder, by_range
 from stowage.sources.listing import ARCHIVE_SUFFIX
 
 # ---- fixed values -----------------------------------------------------------
@@ -18,13 +18,29 @@ KEEP_SNAPSHOTS = 10
 SNAPSHOT_NAME = r"^\d{4}-\d{2}-\d{2}-\d{6}$"
 SNAPSHOT_TIME = "yyyy-MM-dd-HHmmss"
 # ---- end of fixed values ----------------------------------------------------
-SLICE_SECONDS = 3600
-SLICE_LISTED = 50_000
 
 
-def newest_first(keys: tuple[str, ...], seconds: int = SLICE_SECONDS, tie: str = "name") -> SlicedOrder:
-    """Backups of each key from the newest; equal times by name, backwards."""
-    return SlicedOrder(keys, by_time("modified_time", seconds), ("modified_time", tie), newest_first=True)
+def ranked(
+    backups: DataFrame, keys: tuple[str, ...], name: str, order: tuple[str, ...] = ("modified_time", "name")
+) -> DataFrame:
+    """Add the place of each row counted from the newest, 1 first; rows without a time are the oldest."""
+    sliced, table = by_range(backups, keys, order, newest_first=True)
+    return sliced.position(table, name)
+
+
+def _newest(backups: DataFrame, keys: tuple[str, ...], most: int, tie: str, name: str) -> DataFrame:
+    """The newest rows of each key with their place.
+
+    Up to Spark's own limit the rank is cut on every map task before rows are
+    shuffled; beyond it a key would be ranked whole by one task, so it is sliced.
+    """
+    conf = backups.sparkSession.conf
+    if most <= int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        order = Window.partitionBy(*keys).orderBy(F.col("modified_time").desc(), F.col(tie).desc())
+        placed = backups.withColumn(name, F.row_number().over(order).cast("long"))
+    else:
+        placed = ranked(backups, keys, name, ("modified_time", tie))
+    return placed.filter(F.col(name) <= most)
 
 
 # -- predicates ---------------------------------------------------------------
@@ -75,15 +91,11 @@ def latest_by_priority(backups: DataFrame, locations: DataFrame, keys: list[str]
 def nth_newest(
     backups: DataFrame, keys: tuple[str, ...], revision: int, tie: str = "name"
 ) -> DataFrame:
-    """Backup that many steps back, 0 the newest; no row where there are fewer.
-
-    The rank limit is applied on every map task before rows are shuffled.
-    """
+    """Backup that many steps back, 0 the newest; no row where there are fewer."""
     if revision < 0:
         raise ValueError("revision counts back from the newest and is never negative")
-    order = Window.partitionBy(*keys).orderBy(F.col("modified_time").desc(), F.col(tie).desc())
-    ranked = backups.withColumn("_rank", F.row_number().over(order))
-    return ranked.filter(F.col("_rank") <= revision + 1).filter(F.col("_rank") == revision + 1).drop("_rank")
+    placed = _newest(backups, keys, revision + 1, tie, "_rank")
+    return placed.filter(F.col("_rank") == revision + 1).drop("_rank")
 
 
 def newest_listing(backups: DataFrame) -> DataFrame:
@@ -93,7 +105,6 @@ def newest_listing(backups: DataFrame) -> DataFrame:
 def revision_labels(
     revisions: DataFrame,
     keys: tuple[str, ...] = ("file_id",),
-    order: SlicedOrder | None = None,
     listed: str | None = None,
 ) -> DataFrame:
     """Number revisions from the newest: 'Latest', then 'Rev ~1', ...
@@ -102,12 +113,10 @@ def revision_labels(
     runs from the oldest; it then decides, and times do not.  Without it the time
     does, and revisions without a time are the oldest.
     """
-    if listed is not None:
-        order = SlicedOrder(keys, by_number(listed, SLICE_LISTED), (listed,), newest_first=True)
-    order = order or newest_first(keys, tie="id")
+    order = ("modified_time", "id") if listed is None else (listed,)
     back = F.col("_at") - 1
     return (
-        order.position(revisions, "_at")
+        ranked(revisions, keys, "_at", order)
         .withColumns(
             {
                 "revision": back,
@@ -125,12 +134,10 @@ def retention(
     keys: tuple[str, ...] = ("location",),
     keep: int = KEEP_BACKUPS,
     dotted: bool = False,
-    order: SlicedOrder | None = None,
 ) -> DataFrame:
     """Archives with their rank from the newest and whether they may go."""
-    order = order or newest_first(keys)
     eligible = backups.filter(is_plain_archive(F.col("name"), dotted))
-    return order.position(eligible, "newest_rank").withColumn("delete", F.col("newest_rank") > keep)
+    return ranked(eligible, keys, "newest_rank").withColumn("delete", F.col("newest_rank") > keep)
 
 
 def snapshots(files: DataFrame, keys: tuple[str, ...] = ("target",)) -> DataFrame:
@@ -207,12 +214,7 @@ def calendar_retention(
             .select(*keys, "_s.modified_time", "_s.name")
         )
     if last > 0:
-        order = Window.partitionBy(*keys).orderBy(F.col("modified_time").desc(), F.col("name").desc())
-        newest = (
-            backups.withColumn("_rank", F.row_number().over(order))
-            .filter(F.col("_rank") <= last)
-            .select(*keys, "modified_time", "name")
-        )
+        newest = _newest(backups, keys, last, "name", "_rank").select(*keys, "modified_time", "name")
         kept = newest if kept is None else kept.unionByName(newest)
     if kept is None:
         flagged = backups.withColumn("keep", F.lit(True))

@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.session import through_table
+
 
 @dataclass(frozen=True)
 class SlicedOrder:
@@ -133,3 +135,24 @@ def by_number(column: str, width: int, name: str = "_slice") -> dict[str, Column
 def by_time(column: str, seconds: int, name: str = "_slice") -> dict[str, Column]:
     """Slices of equal length of a timestamp column."""
     return {name: _with_nulls_first(f"unix_micros(cast(`{column}` as timestamp)) div {int(seconds) * 1_000_000}")}
+
+
+def by_range(
+    df: DataFrame,
+    keys: tuple[str, ...],
+    order: tuple[str, ...],
+    newest_first: bool = False,
+    parts: int | None = None,
+    name: str = "_range",
+) -> tuple[SlicedOrder, DataFrame]:
+    """Order and table whose slices are equal shares of the rows, wherever they lie.
+
+    Rows are dealt by sampled borders over keys and the whole order, ties
+    included, so neither one key nor one instant fills a task, and a key has at
+    most `parts` slices (default: the session's shuffle partitions).  Borders are
+    sampled anew by every job, hence the numbered rows are written once; hand the
+    returned table, not `df`, to the order's computations.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys, *order).withColumn(name, F.spark_partition_id())
+    return SlicedOrder(keys, {name: F.col(name)}, order, newest_first), through_table(dealt, "ranges")

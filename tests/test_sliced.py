@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from stowage.plans import spread
-from stowage.plans.sliced import SlicedOrder, by_number
+from stowage.plans.sliced import SlicedOrder, by_number, by_range
 
 
 @pytest.fixture(scope="module")
@@ -128,3 +128,23 @@ def test_counts_of_ancestors(spark):
     df = spark.createDataFrame([(n,) for n in names], "path string")
     got = rows(spread.ancestors_with_counts(df, [], "path", {"n": F.lit(1)}))
     assert got == [("", 5), ("a", 3), ("a/b", 2), ("c", 1), ("c/d", 1), ("c/d/e", 1)]
+
+
+def test_ranges_split_one_key_at_one_instant(spark):
+    """200,000 rows of one key and time fall in many slices, none much above its share."""
+    df = spark.range(200_000).select(
+        F.lit("hot").alias("k"), F.lit(0).alias("at"), F.format_string("%06d", F.col("id")).alias("name")
+    )
+    df = df.unionByName(spark.createDataFrame([("cold", 1, "a"), ("cold", None, "b")], "k string, at int, name string"))
+    order, table = by_range(df, ("k",), ("at", "name"), newest_first=True, parts=16)
+    sizes = [r["count"] for r in table.filter("k = 'hot'").groupBy("_range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 3 * 200_000 / 16
+    placed = order.position(table).cache()
+    assert placed.filter("k = 'hot' AND position <> 200000 - cast(name AS long)").isEmpty()
+    assert rows(placed.filter("k = 'cold'"), "name", "position") == [("a", 1), ("b", 2)]
+    placed.unpersist()
+
+
+def test_ranges_of_an_empty_table(spark):
+    order, table = by_range(spark.createDataFrame([], "k string, at long"), ("k",), ("at",))
+    assert order.position(table).count() == 0
