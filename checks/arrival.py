@@ -48,13 +48,20 @@ def _packed(spark, sf, codec="gzip", limits=Limits()):
 _BUNDLES = "(SELECT DISTINCT sender_id, bundle_id FROM members)"
 
 
+_STATUS = "CASE WHEN count(*) > 7 THEN 'too_many_files' WHEN sum(size_bytes) > 9000 THEN 'bundle_too_large' ELSE 'ok' END"
+
+
 @register(
     "pack_bundles",
-    with_sent(f"SELECT sender_id, bundle_id, count(*) AS n_files FROM members JOIN {_BUNDLES} USING (sender_id, bundle_id) GROUP BY ALL"),
+    with_sent(
+        f"""SELECT sender_id, bundle_id, count(*) AS n_files, CAST(sum(size_bytes) AS BIGINT) AS n_bytes, {_STATUS} AS status, {_STATUS} = 'ok' AS packed
+FROM members GROUP BY sender_id, bundle_id"""
+    ),
 )
 def pack_bundles(spark, sf):
-    """One archive per bundle; all are within the default limits."""
-    return _packed(spark, sf)[0].select(*KEYS, "n_files")
+    """One row per bundle, with an archive where it is within the caps."""
+    done = _packed(spark, sf, limits=PACK_LIMITS)
+    return done.select(*KEYS, "n_files", "n_bytes", "status", F.col("archive").isNotNull().alias("packed"))
 
 
 @register(
@@ -66,7 +73,7 @@ FROM members GROUP BY sender_id, bundle_id HAVING count(*) > 7 OR sum(size_bytes
 )
 def pack_refused(spark, sf):
     """Bundles over the file or byte cap."""
-    return _packed(spark, sf, limits=PACK_LIMITS)[1]
+    return _packed(spark, sf, limits=PACK_LIMITS).filter("status <> 'ok'").select(*KEYS, F.col("status").alias("reason"))
 
 
 @register(
@@ -78,7 +85,7 @@ def pack_refused(spark, sf):
 )
 def explode_archives(spark, sf):
     """Packed bundles read back, member by member; oversize content is not read."""
-    packed, _ = _packed(spark, sf)
+    packed = _packed(spark, sf)
     members = archives.read_members(packed, KEYS, "gzip", max_content_bytes=2000)
     return members.select(*KEYS, "member_idx", "name", "member_type", "size_bytes", F.sha2("content", 256).alias("sha256"))
 
@@ -92,7 +99,7 @@ FROM members JOIN {_BUNDLES} USING (sender_id, bundle_id)"""
 )
 def archive_listing(spark, sf):
     """Member names of zstd archives, in order."""
-    packed, _ = _packed(spark, sf, "zstd")
+    packed = _packed(spark, sf, "zstd")
     return archives.list_members(packed, KEYS).select(*KEYS, "member_idx", "name")
 
 
@@ -112,7 +119,7 @@ def _squeezed(spark, sf):
 
 def _assorted(spark, sf):
     """Sound archives, the same with damaged bytes, and texts that are none."""
-    packed, _ = _packed(spark, sf, "zstd")
+    packed = _packed(spark, sf, "zstd")
     sound = packed.select(F.concat(F.lit("ok-"), "bundle_id").alias("label"), "archive")
     damaged = packed.select(
         F.concat(F.lit("bad-"), "bundle_id").alias("label"), F.concat(F.lit(b"\x00\x01"), "archive").alias("archive")
@@ -198,7 +205,10 @@ def quarantine_write(spark, sf):
 def quarantine_collisions(spark, sf):
     """Bundles a second write would store again."""
     bundles = _accepted(spark, sf).select(*KEYS)
-    stored = V.members(spark, sf).filter(F.right("bundle_id", F.lit(1)) < "5")
+    kept = F.right("bundle_id", F.lit(1)) < "5"
+    stored = V.members(spark, sf).withColumn(
+        "bundle_id", F.when(kept, F.col("bundle_id")).otherwise(F.concat(F.lit("old-"), "bundle_id"))
+    )
     return tables.collisions(bundles, stored)
 
 
@@ -249,12 +259,12 @@ def _arrivals(spark, sf):
     """Uploads of all bundles; some tokens are wrong, some signatures do not hold."""
     members = _sent(spark, sf)
     declared = V.manifest_files(members).withColumnRenamed("idx", "member_idx").withColumn("mtime", F.lit(V.NOW))
-    manifests, _ = manifest.build_manifests(declared, F.lit("2024-01-31T00:00:00Z"), F.lit("/var/log"))
+    manifests = manifest.build_manifests(declared, F.lit("2024-01-31T00:00:00Z"), F.lit("/var/log"))
     signed = manifest.sign(manifests, V.senders(members))
-    packed, _ = _packed(spark, sf)
+    packed = _packed(spark, sf)
     conv = F.substring("bundle_id", 2, 20).cast("long")
     claimed = F.when(conv % 17 == 0, F.concat("signature", F.lit("0"))).otherwise(F.col("signature"))
-    rows = packed.join(signed, KEYS).select(
+    rows = packed.select(*KEYS, "archive").join(signed, KEYS).select(
         conv.alias("attempt_id"),
         *KEYS,
         F.when(conv % 11 == 0, "stolen").otherwise(F.concat(F.lit("token-"), "sender_id")).alias("token"),

@@ -161,6 +161,45 @@ def local_listing(spark, sf):
     return catalog.newest_listing(found).select("location", "name", "size_bytes")
 
 
+@register(
+    "listed_files",
+    V.with_views(
+        """SELECT root, root_ord, path = root AS root_is_file, CASE WHEN path = root THEN regexp_extract(path, '[^/]*$') ELSE substr(path, length(root) + 2) END AS relative_path,
+  size_bytes, mtime FROM listing WHERE kind = 'file' AND (path = root OR starts_with(path, root || '/'))""",
+        "listing",
+    ),
+)
+def listed_files(spark, sf):
+    """Files of a listing, hidden and empty ones too; links and entries outside their root are not."""
+    return listing.from_listing(V.listing(spark, sf))
+
+
+@register(
+    "listed_folders",
+    V.with_views(
+        "SELECT root, root_ord, substr(path, length(root) + 2) AS folder FROM listing WHERE kind = 'dir' AND starts_with(path, root || '/')",
+        "listing",
+    ),
+)
+def listed_folders(spark, sf):
+    """Folders of a listing, below their root."""
+    return listing.directories(V.listing(spark, sf))
+
+
+@register(
+    "listed_backups",
+    V.with_views(
+        """SELECT root AS location, substr(path, length(root) + 2) AS name, CAST(mtime AS BIGINT) AS modified, size_bytes FROM listing
+WHERE kind = 'file' AND regexp_full_match(path, '/(data|more)/[^/]*\\.tar\\.zst') AND path <> root""",
+        "listing",
+    ),
+)
+def listed_backups(spark, sf):
+    """Archives directly in a directory, newest first, hidden and empty ones too."""
+    found = catalog.newest_listing(listing.backups_in(V.listing(spark, sf)))
+    return found.select("location", "name", F.unix_seconds("modified_time").alias("modified"), "size_bytes")
+
+
 @register(
     "remote_listing",
     """SELECT 'd' || p_partkey AS id, name, size_bytes FROM (

@@ -206,7 +206,7 @@ def _manifests(spark, sf, limits=Limits()):
 @register("manifest_json", V.with_views(f"SELECT sender_id, bundle_id, n_files, manifest FROM {_MANIFESTS}", *MEMBERS))
 def manifest_json(spark, sf):
     """Canonical manifest text of every bundle."""
-    return _manifests(spark, sf)[0]
+    return _manifests(spark, sf).select(*KEYS, "n_files", "manifest")
 
 
 @register(
@@ -215,7 +215,8 @@ def manifest_json(spark, sf):
 )
 def manifest_refused(spark, sf):
     """Bundles with more files than a receiver with a low cap takes."""
-    return _manifests(spark, sf, MANIFEST_LIMITS)[1]
+    built = _manifests(spark, sf, MANIFEST_LIMITS).filter("status = 'too_many_files' AND manifest IS NULL")
+    return built.select(*KEYS, F.col("n_files").alias("n_rows"))
 
 
 _SIGNED = "'sha256=' || sha256(opad || unhex(sha256(ipad || encode(manifest))))"
@@ -227,7 +228,7 @@ _SIGNED = "'sha256=' || sha256(opad || unhex(sha256(ipad || encode(manifest))))"
 )
 def manifest_signature(spark, sf):
     """Keyed signature over the exact manifest bytes."""
-    manifests = _manifests(spark, sf)[0]
+    manifests = _manifests(spark, sf)
     return manifest.sign(manifests, V.senders(V.members(spark, sf))).select(*KEYS, "signature")
 
 
@@ -243,7 +244,7 @@ def signature_check(spark, sf):
     """Signatures that hold, and ones with edited text, another scheme or another key."""
     pads = V.senders(V.members(spark, sf))
     last = F.right("bundle_id", F.lit(1))
-    signed = manifest.sign(_manifests(spark, sf)[0], pads).join(pads, "sender_id")
+    signed = manifest.sign(_manifests(spark, sf), pads).join(pads, "sender_id")
     claimed = (
         F.when(last == "4", F.replace("signature", F.lit("sha256="), F.lit("md5=")))
         .when(last == "5", digests.signature(F.col("manifest"), F.col("opad"), F.col("ipad")))
@@ -272,7 +273,7 @@ def manifest_parse(spark, sf):
         .when(last == "3", F.replace("manifest", F.lit('"schema_version":1'), F.lit('"schema_version":99')))
         .otherwise(F.col("manifest"))
     )
-    read = manifest.read_manifests(_manifests(spark, sf)[0].withColumn("manifest", body))
+    read = manifest.read_manifests(_manifests(spark, sf).withColumn("manifest", body))
     counts = manifest.manifest_entries(read, tuple(KEYS)).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_entries"))
     return read.select(*KEYS, "manifest_reason").join(counts, KEYS, "left").na.fill(0, ["n_entries"])
 
@@ -360,12 +361,14 @@ def header_match(spark, sf):
     return intake.header_match(rows, named_sender, named_bundle).select("attempt_id", "header_ok")
 
 
-_STORED = "(SELECT DISTINCT 's' || (o_custkey % 8) AS sender_id, 'b' || (o_orderkey % 4000) AS bundle_id FROM orders WHERE o_orderstatus = 'P')"
+# Orders of the other statuses are bundles of senders nobody asks for.
+_STORED = "(SELECT DISTINCT CASE o_orderstatus WHEN 'P' THEN 's' ELSE 'old' END || (o_custkey % 8) AS sender_id, 'b' || (o_orderkey % 4000) AS bundle_id FROM orders)"
 
 
 def _stored(spark, sf):
-    return V.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(
-        F.expr("concat('s', o_custkey % 8)").alias("sender_id"), F.expr("concat('b', o_orderkey % 4000)").alias("bundle_id")
+    return V.table(spark, sf, "orders").select(
+        F.expr("concat(CASE o_orderstatus WHEN 'P' THEN 's' ELSE 'old' END, o_custkey % 8)").alias("sender_id"),
+        F.expr("concat('b', o_orderkey % 4000)").alias("bundle_id"),
     )
 
 
@@ -418,7 +421,10 @@ def receipt_verify(spark, sf):
         "content",
         F.when(V.hit("conv_id * 3 + member_idx", 23), F.concat(F.lit(b"!"), "content")).otherwise(F.col("content")),
     )
-    on_disk = validate.checked_members(stored).filter(~V.hit("conv_id + member_idx", 17))
+    lost = V.hit("conv_id + member_idx", 17)
+    on_disk = validate.checked_members(stored).withColumn(
+        "relative_path", F.when(lost, F.concat(F.lit("lost+found/"), "relative_path")).otherwise(F.col("relative_path"))
+    )
     return intake.reverify(expected, on_disk).select(*KEYS, "relative_path", "problem")
 
 
@@ -434,7 +440,7 @@ def bundle_lookup(spark, sf):
     """Manifest and receipt of one id, for every sender that used it."""
     short = F.substring("bundle_id", 1, 2)
     manifests = (
-        _manifests(spark, sf)[0]
+        _manifests(spark, sf)
         .groupBy("sender_id", short.alias("bundle_id"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("manifest").alias("manifest"))
     )

@@ -20,11 +20,13 @@ def inventory_duplicates(spark, sf):
 
 @register(
     "dangling_refs",
-    "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 2000)",
+    "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT CASE WHEN s_acctbal > 2000 THEN s_nationkey ELSE -1 END FROM supplier)",
 )
 def dangling_refs(spark, sf):
     """Rows that refer to something that is not there."""
-    there = V.table(spark, sf, "supplier").filter("s_acctbal > 2000")
+    there = V.table(spark, sf, "supplier").withColumn(
+        "s_nationkey", F.expr("CASE WHEN s_acctbal > 2000 THEN s_nationkey ELSE -1 END")
+    )
     return fleet.dangling(V.table(spark, sf, "customer"), there, "c_nationkey", "s_nationkey").select(
         "c_custkey", "c_nationkey"
     )
@@ -95,8 +97,8 @@ def tunnel_health(spark, sf):
     """Unit state and metrics of every tunnel."""
     events = V.table(spark, sf, "events").withColumn("name", F.expr("concat('t', event_id)"))
     tunnels = events.select("name", F.expr("CASE event_id % 4 WHEN 0 THEN NULL ELSE 9000 + event_id % 4 END").alias("metrics_port"))
-    units = events.filter("event_id % 7 <> 0").select(
-        "name", F.col("event_type").alias("active_state"), F.lit("running").alias("sub_state")
+    units = events.select(
+        F.expr("concat(CASE WHEN event_id % 7 = 0 THEN 'gone-' ELSE '' END, name)").alias("name"), F.col("event_type").alias("active_state"), F.lit("running").alias("sub_state")
     )
     quiet = V.hit("event_id", 11)
     scrapes = events.select(
@@ -127,7 +129,8 @@ def _declared(spark, sf):
 
 @register(
     "instance_validation",
-    f"""WITH d AS {_DECLARED}, needs AS (SELECT DISTINCT type, lower(r_name) AS needs FROM d, region WHERE length(r_name) = 6)
+    f"""WITH d AS {_DECLARED}, needs AS (SELECT DISTINCT lower(p_type) AS type, lower(r_name) AS needs FROM part JOIN region ON p_size % 5 = r_regionkey
+  UNION SELECT DISTINCT lower(p_type), CASE WHEN p_size % 2 = 0 THEN 'economy' ELSE 'promo' END FROM part)
 SELECT type, name, 'duplicate name' AS problem FROM d WHERE name IS NOT NULL GROUP BY type, name HAVING count(*) > 1
 UNION ALL SELECT NULL, 'port ' || port, 'port used twice' FROM d WHERE port IS NOT NULL GROUP BY port HAVING count(*) > 1
 UNION ALL SELECT type, name, 'field missing' FROM d WHERE name IS NULL OR port IS NULL
@@ -138,37 +141,43 @@ UNION ALL SELECT type, needs, 'dependency missing' FROM needs WHERE needs NOT IN
 def instance_validation(spark, sf):
     """All problems of a declared inventory."""
     declared = _declared(spark, sf)
-    wanted = V.table(spark, sf, "region").filter("length(r_name) = 6").select(F.lower("r_name").alias("needs"))
-    types = declared.select("type").distinct().withColumn("_k", F.lit(1))
-    needs = types.join(wanted.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return fleet.validate_instances(declared, needs)
+    parts = V.table(spark, sf, "part").select(F.lower("p_type").alias("type"), "p_size")
+    regions = V.table(spark, sf, "region").select(F.col("r_regionkey").alias("_r"), F.lower("r_name").alias("needs"))
+    of_region = parts.join(regions, F.col("p_size") % 5 == F.col("_r")).select("type", "needs")
+    of_kind = parts.select("type", F.expr("CASE WHEN p_size % 2 = 0 THEN 'economy' ELSE 'promo' END").alias("needs"))
+    return fleet.validate_instances(declared, of_region.unionByName(of_kind).distinct())
 
 
 @register(
     "version_drift",
     """SELECT name, declared_image, deployed_image, CASE WHEN deployed_image IS NULL THEN 'not deployed' WHEN declared_image IS NULL THEN 'not declared' ELSE 'version' END AS drift FROM (
-  SELECT p_partkey AS name, p_name || ':' || p_size AS declared_image FROM part WHERE p_type <> 'PROMO') a
-FULL JOIN (SELECT p_partkey AS name, p_name || ':' || CASE WHEN p_size > 45 THEN 1 ELSE p_size END AS deployed_image FROM part WHERE p_type <> 'ECONOMY') b USING (name)
+  SELECT p_partkey || CASE WHEN p_type = 'PROMO' THEN '-next' ELSE '' END AS name, p_name || ':' || p_size AS declared_image FROM part) a
+FULL JOIN (SELECT p_partkey || CASE WHEN p_type = 'ECONOMY' THEN '-old' ELSE '' END AS name, p_name || ':' || CASE WHEN p_size > 45 THEN 1 ELSE p_size END AS deployed_image FROM part) b USING (name)
 WHERE declared_image IS DISTINCT FROM deployed_image""",
 )
 def version_drift(spark, sf):
     """Deployed images that are not the declared ones."""
-    part = V.table(spark, sf, "part").withColumn("name", F.col("p_partkey"))
-    declared = part.filter("p_type <> 'PROMO'").select("name", F.expr("concat(p_name, ':', p_size)").alias("image"))
-    deployed = part.filter("p_type <> 'ECONOMY'").select(
-        "name", F.expr("concat(p_name, ':', CASE WHEN p_size > 45 THEN 1 ELSE p_size END)").alias("image")
+    part = V.table(spark, sf, "part")
+    named = "concat(p_partkey, CASE WHEN p_type = '{}' THEN '{}' ELSE '' END)"
+    declared = part.select(
+        F.expr(named.format("PROMO", "-next")).alias("name"), F.expr("concat(p_name, ':', p_size)").alias("image")
+    )
+    deployed = part.select(
+        F.expr(named.format("ECONOMY", "-old")).alias("name"), F.expr("concat(p_name, ':', CASE WHEN p_size > 45 THEN 1 ELSE p_size END)").alias("image")
     )
     return fleet.version_drift(declared, deployed, ["name"])
 
 
 @register(
     "orphan_volumes",
-    "SELECT 'v' || c_custkey AS volume FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
+    "SELECT 'v' || c_custkey AS volume FROM customer WHERE c_custkey NOT IN (SELECT CASE o_orderstatus WHEN 'P' THEN o_custkey ELSE -o_custkey END FROM orders)",
 )
 def orphan_volumes(spark, sf):
     """Volumes nothing running uses."""
     volumes = V.table(spark, sf, "customer").select(F.expr("concat('v', c_custkey)").alias("volume"))
-    used = V.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.expr("concat('v', o_custkey)").alias("volume"))
+    used = V.table(spark, sf, "orders").select(
+        F.expr("concat('v', CASE o_orderstatus WHEN 'P' THEN o_custkey ELSE -o_custkey END)").alias("volume")
+    )
     return fleet.orphan_volumes(volumes, used)
 
 

@@ -104,6 +104,36 @@ SELECT f.root, f.root_ord, f.relative_path, f.toggleable, f.size_bytes, f.mtime,
   array_to_string(string_split(f.relative_path, '/')[1:k], '/') AS folder
 FROM checked f, unnest(range(0, len(string_split(f.relative_path, '/')))) AS u(k)"""
 
+# -- listings: two roots, a file as root, links, folders, hidden, empty and outside entries --
+SQL["listing"] = """
+SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN path ELSE root END AS root, root_ord,
+  CASE WHEN doc_id % 11 = 0 AND doc_id % 29 <> 0 THEN '/elsewhere' || path ELSE path END AS path, kind, size_bytes, mtime
+FROM (SELECT *, root || '/' || CASE doc_id % 5 WHEN 0 THEN source || '/.' || doc_id || '.log' WHEN 1 THEN '_' || doc_id || '.tar.zst'
+    WHEN 2 THEN 'site-' || doc_id || '.tar.zst' WHEN 3 THEN '.' || doc_id || '.tar.zst' ELSE source || '/' || lang || '/' || doc_id || '.tar.zst' END AS path
+  FROM (SELECT doc_id, source, lang, CASE WHEN doc_id % 3 = 0 THEN '/more' ELSE '/data' END AS root, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS root_ord,
+      CASE doc_id % 13 WHEN 0 THEN 'link' WHEN 1 THEN 'dir' WHEN 2 THEN 'other' ELSE 'file' END AS kind,
+      CASE WHEN doc_id % 7 = 0 THEN 0 ELSE CAST(strlen(text) AS BIGINT) END AS size_bytes, CAST(1706659200 - doc_id * 37 AS DOUBLE) AS mtime FROM documents))"""
+
+
+def listing(spark: SparkSession, sf: str) -> DataFrame:
+    root = F.when(hit("doc_id", 3), "/more").otherwise("/data")
+    name = F.expr(
+        """CASE doc_id % 5 WHEN 0 THEN concat(source, '/.', doc_id, '.log') WHEN 1 THEN concat('_', doc_id, '.tar.zst')
+        WHEN 2 THEN concat('site-', doc_id, '.tar.zst') WHEN 3 THEN concat('.', doc_id, '.tar.zst')
+        ELSE concat(source, '/', lang, '/', doc_id, '.tar.zst') END"""
+    )
+    path = F.concat(root, F.lit("/"), name)
+    is_root, outside = hit("doc_id", 29), hit("doc_id", 11) & ~hit("doc_id", 29)
+    return table(spark, sf, "documents").select(
+        F.when(is_root, path).otherwise(root).alias("root"),
+        F.when(hit("doc_id", 3), 1).otherwise(0).alias("root_ord"),
+        F.when(outside, F.concat(F.lit("/elsewhere"), path)).otherwise(path).alias("path"),
+        F.expr("CASE doc_id % 13 WHEN 0 THEN 'link' WHEN 1 THEN 'dir' WHEN 2 THEN 'other' ELSE 'file' END").alias("kind"),
+        F.when(hit("doc_id", 7), 0).otherwise(F.octet_length("text")).cast("long").alias("size_bytes"),
+        F.expr("cast(1706659200 - doc_id * 37 as double)").alias("mtime"),
+    )
+
+
 # -- pages as a file tree -----------------------------------------------------
 _PAGE_PATH = "regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '')"
 SQL["page_files"] = f"""

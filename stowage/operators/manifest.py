@@ -22,13 +22,13 @@ def build_manifests(
     limits: Limits = Limits(),
     keys: tuple[str, ...] = BUNDLE,
     width: int = SLICE_MEMBERS,
-) -> tuple[DataFrame, DataFrame]:
-    """One canonical manifest text per bundle, files in selection order.
+) -> DataFrame:
+    """One row per bundle: n_files, status and the canonical manifest, files in selection order.
 
     `selected` has the bundle keys, member_idx, relative_path, sha256,
     size_bytes and mtime (epoch seconds).  A bundle over the file cap is refused
-    by every receiver, so its rows are never gathered into one manifest; the
-    second frame names those bundles and their sizes.
+    by every receiver, so its rows are never gathered into one manifest; its
+    status is `too_many_files` and its manifest null.
     """
     fits, too_large = member_order(keys, width).within(selected, limits.max_files)
     entry = F.struct(
@@ -53,7 +53,13 @@ def build_manifests(
             schema_version=F.lit(MANIFEST_VERSION).cast("long"),
         ).alias("manifest"),
     )
-    return manifests, too_large
+    refused = too_large.select(
+        *keys,
+        F.col("n_rows").alias("n_files"),
+        F.lit(None).cast("string").alias("manifest"),
+        F.lit("too_many_files").alias("status"),
+    )
+    return manifests.withColumn("status", F.lit("ok")).unionByName(refused)
 
 
 def sign(manifests: DataFrame, senders: DataFrame) -> DataFrame:

@@ -17,11 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.operators.validate import BUNDLE, SLICE_MEMBERS, member_order
+from stowage.operators.validate import BUNDLE
 from stowage.schemas import Limits
+from stowage.session import through_table
 
 BATCH_BYTES = 8 * 1024 * 1024
 BATCH_ROWS = 512
+#: Refused bundles up to this number are sent to every task, a few MB of keys.
+BROADCAST_ROWS = 50_000
 
 
 def _opened(data: bytes, codec: str):
@@ -63,6 +66,7 @@ def read_members(
     codec: str = "gzip",
     max_content_bytes: int | None = Limits().max_file_bytes,
     with_content: bool = True,
+    stop_at: Limits | None = None,
 ) -> DataFrame:
     """One row per member in archive order.
 
@@ -70,11 +74,16 @@ def read_members(
     a file that large is rejected by its size already.  The running count and
     bytes of members that are no directories come along, since the reader passes
     them in order anyway.  An unreadable archive ends with one row whose `error`
-    is set.
+    is set.  With `stop_at` the first member past the count or a size cap is the
+    last one read: what follows cannot change the verdict, so an archive that
+    inflates without end costs no more than the caps allow.
     """
     types = dict(archives.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys]) + ", " + _MEMBER_FIELDS
 
+    def over(files: int, size: int, total: int) -> bool:
+        return files > stop_at.max_files or size > stop_at.max_file_bytes or total > stop_at.max_bundle_bytes
+
     def members(data: bytes):
         index, files, total = -1, 0, 0
         try:
@@ -87,6 +96,8 @@ def read_members(
                     if with_content and item.isfile() and wanted:
                         content = tar.extractfile(item).read()
                     yield index, item.name, _kind(item), item.size, files, total, content, None
+                    if stop_at is not None and over(files, item.size, total):
+                        return
         except Exception as problem:  # noqa: BLE001 - any damage is reported, not raised
             reason = f"{type(problem).__name__}: {problem}"
             yield index + 1, None, "unreadable", 0, files + 1, total, None, reason
@@ -216,7 +227,7 @@ class _Packer:
     """One archive under construction; only its compressed bytes are held."""
 
     def __init__(self, codec: str) -> None:
-        self.count, self._out = 0, io.BytesIO()
+        self.count, self.size, self._out = 0, 0, io.BytesIO()
         if codec == "gzip":
             self._squeezed = gzip.GzipFile(fileobj=self._out, mode="wb", mtime=0)
         elif codec == "zstd":
@@ -229,7 +240,7 @@ class _Packer:
         info = tarfile.TarInfo(path)
         info.size = len(content)
         self._tar.addfile(info, io.BytesIO(content))
-        self.count += 1
+        self.count, self.size = self.count + 1, self.size + len(content)
 
     def close(self) -> bytes:
         self._tar.close()
@@ -242,34 +253,44 @@ def pack_bundles(
     limits: Limits = Limits(),
     keys: tuple[str, ...] = BUNDLE,
     codec: str = "gzip",
-    width: int = SLICE_MEMBERS,
-) -> tuple[DataFrame, DataFrame]:
-    """One archive per bundle, members at their relative paths in order.
-
-    `files` has the keys, member_idx, relative_path and content.  Bundles over
-    the file cap or the byte cap are refused by every receiver; they are named in
-    the second frame and never gathered.  Rows arrive sorted and are packed as
-    they stream by.
+) -> DataFrame:
+    """One row per bundle: n_files, n_bytes, status and the archive, members in order.
+
+    `files` has the keys, member_idx, relative_path and content.  A bundle over
+    the file cap or the byte cap is refused by every receiver; its status says
+    so and it has no archive.  Sizes are added up on the scan and the refused
+    bundles, few as each fills a cap, are taken out there, so content is shuffled
+    once, for packing (twice beyond BROADCAST_ROWS refused bundles).  Rows arrive
+    sorted and are packed as they stream by.
     """
-    few, many = member_order(keys, width).within(files, limits.max_files)
-    sizes = few.groupBy(*keys).agg(F.sum(F.octet_length("content")).alias("n_bytes"))
-    heavy = sizes.filter(F.col("n_bytes") > limits.max_bundle_bytes)
-    light = few.join(heavy.select(*keys), list(keys), "left_anti")
-    types = dict(files.dtypes)
-    schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["n_files bigint, archive binary"])
-    ordered = (
-        light.select(*keys, "member_idx", "relative_path", "content")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, "member_idx")
+    too_many, too_large = F.col("n_files") > limits.max_files, F.col("n_bytes") > limits.max_bundle_bytes
+    refused = through_table(
+        files.groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("n_files"),
+            F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("n_bytes"),
+        )
+        .filter(too_many | too_large)
+        .withColumn("status", F.when(too_many, "too_many_files").otherwise("bundle_too_large")),
+        "refused",
     )
+    content = files.select(*keys, "member_idx", "relative_path", "content")
+    shut = refused.select(*keys)
+    small = shut.count() <= BROADCAST_ROWS
+    light = content.join(F.broadcast(shut) if small else shut, list(keys), "left_anti").repartition(*keys)
+    types = dict(files.dtypes)
+    kept_keys = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    schema = f"{kept_keys}, n_files bigint, n_bytes bigint, archive binary"
+    ordered = light.sortWithinPartitions(*keys, "member_idx")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: list[pa.DataType] = []
 
         def row(key, archive):
-            values, types_ = [*key, archive.count, archive.close()], [*kinds, pa.int64(), pa.binary()]
+            values = [*key, archive.count, archive.size, archive.close()]
+            types_ = [*kinds, pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array([v], t) for v, t in zip(values, types_)]
-            return pa.RecordBatch.from_arrays(arrays, names=[*keys, "n_files", "archive"])
+            return pa.RecordBatch.from_arrays(arrays, names=[*keys, "n_files", "n_bytes", "archive"])
 
         current, archive = None, None
         for batch in batches:
@@ -285,8 +306,5 @@ def pack_bundles(
         if archive is not None:
             yield row(current, archive)
 
-    packed = ordered.mapInArrow(pack, schema)
-    refused = many.select(*keys, F.lit("too_many_files").alias("reason")).unionByName(
-        heavy.select(*keys, F.lit("bundle_too_large").alias("reason"))
-    )
-    return packed, refused
+    packed = ordered.mapInArrow(pack, schema).withColumn("status", F.lit("ok"))
+    return packed.unionByName(refused.withColumn("archive", F.lit(None).cast("binary")))

@@ -176,8 +176,28 @@ def directories(listing: DataFrame) -> DataFrame:
     )
 
 
+def backups_in(listing: DataFrame) -> DataFrame:
+    """Archives directly in the roots of a listing, hidden and empty ones included.
+
+    Gives location, name, modified_time and size_bytes.  `walk(spark, [directory])`
+    makes such a listing; an empty archive is the one an operator must see.
+    """
+    inside = F.startswith(F.col("path"), F.concat(F.col("root"), F.lit("/")))
+    name = F.substr("path", F.length("root") + 2)
+    found = inside & ~F.contains(name, F.lit("/")) & name.endswith(ARCHIVE_SUFFIX)
+    return listing.filter((F.col("kind") == "file") & found).select(
+        F.col("root").alias("location"),
+        name.alias("name"),
+        F.timestamp_micros(F.round(F.col("mtime") * 1e6).cast("long")).alias("modified_time"),
+        "size_bytes",
+    )
+
+
 def read_backups(spark: SparkSession, directory: str) -> DataFrame:
-    """Archives directly in a directory: location, name, time and size."""
+    """Archives directly in a directory: location, name, time and size.
+
+    Spark's file source leaves out hidden and empty files; `backups_in` does not.
+    """
     raw = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"*{ARCHIVE_SUFFIX}")

@@ -65,7 +65,7 @@ def batch_writer(
             intake.gate(intake.described(batch), senders, stored, limits), "gate", f"{root}/stage"
         )
         opened = intake.archives_to_open(batch, gated)
-        members = read_members(opened, ["attempt_id"], "gzip", limits.max_file_bytes)
+        members = read_members(opened, ["attempt_id"], "gzip", limits.max_file_bytes, stop_at=limits)
         result = intake.accept_bundles(
             gated,
             members,

@@ -2,6 +2,7 @@ import gzip
 import io
 import tarfile
 
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 
@@ -85,8 +86,52 @@ def test_validity(spark):
 def test_round_trip(spark):
     data = [("s", f"b{b}", i, f"d/{i}.log", bytearray(f"{b}-{i}".encode())) for b in range(6) for i in range(b + 1)]
     files = spark.createDataFrame(data, "sender_id string, bundle_id string, member_idx long, relative_path string, content binary")
-    packed, refused = archives.pack_bundles(files, Limits(max_files=4, max_bundle_bytes=11), width=2)
-    assert rows(refused, "bundle_id", "reason") == [("b3", "bundle_too_large"), ("b4", "too_many_files"), ("b5", "too_many_files")]
+    packed = archives.pack_bundles(files, Limits(max_files=4, max_bundle_bytes=11))
+    assert rows(packed, "bundle_id", "n_files", "n_bytes", "status", F.isnull("archive")) == [
+        ("b0", 1, 3, "ok", False),
+        ("b1", 2, 6, "ok", False),
+        ("b2", 3, 9, "ok", False),
+        ("b3", 4, 12, "bundle_too_large", True),
+        ("b4", 5, 15, "too_many_files", True),
+        ("b5", 6, 18, "too_many_files", True),
+    ]
+    packed = packed.filter("status = 'ok'")
     back = archives.read_members(packed, list(validate.BUNDLE), "gzip")
     want = sorted((b, i, p, bytes(c)) for _, b, i, p, c in data if b in ("b0", "b1", "b2"))
     assert sorted((r.bundle_id, r.member_idx, r.name, bytes(r.content)) for r in back.collect()) == want
+
+
+def test_content_is_shuffled_once(spark, monkeypatch):
+    """Sizes are added up on the scan; the only exchange under the archives is the one for packing."""
+    data = [("s", f"b{b}", i, f"{i}.log", bytearray(b"xyz")) for b in range(6) for i in range(b + 1)]
+    schema = "sender_id string, bundle_id string, member_idx long, relative_path string, content binary"
+    files = spark.createDataFrame(data, schema)
+
+    def packed_with(most):
+        monkeypatch.setattr(archives, "BROADCAST_ROWS", most)
+        packed = archives.pack_bundles(files, Limits(max_files=4))
+        plan = packed._jdf.queryExecution().executedPlan().toString()
+        return sorted(map(tuple, packed.collect())), sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        few, exchanges = packed_with(50_000)
+        many, _ = packed_with(0)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert exchanges == 1 and few == many and sum("ok" in r for r in few) == 4
+
+
+def test_reading_stops_at_the_first_cap(spark):
+    """An archive that goes on after a cap is broken is not read further; the verdict is the same."""
+    files = [(f"{i}.log", b"x" * (30 if i == 3 else 5)) for i in range(50)]
+    df = table(spark, one=gzip.compress(tar_bytes(files)))
+    for limits, last in ((Limits(max_files=8), 8), (Limits(max_file_bytes=20), 3), (Limits(max_bundle_bytes=50), 5), (Limits(), 49)):
+        whole = archives.read_members(df, ["label"], "gzip")
+        cut = archives.read_members(df, ["label"], "gzip", stop_at=limits)
+        assert cut.agg(F.max("member_idx")).first()[0] == last
+        one, other = (
+            validate.bundle_verdicts(m, None, limits, ("label",)).select("accepted", "reason", "at_member").collect()
+            for m in (whole, cut)
+        )
+        assert one == other

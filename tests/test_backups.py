@@ -122,6 +122,19 @@ def test_local_listing(spark, tmp_path):
     assert rows(listing.read_backups(spark, str(tmp_path)), "name", "size_bytes") == [("a.tar.zst", 3)]
 
 
+def test_exact_backup_listing(spark, tmp_path):
+    """Empty and hidden archives are listed; folders, links and deeper archives are not."""
+    for name in ("a.tar.zst", ".hidden.tar.zst", "b.txt"):
+        (tmp_path / name).write_bytes(b"xyz")
+    (tmp_path / "empty.tar.zst").touch()
+    (tmp_path / "sub.tar.zst").mkdir()
+    (tmp_path / "sub.tar.zst" / "c.tar.zst").write_bytes(b"x")
+    (tmp_path / "link.tar.zst").symlink_to(tmp_path / "a.tar.zst")
+    found = listing.backups_in(listing.walk(spark, [str(tmp_path)]))
+    assert rows(found, "name", "size_bytes") == [(".hidden.tar.zst", 3), ("a.tar.zst", 3), ("empty.tar.zst", 0)]
+    assert {r[0] for r in rows(found, "location")} == {str(tmp_path)}
+
+
 def test_upsert(spark):
     schema = "id string, name string, modified_time timestamp_ntz, size_bytes long"
     old = spark.createDataFrame([("1", "a", T0, 1), ("2", "a", T0, 2), ("3", "b", T0, 3)], schema)

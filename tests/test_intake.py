@@ -155,14 +155,14 @@ def test_stored_bundles_are_replays_before_the_signature_is_checked(spark):
 def test_manifest_round_trip(spark):
     files = [("alpha", BUNDLE, i, p, hashlib.sha256(c).hexdigest(), len(c), 1776586264.9) for i, (p, c) in enumerate(OK.items())]
     chosen = spark.createDataFrame(files, "sender_id string, bundle_id string, member_idx long, relative_path string, sha256 string, size_bytes long, mtime double")
-    built, refused = manifest.build_manifests(chosen, F.lit("2026-04-19T08:12:00Z"), F.lit("/tmp/src"))
+    built = manifest.build_manifests(chosen, F.lit("2026-04-19T08:12:00Z"), F.lit("/tmp/src"))
     body = make_manifest(OK)
     row = manifest.sign(built, sender_table(spark)).first()
-    assert row.manifest.encode() == body and row.signature == signed(body) and refused.count() == 0
+    assert row.manifest.encode() == body and row.signature == signed(body) and row.status == "ok"
     read = manifest.read_manifests(built)
     assert rows(manifest.manifest_entries(read, tuple(KEYS)), "idx", "relative_path") == [(0, "app.log"), (1, "nested/b.log")]
-    none, over = manifest.build_manifests(chosen, F.lit("t"), F.lit("/"), Limits(max_files=1))
-    assert none.count() == 0 and rows(over, "bundle_id", "n_rows") == [(BUNDLE, 2)]
+    over = manifest.build_manifests(chosen, F.lit("t"), F.lit("/"), Limits(max_files=1))
+    assert rows(over, "bundle_id", "n_files", "manifest", "status") == [(BUNDLE, 2, None, "too_many_files")]
 
 
 @pytest.mark.parametrize(
