@@ -59,6 +59,30 @@ def bundle_verdict_strict(spark, sf):
     )
 
 
+_B = V.BUNDLE_LIMITS
+
+
+@register(
+    "reject_detail",
+    V.with_views(
+        f"""SELECT sender_id, bundle_id, v.reason, f.relative_path AS member,
+  CASE v.reason WHEN 'too_many_files' THEN CASE WHEN v.phase = 0 THEN n_declared ELSE running_files END WHEN 'file_too_large' THEN f.size_bytes WHEN 'bundle_too_large' THEN running_bytes END AS value,
+  CAST(CASE v.reason WHEN 'too_many_files' THEN {_B.max_files} WHEN 'file_too_large' THEN {_B.max_file_bytes} WHEN 'bundle_too_large' THEN {_B.max_bundle_bytes} END AS BIGINT) AS cap
+FROM verdicts v LEFT JOIN (SELECT sender_id, bundle_id, count(*) AS n_declared FROM manifest_files GROUP BY ALL) d USING (sender_id, bundle_id)
+LEFT JOIN findings f USING (sender_id, bundle_id) WHERE NOT accepted AND (f.member_idx = at_member OR (at_member IS NULL AND f.member_idx IS NULL))
+UNION ALL SELECT sender_id, bundle_id, reason, NULL, n_declared, {_B.max_files} FROM verdicts
+JOIN (SELECT sender_id, bundle_id, count(*) AS n_declared FROM manifest_files GROUP BY ALL) USING (sender_id, bundle_id) WHERE phase = 0""",
+        *V.BUNDLE_VIEWS,
+    ),
+)
+def reject_detail(spark, sf):
+    """Which member broke the rule of each rejected bundle, by how much."""
+    findings, declared = _findings(spark, sf)
+    findings = through_table(findings, "findings")
+    verdicts = validate.verdicts_from(findings, declared, _B)
+    return validate.reject_details(verdicts, findings, declared, _B)
+
+
 _L = V.LARGE_LIMITS
 
 

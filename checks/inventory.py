@@ -200,14 +200,12 @@ FROM events GROUP BY user_id""",
 )
 def window_counts_events(spark, sf):
     """The same seven windows per user over event times."""
-    rows = V.table(spark, sf, "events")
-    age = F.lit(EVENTS_NOW * 1_000_000) - F.unix_micros(F.col("ts").cast("timestamp"))
-    return rows.groupBy("user_id").agg(
-        *[
-            F.count_if(F.lit(True) if s is None else age <= s * 1_000_000).alias(f"w_{k}")
-            for k, s in text.WINDOWS
-        ]
+    rows = V.table(spark, sf, "events").select(
+        "user_id", F.lit(True).alias("toggleable"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("mtime")
     )
+    counts = inventory.window_counts(rows, F.lit(EVENTS_NOW), ("user_id",))
+    wide = [F.max(F.when(F.col("window_key") == k, F.col("files"))).alias(f"w_{k}") for k, _ in text.WINDOWS]
+    return counts.groupBy("user_id").agg(*wide)
 
 
 @register(

@@ -283,16 +283,16 @@ def scope_labels(scopes: DataFrame) -> DataFrame:
 
 
 # -- trailing windows ---------------------------------------------------------
-def window_counts(checked: DataFrame, now_epoch: Column) -> DataFrame:
-    """Selectable files per trailing window, all windows in one pass."""
-    counts = checked.filter("toggleable").agg(
+def window_counts(checked: DataFrame, now_epoch: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Selectable files per trailing window, all windows in one pass; per key where keys are named."""
+    counts = checked.filter("toggleable").groupBy(*keys).agg(
         *[
             F.count_if(F.lit(True) if secs is None else F.col("mtime") >= now_epoch - secs).alias(key)
             for key, secs in text.WINDOWS
         ]
     )
     pairs = ", ".join(f"'{key}', `{key}`" for key, _ in text.WINDOWS)
-    return counts.select(F.expr(f"stack({len(text.WINDOWS)}, {pairs}) AS (window_key, files)"))
+    return counts.select(*keys, F.expr(f"stack({len(text.WINDOWS)}, {pairs}) AS (window_key, files)"))
 
 
 def in_window(checked: DataFrame, window_key: str | None, now_epoch: Column) -> DataFrame:

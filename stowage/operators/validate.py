@@ -214,6 +214,50 @@ def verdicts_from(
     )
 
 
+def reject_details(
+    verdicts: DataFrame,
+    findings: DataFrame,
+    manifest_files: DataFrame | None,
+    limits: Limits = Limits(),
+    keys: tuple[str, ...] = BUNDLE,
+) -> DataFrame:
+    """What broke the rule, one row per rejected bundle: reason, member, value and cap.
+
+    `value` is the measure that went over `cap`: entries declared, members or
+    bytes up to and with the member, or its own bytes; both are null for rules
+    without a number.  The member is found by its place, so a bundle with many
+    members is no larger a group than another.
+    """
+    rejected = verdicts.filter("NOT accepted").select(*keys, "phase", "reason", "at_member")
+    at = findings.filter("violation IS NOT NULL").select(
+        *keys,
+        F.col("member_idx").alias("at_member"),
+        F.col("relative_path").alias("member"),
+        *["size_bytes", "running_files", "running_bytes"],
+    )
+    found = rejected.join(at, [*keys, "at_member"], "left")
+    declared = F.lit(None).cast("long")
+    if manifest_files is not None:
+        found = found.join(manifest_files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_declared")), list(keys), "left")
+        declared = F.col("n_declared")
+    reason = F.col("reason")
+    count = F.when(F.col("phase") == PHASE_DECLARED, declared).otherwise(F.col("running_files"))
+    return found.select(
+        *keys,
+        "reason",
+        "member",
+        F.when(reason == "too_many_files", count)
+        .when(reason == "file_too_large", F.col("size_bytes"))
+        .when(reason == "bundle_too_large", F.col("running_bytes"))
+        .alias("value"),
+        F.when(reason == "too_many_files", F.lit(limits.max_files))
+        .when(reason == "file_too_large", F.lit(limits.max_file_bytes))
+        .when(reason == "bundle_too_large", F.lit(limits.max_bundle_bytes))
+        .cast("long")
+        .alias("cap"),
+    )
+
+
 def accepted_members(
     findings: DataFrame,
     verdicts: DataFrame,

@@ -70,9 +70,24 @@ def through_table(df: DataFrame, label: str, folder: str | None = None) -> DataF
 
     Cuts the lineage with files that outlive any executor.  With a folder of the
     caller's the table is replaced on every call, so a job that runs in batches
-    keeps one copy; otherwise each call makes a new table in the shared folder.
+    keeps one copy; otherwise each call makes a new table in the shared folder,
+    which stays until `drop_tables`.
     """
     spark = df.sparkSession
-    path = f"{folder}/{label}" if folder else f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder}/{label}" if folder else f"{_tables_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _tables_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete every table this application wrote between its steps.
+
+    For the end of a job, when its results are stored: frames made from such
+    tables can not be read afterwards.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,6 +15,7 @@ from stowage.operators.validate import BUNDLE
 # ---- fixed values -----------------------------------------------------------
 ZSTD_LEVEL = "3"
 # ---- end of fixed values ----------------------------------------------------
+COMPACT_EVERY = 32
 
 
 class QuarantineCollision(ValueError):
@@ -66,18 +67,51 @@ def read_batches(spark: SparkSession, root: str, schema: str, before: int | None
     return table if before is None else table.filter(F.col("batch_id") < before)
 
 
-def newest_batch(spark: SparkSession, root: str, schema: str, before: int) -> DataFrame:
-    """The last batch of a table before the given one, found by folder name; nothing else is opened."""
+def _numbered(spark: SparkSession, root: str, prefix: str) -> tuple[list[int], object]:
+    """Numbers of the folders `prefix`N below a root, and the file system they are on."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [entry.getPath().getName() for entry in fs.listStatus(path)] if fs.exists(path) else []
-    ids = [int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")]
-    newest = max((i for i in ids if i < before), default=None)
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)), fs
+
+
+def newest_batch(spark: SparkSession, root: str, schema: str, before: int) -> DataFrame:
+    """The last batch of a table before the given one, found by folder name; nothing else is opened."""
+    newest = max((i for i in _numbered(spark, root, "batch_id=")[0] if i < before), default=None)
     if newest is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/batch_id={newest}")
 
 
+def known_rows(spark: SparkSession, root: str, index: str, schema: str, before: int) -> DataFrame:
+    """Chosen columns of all batches before one, from the newest index and the batches after it.
+
+    However many batches there were, that is one index folder and at most
+    COMPACT_EVERY batch folders.
+    """
+    newest = max((i for i in _numbered(spark, index, "upto=")[0] if i < before), default=-1)
+    folders = [f"{index}/upto={newest}"] if newest >= 0 else []
+    batches, _ = _numbered(spark, root, "batch_id=")
+    folders += [f"{root}/batch_id={i}" for i in batches if newest < i < before]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def compact_rows(spark: SparkSession, root: str, index: str, schema: str, batch_id: int) -> None:
+    """After every COMPACT_EVERY-th batch write a new index of all rows so far.
+
+    A batch that is run again reads the index before its own, which is kept until
+    the next one is written; older ones go.
+    """
+    if (batch_id + 1) % COMPACT_EVERY:
+        return
+    own = spark.read.schema(schema).parquet(f"{root}/batch_id={batch_id}")
+    whole = known_rows(spark, root, index, schema, batch_id).unionByName(own)
+    whole.write.mode("overwrite").parquet(f"{index}/upto={batch_id}")
+    earlier, fs = _numbered(spark, index, "upto=")
+    for old in [i for i in earlier if i < batch_id][:-1]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{index}/upto={old}"), True)
+
+
 def write_snapshot(
     files: DataFrame, root: str, name: str, exclusions: tuple[str, ...] = (), path: str = "path"
 ) -> str:

@@ -289,6 +289,25 @@ def test_only_the_newest_batch_is_opened(spark, tmp_path):
     assert rows(heads) == [(9,)] and all("batch_id=9/" in f for f in heads.inputFiles())
 
 
+def test_known_rows_are_compacted(spark, tmp_path, monkeypatch):
+    """Fifty batches: what a batch opens is bounded, its rows are all there, and a repeated batch changes nothing."""
+    monkeypatch.setattr(tables, "COMPACT_EVERY", 8)
+    root, index, schema = f"{tmp_path}/rows", f"{tmp_path}/known", "k long"
+
+    def known(batch):
+        return tables.known_rows(spark, root, index, schema, batch)
+
+    for batch in range(50):
+        for _ in range(2 if batch % 8 in (0, 7) else 1):
+            if batch in (0, 8, 23, 24, 49):
+                assert sorted(r.k for r in known(batch).collect()) == list(range(batch))
+            folders = {f.rsplit("/", 2)[1] for f in known(batch).inputFiles()}
+            assert len(folders) <= 9 and sum(f.startswith("upto=") for f in folders) <= 1
+            tables.write_batch(spark.createDataFrame([(batch,)], schema).coalesce(1), root, batch)
+            tables.compact_rows(spark, root, index, schema, batch)
+    assert len(list((tmp_path / "known").iterdir())) == 2
+
+
 def test_stored_receipts_are_read_back(spark):
     text = '{"bundle_id":"b","received_at":"t","per_file_sha256_verified":[{"relative_path":"a","sha256":"x","size_bytes":1}],"audit_log_offset":0,"status":"accept"}'
     df = spark.createDataFrame([(1, text), (2, "{}"), (3, "junk")], "n int, receipt string")

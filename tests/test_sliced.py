@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,13 @@ def test_ranges_split_one_key_at_one_instant(spark):
 def test_ranges_of_an_empty_table(spark):
     order, table = by_range(spark.createDataFrame([], "k string, at long"), ("k",), ("at",))
     assert order.position(table).count() == 0
+
+
+def test_tables_between_steps_can_be_dropped(spark, tmp_path, monkeypatch):
+    from stowage import session
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    assert session.through_table(spark.range(3), "three").count() == 3
+    assert [p.name.startswith("tables-") for p in tmp_path.iterdir()] == [True]
+    session.drop_tables(spark)
+    assert not list(tmp_path.iterdir())
