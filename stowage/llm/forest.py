@@ -2,22 +2,26 @@
 
 Every tree gives each vector a long hash string: a sequence of symbols, each the
 largest coordinate (and its sign) of the vector under a random rotation.  Near
-vectors share long prefixes.  A tree is its strings in sorted order.  A query
-descends in every tree to the longest prefix that some string shares with its
-own, by binary search, and then ascends in all trees in step, one bit of prefix
-less at a time, until the trees together hold enough candidates.  Candidates are
-then measured exactly on the original vectors.
-
-On the cluster a tree's sorted array is cut by prefix into cells.  Cells start
-at a prefix that leaves about LEAST_CELL vectors or more on average; cells with
-more than MOST_CELL are cut by the next symbol, again and again, and a cell whose
-strings cannot be told apart is dealt into blocks that a query visits all.  So no
-group grows with the data.  Identical vectors are one class, which keeps the ids
+vectors share long prefixes.  A query takes whole cells, the vectors that share a
+prefix with it, and ascends in all trees in step, one symbol less at a time, as
+far as its cells together hold CANDIDATES vectors or fewer and none is hot.  All
+that these cells hold is measured exactly on the original vectors.
+
+Then the query is settled or ascends to the root, where it is measured against
+every vector.  It is settled if a vector as near as the last one found would be
+missed by all trees with a probability of MISS at most.  The rotations are random,
+so that probability follows from the angle alone, which the distance bounds:
+whatever the data and however many vectors, an expected share of 1 - MISS of a
+query's neighbours is found.  Where neighbours are far apart no short list can
+promise that, and such queries cost a pass over the table each, in blocks of
+vectors and queries as one matrix product.  Tables of CANDIDATES vectors or fewer
+start at the root.
+
+No group grows with the data.  Identical vectors are one class, which keeps the ids
 that can reach a result: the k + 1 smallest.
 
 The rotations are drawn from a fixed seed and not fitted; every vector is indexed.
-Directions decide the search order, so vectors should be of similar length; the
-results are ordered by exact distance in any case.
+The results are ordered by exact distance.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor rows without an id, nor vectors of another length
@@ -35,11 +39,14 @@ from pyspark.sql import functions as F
 from stowage.llm.common import prepared, through_table
 
 TREES = 48
-#: Distinct vectors to measure for a query, as far as its cells hold so many.
-CANDIDATES = 16_384
-LEAST_CELL, MOST_CELL = 64, 8_192
-#: Queries of a cell that one task works off.
-QUERY_BLOCK = 4_096
+#: A query gathers cells of so many vectors together at most, and of one in ROOT_SHARE; ...
+CANDIDATES, ROOT_SHARE = 16_384, 8
+#: ... a fuller cell is not gathered.
+MOST_CELL = 8_192
+#: A neighbour may be missed with this probability.
+MISS = 0.05
+#: Queries that one task measures against a block at the root, and those in one matrix product.
+QUERY_BLOCK, PRODUCT_ROWS = 4_096, 256
 #: Vectors in a block when candidates are measured, and the least number of blocks.
 VECTOR_BLOCK, LEAST_BLOCKS = 8_192, 13
 SEED = 20_240_229
@@ -78,6 +85,34 @@ def shared_bits(a: np.ndarray, b: int, bits: int) -> np.ndarray:
     return bits - np.where(differ > 0, np.frexp(differ.astype(np.float64))[1], 0)
 
 
+def settled_ratios(dimensions: int, trees: int, depths: list[int], samples: int = 20_000) -> dict[int, float]:
+    """By depth: distance over the query's length up to which trees miss no more than MISS.
+
+    Vectors within r of a query of length x differ by an angle with a sine of r / x
+    at most.  How often one symbol agrees at an angle is drawn, less three deviations.
+    """
+    rng = np.random.default_rng([SEED, dimensions])
+    kept = 1 << (symbol_width(dimensions) - 1)
+    x = rng.normal(size=(samples, dimensions))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    u = rng.normal(size=(samples, dimensions))
+    u -= (u * x).sum(axis=1)[:, None] * x
+    u /= np.maximum(np.linalg.norm(u, axis=1), 1e-300)[:, None]
+
+    def symbol(v: np.ndarray) -> np.ndarray:
+        largest = np.abs(v[:, :kept]).argmax(axis=1)
+        return largest * 2 + (v[np.arange(samples), largest] > 0)
+
+    own, found = symbol(x), dict.fromkeys(depths, 0.0)
+    for sine in np.linspace(0, 1, 41)[1:-1]:
+        agree = (symbol(np.sqrt(1 - sine**2) * x + sine * u) == own).mean()
+        agree = max(0.0, agree - 3 * np.sqrt(agree / samples))
+        for depth in depths:
+            if (1 - agree**depth) ** trees <= MISS:
+                found[depth] = float(sine)
+    return found
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -136,38 +171,67 @@ def _measured(requests: DataFrame, classes: DataFrame, blocks: int, k: int) -> D
     )
 
 
-def nearest(
-    vectors: DataFrame,
-    is_query,
-    k: int = 10,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    trees: int = TREES,
-    candidates: int = CANDIDATES,
-) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of every row that is_query, a condition on vec_id."""
-    prepared(vectors.sparkSession)
-    rows = usable(vectors, id_col, vector_col).distinct()
-    place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    grouped = rows.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("vector")
-    members = grouped.agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
-    asked = rows.filter(is_query)
-    asking = asked.groupBy("vector").agg(F.lit(True).alias("asks"))
-    classes = through_table(
-        members.join(asking, "vector", "left").select(
-            F.get("members", F.lit(0)).alias("class_id"), "vector", "members", F.coalesce("asks", F.lit(False)).alias("asks")
-        ),
-        "forest-classes",
+def _at_root(asking: DataFrame, classes: DataFrame, blocks: int, query_blocks: int, k: int) -> DataFrame:
+    """(query, members, score): the k + 1 nearest classes of each query and block, of all classes."""
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        queries, members, scores = [], [], []
+        if left.num_rows and right.num_rows:
+            ids, held = left["class_id"].to_numpy(), left["members"]
+            vectors, asked = _matrix(left["vector"]), _matrix(right["asked"])
+            every = right["query"].to_pylist()
+            last = min(k + 1, len(ids)) - 1
+            with np.errstate(over="ignore", invalid="ignore"):
+                squares = (vectors**2).sum(axis=1)
+                for start in range(0, len(asked), PRODUCT_ROWS):
+                    some = asked[start : start + PRODUCT_ROWS]
+                    own = (some**2).sum(axis=1)[:, None]
+                    rough = squares - 2 * (some @ vectors.T) + own
+                    # Rounding may misplace products by less than this; the rest is measured exactly.
+                    slack = 1e-10 * (squares.max() + own[:, 0])
+                    border = np.partition(rough, last, axis=1)[:, last] + slack
+                    for row, query in enumerate(every[start : start + PRODUCT_ROWS]):
+                        sure = np.isfinite(rough[row]).all() and np.isfinite(border[row])
+                        at = np.flatnonzero(rough[row] <= border[row]) if sure else np.arange(len(ids))
+                        score = np.sqrt(((vectors[at] - some[row]) ** 2).sum(axis=1))
+                        for i in np.lexsort((ids[at], score))[: k + 1]:
+                            queries.append(query)
+                            members.append(at[i])
+                            scores.append(score[i])
+        return pa.table(
+            {
+                "query": pa.array(queries, pa.int64()),
+                "members": held.take(pa.array(members, pa.int64())) if queries else pa.array([], pa.list_(pa.int64())),
+                "score": pa.array(scores, pa.float64()),
+            }
+        )
+
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    own = lambda column, count: F.pmod(F.xxhash64(column), F.lit(count).cast("long"))
+    placed = classes.select(
+        own("class_id", blocks).alias("block"), every(query_blocks).alias("query_block"), "class_id", "vector", "members"
     )
-    shape = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
-    n, dimensions = shape["n"], shape["d"] or 1
+    # Both sides come from one table; cogroup mixes up columns that are one attribute.
+    asked = asking.select(
+        own("query", query_blocks).alias("query_block"), every(blocks).alias("block"), "query", F.col("vector").alias("asked")
+    )
+    return (
+        placed.groupBy("block", "query_block")
+        .cogroup(asked.groupBy("block", "query_block"))
+        .applyInArrow(measure, "query long, members array<long>, score double")
+    )
+
+
+def _listed(classes: DataFrame, n: int, dimensions: int, k: int, trees: int, candidates: int) -> DataFrame | None:
+    """(query, members, score) of the queries that cells settle; None if no prefix is long enough."""
     width = symbol_width(dimensions)
-    fan = 1 << width
-    first = 0
-    while n // fan ** (first + 1) >= LEAST_CELL:
+    bound = max(1, min(candidates, n // ROOT_SHARE))
+    first = 1
+    while trees * n > bound << width * first:
         first += 1
-    symbols = min(_STRING_BITS // width, max(first + 2, 3))
-    bits = symbols * width
+    symbols = first + 1
+    if symbols * width > _STRING_BITS:
+        return None
 
     def hashed(batches):
         turns = [rotations(t, dimensions, symbols) for t in range(trees)]
@@ -186,88 +250,41 @@ def nearest(
         ),
         "forest-entries",
     )
-    prefix = lambda depth: F.shiftright("string", bits - depth * width) if depth else F.lit(0).cast("long")
-    entries = entries.withColumns({"depth": F.lit(first), "cell": prefix(first)})
-    for depth in range(first, symbols):
-        full = (
-            entries.filter(F.col("depth") == depth)
-            .groupBy("tree", "cell")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > MOST_CELL)
-            .select("tree", "cell", F.lit(depth).alias("depth"), F.lit(True).alias("full"))
-        )
-        deeper = F.col("full").isNotNull()
-        entries = entries.join(full, ["tree", "cell", "depth"], "left").select(
-            "tree", "string", "class_id", "asks",
-            F.when(deeper, depth + 1).otherwise(F.col("depth")).alias("depth"),
-            F.when(deeper, prefix(depth + 1)).otherwise(F.col("cell")).alias("cell"),
-        )
+    depths = [first, symbols]
+    prefix = lambda depth: F.shiftright("string", (symbols - depth) * width)
+    steps = F.array(*(F.struct(F.lit(d).alias("depth"), prefix(d).alias("cell")) for d in depths))
     cell = ["tree", "depth", "cell"]
-    sizes = entries.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("n_asks")).filter("n_asks > 0")
-    sizes = sizes.select(
-        *cell,
-        F.ceil(F.col("n") / MOST_CELL).alias("blocks"),
-        F.ceil(F.col("n_asks") / QUERY_BLOCK).alias("query_blocks"),
+    entries = entries.select("tree", "class_id", "asks", F.explode(steps).alias("step")).select(
+        "tree", "step.depth", "step.cell", "class_id", "asks"
     )
-    sized = entries.join(sizes, cell)
-    spread = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    own = lambda count: F.pmod(F.xxhash64("class_id"), F.col(count))
-    columns = [*cell, "string", "class_id"]
-    held = sized.select(*columns, own("blocks").alias("block"), spread("query_blocks").alias("query_block"), F.lit(False).alias("asks"))
-    put = sized.filter("asks").select(
-        *columns, spread("blocks").alias("block"), own("query_blocks").alias("query_block"), F.lit(True).alias("asks")
+    asking = entries.filter("asks").select(*(F.col(c).alias(c) for c in cell), F.col("class_id").alias("query"))
+    sizes = entries.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("n_asks")).filter("n_asks > 0")
+    reach = through_table(
+        asking.join(sizes.select(*cell, "n"), cell)
+        .groupBy("query", "depth")
+        .agg(F.sum("n").alias("held"), F.max("n").alias("fullest"))
+        .filter((F.col("held") <= bound) & (F.col("fullest") <= MOST_CELL))
+        .groupBy("query")
+        .agg(F.min("depth").alias("depth")),
+        "forest-reach",
     )
+    put = asking.join(reach, ["query", "depth"]).select(*cell, "query")
+    held = entries.join(put.select(*cell).distinct(), cell, "left_semi").select(*cell, "class_id")
 
-    def descend(table: pa.Table) -> pa.Table:
-        asks = table["asks"].to_numpy().astype(bool)
-        every, ids = table["string"].to_numpy(), table["class_id"].to_numpy()
-        array, held_ids = every[~asks], ids[~asks]
-        order = np.lexsort((held_ids, array))
-        array, held_ids = array[order], held_ids[order]
-        found, shared = [], []
-        for string in every[asks]:
-            # From the whole string upwards until the prefix holds enough.
-            for drop in range(bits + 1):
-                low = string >> drop << drop
-                start, stop = np.searchsorted(array, low), np.searchsorted(array, low + (1 << drop) - 1, side="right")
-                if stop - start >= candidates or stop - start == len(array):
-                    break
-            found.append(held_ids[start:stop])
-            shared.append(shared_bits(array[start:stop], string, bits))
-        return pa.table(
-            {
-                "query": pa.array(ids[asks]),
-                "ids": _lists(found, pa.int64()),
-                "shared": _lists(shared, pa.int8()),
-                "vector": pa.nulls(int(asks.sum()), pa.list_(pa.float64())),
-            }
-        )
+    def descend(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left["class_id"].to_numpy()
+        return pa.table({"query": right["query"], "ids": _lists([ids] * right.num_rows, pa.int64())})
 
-    answer = "query long, ids array<long>, shared array<tinyint>, vector array<double>"
-    by_tree = held.union(put).groupBy(*cell, "block", "query_block").applyInArrow(descend, answer)
-    own_vector = classes.filter("asks").select(
-        F.col("class_id").alias("query"),
-        F.lit(None).cast("array<long>").alias("ids"),
-        F.lit(None).cast("array<tinyint>").alias("shared"),
-        "vector",
-    )
+    by_tree = held.groupBy(*cell).cogroup(put.groupBy(*cell)).applyInArrow(descend, "query long, ids array<long>")
+    own_vector = classes.select(F.col("class_id").alias("query"), "vector").join(reach.select("query"), "query", "left_semi")
     blocks = max(LEAST_BLOCKS, -(-n // VECTOR_BLOCK))
 
     def ascend(table: pa.Table) -> pa.Table:
-        """Of all trees' finds, those at the longest prefixes that together are enough."""
+        """All that the trees hold for a query, by block."""
         query = table["query"][0].as_py()
         vector = next(v for v in table["vector"] if v.is_valid)
-        ids = table["ids"].combine_chunks().flatten().to_numpy()
-        shared = table["shared"].combine_chunks().flatten().to_numpy()
-        order = np.lexsort((-shared.astype(np.int16), ids))
-        ids, shared = ids[order], shared[order]
-        first_of = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.zeros(0, int)
-        ids, shared = ids[first_of], shared[first_of]
-        if len(ids) > candidates:
-            ids = ids[shared >= np.partition(shared, len(shared) - candidates)[len(shared) - candidates]]
-        block = ids % blocks
-        parts = [ids[block == b] for b in range(blocks)] if blocks < 64 else _by_block(ids, block)
-        parts = [p for p in parts if len(p)]
+        ids = np.unique(table["ids"].combine_chunks().flatten().to_numpy())
+        parts = [p for p in _by_block(ids, ids % blocks) if len(p)]
         return pa.table(
             {
                 "block": pa.array([int(p[0] % blocks) for p in parts], pa.int64()),
@@ -277,12 +294,71 @@ def nearest(
             }
         )
 
-    requests = by_tree.union(own_vector).groupBy("query").applyInArrow(
-        ascend, "block long, query long, ids array<long>, vector array<double>"
+    requests = (
+        by_tree.withColumn("vector", F.lit(None).cast("array<double>"))
+        .unionByName(own_vector.withColumn("ids", F.lit(None).cast("array<long>")))
+        .groupBy("query")
+        .applyInArrow(ascend, "block long, query long, ids array<long>, vector array<double>")
     )
-    near = _measured(requests, classes, blocks, k)
+    near = through_table(_first(_measured(requests, classes, blocks, k), k), "forest-listed")
+    so_far = Window.partitionBy("query").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    last = (
+        near.withColumn("ids", F.sum(F.size("members")).over(so_far))
+        .filter(F.col("ids") > k)
+        .groupBy("query")
+        .agg(F.min("score").alias("last"))
+    )
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
+    ratios = settled_ratios(dimensions, trees, depths)
+    ratio = F.when(F.col("depth") == first, ratios[first]).otherwise(ratios[symbols])
+    lengths = own_vector.select("query", length.alias("length"))
+    settled = (
+        last.join(reach, "query")
+        .join(lengths, "query")
+        .filter((F.col("length") < float("inf")) & (F.col("last") <= ratio * F.col("length")))
+    )
+    return near.join(settled.select("query"), "query", "left_semi")
+
+
+def _first(near: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query").orderBy("score", F.get("members", F.lit(0)))
-    near = near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
+    return near.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
+
+
+def nearest(
+    vectors: DataFrame,
+    is_query,
+    k: int = 10,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    trees: int = TREES,
+    candidates: int = CANDIDATES,
+) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of every row that is_query, a condition on vec_id."""
+    prepared(vectors.sparkSession)
+    rows = usable(vectors, id_col, vector_col).distinct()
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
+    grouped = rows.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("vector")
+    members = grouped.agg(F.sort_array(F.collect_list("vec_id")).alias("members"))
+    asked = rows.filter(is_query)
+    asking = asked.groupBy("vector").agg(F.lit(True).alias("asks"))
+    classes = through_table(
+        members.join(asking, "vector", "left").select(
+            F.get("members", F.lit(0)).alias("class_id"), "vector", "members", F.coalesce("asks", F.lit(False)).alias("asks")
+        ),
+        "forest-classes",
+    )
+    shape = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
+    n, dimensions = shape["n"], shape["d"] or 1
+    listed = _listed(classes, n, dimensions, k, trees, candidates) if n > candidates else None
+    open_ = classes.filter("asks").select(F.col("class_id").alias("query"), "vector")
+    if listed is not None:
+        listed = through_table(listed.select("query", "members", "score", "place"), "forest-settled")
+        open_ = open_.join(listed.select("query").distinct(), "query", "left_anti")
+    blocks = max(LEAST_BLOCKS, -(-n // VECTOR_BLOCK))
+    query_blocks = max(1, -(-open_.count() // QUERY_BLOCK))
+    near = _first(_at_root(open_, classes, blocks, query_blocks, k), k)
+    near = near if listed is None else near.unionByName(listed)
     queries = asked.join(classes.filter("asks").select("vector", F.col("class_id").alias("query")), "vector").select(
         F.col("vec_id").alias("query_id"), "query"
     )

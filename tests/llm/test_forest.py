@@ -61,6 +61,27 @@ def test_recall_with_cells_and_splits(spark, monkeypatch):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
+@pytest.mark.parametrize("near", [0.0, 0.05])
+def test_recall_far_above_the_cap(spark, near):
+    """With 200 candidates of 6,000 vectors; scattered vectors have neighbours beyond any cell."""
+    rows = cloud(6000, 32, 4, near=near)
+    frame = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    found, want = got(forest.nearest(frame, EVERY_100, candidates=200)), brute(rows)
+    assert found.keys() == want.keys()
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in want[q]}) for q in want)
+    assert hits / sum(map(len, want.values())) >= 0.95
+
+
+def test_cells_settle_close_neighbours(spark):
+    """Groups of close vectors are found in cells, with no query left for the root."""
+    rows = cloud(24_000, 32, 4, near=0.02)
+    frame = spark.createDataFrame(
+        [(i, v, i % 100 == 0, [i]) for i, v in rows], "class_id long, vector array<double>, asks boolean, members array<long>"
+    )
+    settled = forest._listed(frame, 24_000, 32, 10, forest.TREES, 16_384).select("query").distinct().count()
+    assert settled >= 200
+
+
 def test_copies_ties_and_odd_vectors(spark):
     rows = cloud(300, 8, 3)
     hot = [1.0] * 8
