@@ -14,8 +14,11 @@ one there, which keeps everything connected without listing pairs.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint
 zero, which links like any other.  A null id is never a component's id unless
-its component has no other.  `kept_rows` takes rows that share an id, null
-included, for one document and keeps the first of them in order of all columns.
+its component has no other.  Rows are told apart by id and text: rows that share
+an id, null included, but not their text are documents of their own.  `kept_rows`
+keeps one row of every component: that of the smallest id, of several the one with
+the least hash of its text, and of rows that repeat both the first in order of all
+columns.
 """
 
 from __future__ import annotations
@@ -62,18 +65,29 @@ def fingerprint(text: str, n_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(majority, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+def _text_hash(text_col: str):
+    return F.sha2(text_of(F.col(f"`{text_col}`")), 256)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; fp is the fingerprint as a signed long.  hashed: with the text's SHA-256, `sha`."""
     prepared(docs.sparkSession)
-    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(F.col(f"`{text_col}`")).alias("body"))
+    narrow = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        *([_text_hash(text_col).alias("sha")] if hashed else []),
+        text_of(F.col(f"`{text_col}`")).alias("body"),
+    )
+    kept = narrow.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches, "body"):
             found = np.array([fingerprint(t) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed(found))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(signed(found))], names=[*kept, "fp"]
+            )
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, fp long")
+    return narrow.mapInArrow(run, f"doc_id {kind}, {'sha string, ' * hashed}fp long")
 
 
 def _ball(segment: int) -> list[int]:
@@ -94,6 +108,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.filter(near).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
 
 
+def _rooted(docs_fp: DataFrame) -> DataFrame:
+    """(fp, least_id, n, root) of each distinct fingerprint; root names its component."""
+    distinct = through_table(
+        docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct"
+    )
+    found = components.roots(links(distinct), "fingerprint-links")
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least_id", "n", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a row of docs: doc_id, fingerprint, component_id, fingerprint_size.
 
@@ -101,13 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint_size the number of rows with this very fingerprint.
     """
     docs_fp = through_table(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = through_table(
-        docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "distinct"
-    )
-    found = components.roots(links(distinct), "fingerprint-links")
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least_id", "n", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(docs_fp)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root")
     return docs_fp.join(named.select("fp", "n", "component_id"), "fp").select(
         "doc_id",
@@ -118,8 +137,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all columns of docs: that of the smallest id."""
-    found = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    found = found.select(F.struct(F.col("doc_id").alias("id")).alias("__key")).distinct()
-    keyed = docs.withColumn("__key", F.struct(F.col(f"`{id_col}`").alias("id")))
+    """One row of each component, with all columns of docs: that of the smallest id, nulls last."""
+    docs_fp = through_table(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "sha")
+    # A fingerprint has one component, so its first row is found before the join.
+    firsts = docs_fp.groupBy("fp").agg(F.min(order).alias("first"))
+    firsts = firsts.join(_rooted(docs_fp).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    found = firsts.select(F.struct("first.id", "first.sha").alias("__key"))
+    keyed = docs.withColumn("__key", F.struct(F.col(f"`{id_col}`").alias("id"), _text_hash(text_col).alias("sha")))
     return one_a_row(keyed.join(found, "__key"), docs.columns)

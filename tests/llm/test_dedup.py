@@ -166,3 +166,20 @@ def test_near_copies_of_one_document(spark, n):
     want = brute_components(fps)
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+
+
+def test_near_dedup_keeps_a_row_of_every_component(spark):
+    """Null and shared ids: rows of other texts are documents of their own."""
+    rng = random.Random(11)
+    far = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(7)]
+    rows = [(3, far[0], 1), (5, far[1], 2), (5, far[0], 3), (5, far[2], 4), (5, far[2], 0)]
+    rows += [(None, far[3], 5), (None, far[4], 6), (None, far[4], 7), (None, far[0], 8), (None, far[5], 9), (9, far[6].upper(), 10), (9, far[6], 11)]
+    fps = [brute_fingerprint(t) for _, t, _ in rows]
+    groups = defaultdict(list)
+    for row, c in zip(rows, brute_components(fps), strict=True):
+        groups[c].append(row)
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest(), r[2])
+    want = sorted((min(g, key=order) for g in groups.values()), key=str)
+    assert len(want) == 7
+    kept = simhash.kept_rows(spark.createDataFrame(rows, "doc_id long, text string, z int").repartition(5))
+    assert sorted(map(tuple, kept.collect()), key=str) == want
