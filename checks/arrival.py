@@ -40,7 +40,7 @@ def with_sent(body, *names):
     return _SENT + "".join(f",\n{n} AS ({texts[n]})" for n in names) + "\n" + body
 
 
-def _packed(spark, sf, codec="gzip", limits=Limits()):
+def _packed(spark, sf, codec="gzip", limits=None):
     files = _sent(spark, sf).withColumn("relative_path", F.col("name"))
     return archives.pack_bundles(files, limits, codec=codec)
 

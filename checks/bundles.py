@@ -219,7 +219,7 @@ _MANIFESTS = """(SELECT sender_id, bundle_id, count(*) AS n_files,
 FROM regular GROUP BY sender_id, bundle_id)"""
 
 
-def _manifests(spark, sf, limits=Limits()):
+def _manifests(spark, sf, limits=None):
     checked = validate.checked_members(V.members(spark, sf))
     chosen = checked.withColumn("mtime", F.expr("1706659200 - conv_id * 61 - member_idx"))
     return manifest.build_manifests(

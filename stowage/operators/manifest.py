@@ -19,18 +19,18 @@ def build_manifests(
     selected: DataFrame,
     sent_at: Column,
     source_root: Column,
-    limits: Limits = Limits(),
+    limits: Limits | None = None,
     keys: tuple[str, ...] = BUNDLE,
     width: int = SLICE_MEMBERS,
 ) -> DataFrame:
     """One row per bundle: n_files, status and the canonical manifest, files in selection order.
 
     `selected` has the bundle keys, member_idx, relative_path, sha256,
-    size_bytes and mtime (epoch seconds).  A bundle over the file cap is refused
-    by every receiver, so its rows are never gathered into one manifest; its
-    status is `too_many_files` and its manifest null.
+    size_bytes and mtime (epoch seconds).  Without limits every bundle gets its
+    manifest, as the receiver judges counts.  With limits the rows of a bundle over
+    the file cap are not gathered: its status is `too_many_files`, its manifest null.
     """
-    fits, too_large = member_order(keys, width).within(selected, limits.max_files)
+    fits, too_large = (selected, None) if limits is None else member_order(keys, width).within(selected, limits.max_files)
     entry = F.struct(
         "member_idx",
         F.struct(
@@ -53,13 +53,16 @@ def build_manifests(
             schema_version=F.lit(MANIFEST_VERSION).cast("long"),
         ).alias("manifest"),
     )
+    manifests = manifests.withColumn("status", F.lit("ok"))
+    if too_large is None:
+        return manifests
     refused = too_large.select(
         *keys,
         F.col("n_rows").alias("n_files"),
         F.lit(None).cast("string").alias("manifest"),
         F.lit("too_many_files").alias("status"),
     )
-    return manifests.withColumn("status", F.lit("ok")).unionByName(refused)
+    return manifests.unionByName(refused)
 
 
 def sign(manifests: DataFrame, senders: DataFrame) -> DataFrame:

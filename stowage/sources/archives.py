@@ -250,19 +250,22 @@ class _Packer:
 
 def pack_bundles(
     files: DataFrame,
-    limits: Limits = Limits(),
+    limits: Limits | None = None,
     keys: tuple[str, ...] = BUNDLE,
     codec: str = "gzip",
 ) -> DataFrame:
     """One row per bundle: n_files, n_bytes, status and the archive, members in order.
 
-    `files` has the keys, member_idx, relative_path and content.  A bundle over
-    the file cap or the byte cap is refused by every receiver; its status says
-    so and it has no archive.  Sizes are added up on the scan and the refused
+    `files` has the keys, member_idx, relative_path and content.  Without limits
+    every bundle is packed, as the receiver judges counts and sizes.  With limits
+    a bundle over the file cap or the byte cap gets a status and no archive: sizes are added up on the scan and the refused
     bundles, few as each fills a cap, are taken out there, so content is shuffled
     once, for packing (twice beyond BROADCAST_ROWS refused bundles).  Rows arrive
     sorted and are packed as they stream by.
     """
+    content = files.select(*keys, "member_idx", "relative_path", "content")
+    if limits is None:
+        return _packed(content, dict(files.dtypes), keys, codec)
     too_many, too_large = F.col("n_files") > limits.max_files, F.col("n_bytes") > limits.max_bundle_bytes
     refused = through_table(
         files.groupBy(*keys)
@@ -274,14 +277,18 @@ def pack_bundles(
         .withColumn("status", F.when(too_many, "too_many_files").otherwise("bundle_too_large")),
         "refused",
     )
-    content = files.select(*keys, "member_idx", "relative_path", "content")
     shut = refused.select(*keys)
     small = shut.count() <= BROADCAST_ROWS
-    light = content.join(F.broadcast(shut) if small else shut, list(keys), "left_anti").repartition(*keys)
-    types = dict(files.dtypes)
+    light = content.join(F.broadcast(shut) if small else shut, list(keys), "left_anti")
+    packed = _packed(light, dict(files.dtypes), keys, codec)
+    return packed.unionByName(refused.withColumn("archive", F.lit(None).cast("binary")))
+
+
+def _packed(content: DataFrame, types: dict[str, str], keys: tuple[str, ...], codec: str) -> DataFrame:
+    """Every bundle packed as its sorted rows stream by; only compressed bytes are held."""
     kept_keys = ", ".join(f"`{k}` {types[k]}" for k in keys)
     schema = f"{kept_keys}, n_files bigint, n_bytes bigint, archive binary"
-    ordered = light.sortWithinPartitions(*keys, "member_idx")
+    ordered = content.repartition(*keys).sortWithinPartitions(*keys, "member_idx")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: list[pa.DataType] = []
@@ -306,5 +313,4 @@ def pack_bundles(
         if archive is not None:
             yield row(current, archive)
 
-    packed = ordered.mapInArrow(pack, schema).withColumn("status", F.lit("ok"))
-    return packed.unionByName(refused.withColumn("archive", F.lit(None).cast("binary")))
+    return ordered.mapInArrow(pack, schema).withColumn("status", F.lit("ok"))

@@ -7,7 +7,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from conftest import rows
-from stowage.operators import validate
+from stowage.operators import manifest, validate
 from stowage.schemas import Limits
 from stowage.sources import archives
 
@@ -101,6 +101,19 @@ def test_round_trip(spark):
     assert sorted((r.bundle_id, r.member_idx, r.name, bytes(r.content)) for r in back.collect()) == want
 
 
+def test_a_sender_packs_bundles_of_any_size(spark):
+    """More members than a receiver takes are packed all the same, and read back."""
+    data = [("s", "big", i, f"{i}.log", bytearray(b"x")) for i in range(Limits().max_files + 5)]
+    files = spark.createDataFrame(data, "sender_id string, bundle_id string, member_idx long, relative_path string, content binary")
+    packed = archives.pack_bundles(files)
+    assert rows(packed, "n_files", "status", F.isnull("archive")) == [(len(data), "ok", False)]
+    assert archives.list_members(archives.pack_bundles(files, codec="zstd"), list(validate.BUNDLE)).count() == len(data)
+    listed = files.selectExpr("* except (content)", "'00' AS sha256", "1L AS size_bytes", "0D AS mtime")
+    built = manifest.build_manifests(listed, F.lit("t"), F.lit("/"))
+    assert rows(built, "n_files", "status") == [(len(data), "ok")]
+    assert manifest.manifest_entries(manifest.read_manifests(built), validate.BUNDLE).count() == len(data)
+
+
 def test_content_is_shuffled_once(spark, monkeypatch):
     """Sizes are added up on the scan; the only exchange under the archives is the one for packing."""
     data = [("s", f"b{b}", i, f"{i}.log", bytearray(b"xyz")) for b in range(6) for i in range(b + 1)]
