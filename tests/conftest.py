@@ -23,9 +23,3 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     return tune(session)
-
-
-def rows(df, *columns):
-    """Rows as sorted tuples; nulls sort by their text."""
-    chosen = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in chosen.collect()), key=lambda t: tuple(str(x) for x in t))

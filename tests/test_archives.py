@@ -6,7 +6,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from stowage.operators import manifest, validate
 from stowage.schemas import Limits
 from stowage.sources import archives

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from stowage.operators import catalog, restore
 from stowage.sinks import tables
 from stowage.sources import listing

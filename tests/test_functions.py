@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from stowage.functions import canonical, digests, globs, ids, paths, text
 from stowage.operators.restore import path_excluded
 

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from stowage.functions import digests
 from stowage.operators import audit, intake, manifest
 from stowage.schemas import ARRIVAL, Limits

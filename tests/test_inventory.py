@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from stowage.operators import inventory
 from stowage.schemas import PREFLIGHT_STATUSES, Limits
 from stowage.sources import listing

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from stowage.plans import spread
 from stowage.plans.sliced import SlicedOrder, by_number, by_range
 

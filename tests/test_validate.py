@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames import rows
 from stowage.operators import validate
 from stowage.schemas import MEMBER, REASONS, Limits
 
