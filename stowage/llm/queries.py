@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import blob_ledger, exact_dedup, forest, language, mixing, pieces, records, simhash, toxicity, warc
+from stowage.llm import (
+    blob_ledger,
+    exact_dedup,
+    fill_middle,
+    forest,
+    language,
+    mixing,
+    outliers,
+    pieces,
+    records,
+    resample,
+    simhash,
+    toxicity,
+    warc,
+)
 from stowage.llm.common import fresh_folder, prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +145,53 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", "fingerprint", "component_id", "fingerprint_size")
+
+
+@register("op11_outliers")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return outliers.judged(table(spark, sf, "documents"))
+
+
+@register(
+    "op12_fill_middle",
+    """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+t AS (
+  SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS tokens,
+    CAST('0x' || substr(digest, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(digest, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(digest, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(digest, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT doc_id, text, tokens, CAST(len(tokens) AS BIGINT) AS n,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS a, greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS b FROM t),
+p AS (
+  SELECT *, array_to_string(tokens[1:a], '') AS pre, array_to_string(tokens[a + 1:b], '') AS mid,
+    array_to_string(tokens[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf, "documents"))
+    back = fill_middle.restored(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+@register("op13_resample")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
