@@ -22,7 +22,9 @@ What a lost or repeated task left behind is named nowhere.
 
 Splitting words: the vocabulary's rules drop white space and never match across
 it, so the words of a text are encoded independently, and a task remembers the
-tokens of words.  Tokenizers of other rules are given whole texts.
+tokens of words.  A word that is new is mostly letters with marks after them, which the
+rules split as well; its lower-cased letters have often been met in another word.
+Tokenizers of other rules are given whole texts.
 
 Defined cases: a null text counts as empty; its sequence is the end token alone.
 Null ids come first.  Rows that share an id follow each other by a hash of their
@@ -49,12 +51,15 @@ from pyspark.sql import functions as F
 from stowage.llm.common import blocks, fresh_folder, prepared, text_of
 from stowage.llm.files import open_folder
 
-MEMORY, LONGEST = 250_000, 48
+#: Words and pieces of words that a task remembers, twice over, none longer than LONGEST.
+MEMORY, PIECES, LONGEST = 250_000, 500_000, 48
 END_ID = 1
 #: The only splitting rule for which words are known to be independent (fixed value).
 WORDWISE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _WORD = re.compile(r"[^ \n]+")
+#: Letters that lower-case one by one and compose with nothing in their word, then ASCII marks but the apostrophe.
+_STEM = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<q?B")
 MANIFEST = "part int, file string, index string, records long, tokens long"
 
@@ -115,8 +120,7 @@ class WordEncoder:
             and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
         )
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words, self.pieces = Memory(MEMORY), Memory(PIECES)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -126,23 +130,55 @@ class WordEncoder:
         if not self.by_word:
             return [self._bytes(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         words = [_WORD.findall(t) for t in texts]
-        known, new = {}, []
-        for word in {w for found in words for w in found}:
-            ids = self.memory.get(word)
+        known, new = self.words.known({w for found in words for w in found})
+        for word, ids in zip(new, self._words(new), strict=True):
+            known[word] = ids
+            self.words.keep(word, ids)
+        return [b"".join([known[w] for w in found]) for found in words]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Words in parts where the rules split them for certain: lower-cased letters, and marks after them."""
+        parts = []
+        for word in words:
+            found = _STEM.fullmatch(word)
+            parts.append((word, "") if found is None else (found[1].lower(), found[2]))
+        known, new = self.pieces.known({p for both in parts for p in both if p})
+        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[piece] = ids = self._bytes(encoding.ids)
+            self.pieces.keep(piece, ids)
+        known[""] = b""
+        return [known[a] + known[b] for a, b in parts]
+
+
+class Memory:
+    """Tokens by string; the older half is forgotten when it is full."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def known(self, strings: set[str]) -> tuple[dict[str, bytes], list[str]]:
+        """(what is remembered, what is not)."""
+        found, new = {}, []
+        young, old = self.young, self.old
+        for string in strings:
+            ids = young.get(string)
             if ids is None:
-                ids = self.older.get(word)
+                ids = old.get(string)
                 if ids is None:
-                    new.append(word)
+                    new.append(string)
                     continue
-                self.memory[word] = ids
-            known[word] = ids
-        for word, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = ids = self._bytes(encoding.ids)
-            if len(word) <= LONGEST:
-                self.memory[word] = ids
-        if len(self.memory) > MEMORY:
-            self.older, self.memory = self.memory, {}
-        return [b"".join([known[w] for w in found]) for found in words]
+                young[string] = ids
+            found[string] = ids
+        return found, new
+
+    def keep(self, string: str, ids: bytes) -> None:
+        if len(string) > LONGEST:
+            return
+        self.young[string] = ids
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
 
 
 @functools.lru_cache(maxsize=2)
