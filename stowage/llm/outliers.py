@@ -244,6 +244,7 @@ def starts(vectors: DataFrame) -> DataFrame:
     d = len(NAMES)
     # Values are whole thousandths of logarithms, so an exact percentile keeps few distinct ones.
     middles = vectors.groupBy(*_GROUP).agg(*(F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(d)))
+    middles = through_table(middles, "outlier-middles")
     spread = (
         vectors.join(middles, _GROUP)
         .groupBy(*_GROUP)
