@@ -36,7 +36,7 @@ def _opened(data: bytes, codec: str):
     raise ValueError(f"unknown codec {codec!r}")
 
 
-def _kind(member: tarfile.TarInfo) -> str:
+def kind_of(member: tarfile.TarInfo) -> str:
     if member.isfile():
         return "file"
     if member.isdir():
@@ -95,7 +95,7 @@ def read_members(
                     wanted = max_content_bytes is None or item.size <= max_content_bytes
                     if with_content and item.isfile() and wanted:
                         content = tar.extractfile(item).read()
-                    yield index, item.name, _kind(item), item.size, files, total, content, None
+                    yield index, item.name, kind_of(item), item.size, files, total, content, None
                     if stop_at is not None and over(files, item.size, total):
                         return
         except Exception as problem:  # noqa: BLE001 - any damage is reported, not raised
