@@ -40,7 +40,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,16 +51,22 @@ from pyspark.sql import functions as F
 from stowage.llm.common import blocks, fresh_folder, prepared, text_of
 from stowage.llm.files import open_folder
 
-#: Words and pieces of words that a task remembers, twice over, none longer than LONGEST.
+#: Words and pieces of words that a task remembers, twice over and those of a block more; none longer than LONGEST.
 MEMORY, PIECES, LONGEST = 250_000, 500_000, 48
 END_ID = 1
 #: The only splitting rule for which words are known to be independent (fixed value).
 WORDWISE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _WORD = re.compile(r"[^ \n]+")
+#: What str.split takes for white space and the vocabulary's rules do not.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Letters that lower-case one by one and compose with nothing in their word, then ASCII marks but the apostrophe.
 _STEM = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<q?B")
+#: Letters of two bytes as the vocabulary writes bytes that are no printed character: shifted out of their way.
+_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHIFTED = dict(zip([b for b in range(256) if b not in _BYTES], range(256, 512), strict=False))
+_AS_BYTES = {c: "".join(chr(_SHIFTED.get(b, b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 MANIFEST = "part int, file string, index string, records long, tokens long"
 
 
@@ -129,25 +135,23 @@ class WordEncoder:
         """The tokens of each text as little-endian integers."""
         if not self.by_word:
             return [self._bytes(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        words = [_WORD.findall(t) for t in texts]
-        known, new = self.words.known({w for found in words for w in found})
-        for word, ids in zip(new, self._words(new), strict=True):
-            known[word] = ids
-            self.words.keep(word, ids)
-        return [b"".join([known[w] for w in found]) for found in words]
+        words = [_WORD.findall(t) if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
+        known = self.words.with_all(set().union(*words), self._words)
+        return [b"".join(map(known.__getitem__, found)) for found in words]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Words in parts where the rules split them for certain: lower-cased letters, and marks after them."""
-        parts = []
-        for word in words:
-            found = _STEM.fullmatch(word)
-            parts.append((word, "") if found is None else (found[1].lower(), found[2]))
-        known, new = self.pieces.known({p for both in parts for p in both if p})
-        for piece, encoding in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = ids = self._bytes(encoding.ids)
-            self.pieces.keep(piece, ids)
-        known[""] = b""
-        return [known[a] + known[b] for a, b in parts]
+        found = [_STEM.fullmatch(w) for w in words]
+        parts = [None if m is None else (m[1].lower(), m[2]) for m in found]
+        pieces = self.pieces.with_all({p for both in parts if both for p in both}, self._pieces)
+        others = [w for w, both in zip(words, parts, strict=True) if both is None]
+        whole = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
+        return [self._bytes(next(whole).ids) if both is None else pieces[both[0]] + pieces[both[1]] for both in parts]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """What no rule changes or splits goes to the vocabulary's merges at once."""
+        merge = self.tokenizer.model.tokenize
+        return [self._bytes([token.id for token in merge(p.translate(_AS_BYTES))]) for p in pieces]
 
 
 class Memory:
@@ -155,30 +159,28 @@ class Memory:
 
     def __init__(self, most: int):
         self.most = most
-        self.young: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
 
-    def known(self, strings: set[str]) -> tuple[dict[str, bytes], list[str]]:
-        """(what is remembered, what is not)."""
-        found, new = {}, []
+    def with_all(self, strings: set[str], encode: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dictionary that holds the tokens of all strings; what is not remembered is encoded."""
+        for string in self.long:
+            self.young.pop(string, None)
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {"": b""}
         young, old = self.young, self.old
-        for string in strings:
-            ids = young.get(string)
+        absent = strings.difference(young)
+        new = []
+        for string in absent:
+            ids = old.get(string)
             if ids is None:
-                ids = old.get(string)
-                if ids is None:
-                    new.append(string)
-                    continue
+                new.append(string)
+            else:
                 young[string] = ids
-            found[string] = ids
-        return found, new
-
-    def keep(self, string: str, ids: bytes) -> None:
-        if len(string) > LONGEST:
-            return
-        self.young[string] = ids
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        young.update(zip(new, encode(new), strict=True))
+        self.long = [s for s in new if len(s) > LONGEST]
+        return young
 
 
 @functools.lru_cache(maxsize=2)
