@@ -6,16 +6,21 @@ replaces it, so a batch that is run again leaves the same table behind.
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.functions import text
 from stowage.operators.validate import BUNDLE
+from stowage.session import through_table
 
 # ---- fixed values -----------------------------------------------------------
 ZSTD_LEVEL = "3"
 # ---- end of fixed values ----------------------------------------------------
-COMPACT_EVERY = 32
+#: Copies that are made at the same time.
+COPIES = 4
 
 
 class QuarantineCollision(ValueError):
@@ -40,7 +45,12 @@ def quarantined(members: DataFrame, received_at: Column) -> DataFrame:
 def write_quarantine(
     members: DataFrame, received_at: Column, root: str, stored: DataFrame | None = None
 ) -> None:
-    """Store members under sender and received date; refuse a known bundle."""
+    """Store members under sender and received date; refuse a known bundle.
+
+    With `stored` the members are written once before they are looked at twice.
+    """
+    if stored is not None:
+        members = through_table(members, "to-store")
     if stored is not None and collisions(members, stored).limit(1).count():
         raise QuarantineCollision("a bundle of this write is already stored")
     folders = ("sender_id", "yyyy", "mm", "dd")
@@ -83,35 +93,6 @@ def newest_batch(spark: SparkSession, root: str, schema: str, before: int) -> Da
     return spark.read.schema(schema).parquet(f"{root}/batch_id={newest}")
 
 
-def known_rows(spark: SparkSession, root: str, index: str, schema: str, before: int) -> DataFrame:
-    """Chosen columns of all batches before one, from the newest index and the batches after it.
-
-    However many batches there were, that is one index folder and at most
-    COMPACT_EVERY batch folders.
-    """
-    newest = max((i for i in _numbered(spark, index, "upto=")[0] if i < before), default=-1)
-    folders = [f"{index}/upto={newest}"] if newest >= 0 else []
-    batches, _ = _numbered(spark, root, "batch_id=")
-    folders += [f"{root}/batch_id={i}" for i in batches if newest < i < before]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
-
-
-def compact_rows(spark: SparkSession, root: str, index: str, schema: str, batch_id: int) -> None:
-    """After every COMPACT_EVERY-th batch write a new index of all rows so far.
-
-    A batch that is run again reads the index before its own, which is kept until
-    the next one is written; older ones go.
-    """
-    if (batch_id + 1) % COMPACT_EVERY:
-        return
-    own = spark.read.schema(schema).parquet(f"{root}/batch_id={batch_id}")
-    whole = known_rows(spark, root, index, schema, batch_id).unionByName(own)
-    whole.write.mode("overwrite").parquet(f"{index}/upto={batch_id}")
-    earlier, fs = _numbered(spark, index, "upto=")
-    for old in [i for i in earlier if i < batch_id][:-1]:
-        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{index}/upto={old}"), True)
-
-
 def write_snapshot(
     files: DataFrame, root: str, name: str, exclusions: tuple[str, ...] = (), path: str = "path"
 ) -> str:
@@ -132,21 +113,38 @@ def snapshot_name(directory: str, taken_at: Column) -> Column:
 
 
 def copy_to_all(source: str, targets: list[str], spark: SparkSession) -> DataFrame:
-    """Copy a stored table to every target; one failing target stops no other.
+    """Copy a stored table to every target, several at a time; one failing target stops no other.
 
-    Returns one row per target; the copy succeeded when any is ok.  The source
-    is a written table, so each copy is one distributed read and write.
+    Returns one row per target; the copy succeeded when any is ok.  The source is a
+    written table, so each copy is one distributed read and write; a source that is not
+    there is the caller's error and no target's.  A copy takes its target's place when
+    it is complete: a target whose copy fails keeps what it held.
     """
-    rows = []
-    for target in targets:
+    stored = spark.read.parquet(source)
+
+    def copy(target: str) -> tuple[str, bool, str | None]:
         try:
-            spark.read.parquet(source).write.mode("overwrite").parquet(target)
-            rows.append((target, True, None))
+            attempt = f"{target.rstrip('/')}.copying-{uuid.uuid4().hex}"
+            stored.write.parquet(attempt)
+            _replace(spark, attempt, target)
+            return target, True, None
         except Exception as problem:  # noqa: BLE001 - reported per target
-            rows.append((target, False, type(problem).__name__))
+            return target, False, type(problem).__name__
+
+    with ThreadPoolExecutor(max_workers=max(1, min(COPIES, len(targets)))) as pool:
+        rows = list(pool.map(copy, targets))
     return spark.createDataFrame(rows, "target string, ok boolean, error string")
 
 
+def _replace(spark: SparkSession, made: str, target: str) -> None:
+    made, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (made, target))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(made, target):
+        raise OSError(f"could not put {made} in the place of {target}")
+
+
 def copied_anywhere(status: DataFrame) -> DataFrame:
     return status.agg(
         F.coalesce(F.bool_or("ok"), F.lit(False)).alias("ok"), F.count_if("ok").alias("copies")

@@ -158,7 +158,7 @@ class ArchiveReader(DataSourceReader):
         would in the plan.
         """
         for test in filters:
-            column = test.attribute[0] if len(test.attribute) == 1 else None
+            column = ".".join(getattr(test, "attribute", ()))
             if column in self.tests and type(test) in _TESTS and test.value is not None:
                 self.tests[column].append((type(test), test.value))
             else:

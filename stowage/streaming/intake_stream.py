@@ -4,8 +4,9 @@ Tables under the output root, each written batch by batch:
 
   outcomes, members, manifests, receipts, answers, audit/lines, audit/heads
 
-`known`, the bundles of all receipts in few files, and `stage`, which holds what
-the current batch passes between its steps.
+`known`, the bundles of all receipts in hash buckets, of which a batch reads those its
+own bundles fall into, and `stage`, which holds what the current batch passes between
+its steps.
 A batch reads only earlier batches and replaces its own folders, so running it
 again after a failure gives the same tables and appends nothing twice.
 """
@@ -22,7 +23,7 @@ from stowage.operators import audit, intake
 from stowage.operators.validate import BUNDLE
 from stowage.schemas import ARRIVAL, Limits
 from stowage.session import through_table
-from stowage.sinks import tables
+from stowage.sinks import known, tables
 from stowage.sources.archives import read_members
 
 RECEIPTS_SCHEMA = (
@@ -30,7 +31,6 @@ RECEIPTS_SCHEMA = (
     "per_file_sha256_verified array<struct<relative_path:string,sha256:string,size_bytes:bigint>>, "
     "audit_log_offset bigint, status string"
 )
-KNOWN_SCHEMA = "sender_id string, bundle_id string"
 HEADS_SCHEMA = "sender_id string, head_hash string, log_bytes bigint"
 CHAIN = ["sender_id"]
 
@@ -61,7 +61,7 @@ def batch_writer(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         received_at = F.lit(now(batch_id)).cast("timestamp")
-        stored = tables.known_rows(spark, f"{root}/receipts", f"{root}/known", KNOWN_SCHEMA, batch_id)
+        stored = known.stored_among(batch, f"{root}/receipts", f"{root}/known", batch_id)
         # The gate is read several times below; a written table keeps it stable.
         gated = through_table(
             intake.gate(intake.described(batch), senders, stored, limits), "gate", f"{root}/stage"
@@ -84,7 +84,7 @@ def batch_writer(
         offsets = audit.byte_offsets(lines, tuple(CHAIN), order="attempt_id", heads=heads)
         tables.write_batch(intake.answered(receipts, offsets), f"{root}/answers", batch_id)
         tables.write_batch(result.outcomes, f"{root}/outcomes", batch_id)
-        tables.compact_rows(spark, f"{root}/receipts", f"{root}/known", KNOWN_SCHEMA, batch_id)
+        known.merge(spark, f"{root}/receipts", f"{root}/known", batch_id)
 
     return write
 

@@ -5,6 +5,7 @@ import json
 import tarfile
 from datetime import datetime, timezone
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from frames import rows
 from stowage.functions import digests
 from stowage.operators import audit, intake, manifest
 from stowage.schemas import ARRIVAL, Limits
-from stowage.sinks import tables
+from stowage.sinks import known, tables
 from stowage.sources import archives
 from stowage.streaming import intake_stream
 
@@ -289,23 +290,30 @@ def test_only_the_newest_batch_is_opened(spark, tmp_path):
     assert rows(heads) == [(9,)] and all("batch_id=9/" in f for f in heads.inputFiles())
 
 
-def test_known_rows_are_compacted(spark, tmp_path, monkeypatch):
-    """Fifty batches: what a batch opens is bounded, its rows are all there, and a repeated batch changes nothing."""
-    monkeypatch.setattr(tables, "COMPACT_EVERY", 8)
-    root, index, schema = f"{tmp_path}/rows", f"{tmp_path}/known", "k long"
-
-    def known(batch):
-        return tables.known_rows(spark, root, index, schema, batch)
-
-    for batch in range(50):
-        for _ in range(2 if batch % 8 in (0, 7) else 1):
-            if batch in (0, 8, 23, 24, 49):
-                assert sorted(r.k for r in known(batch).collect()) == list(range(batch))
-            folders = {f.rsplit("/", 2)[1] for f in known(batch).inputFiles()}
-            assert len(folders) <= 9 and sum(f.startswith("upto=") for f in folders) <= 1
-            tables.write_batch(spark.createDataFrame([(batch,)], schema).coalesce(1), root, batch)
-            tables.compact_rows(spark, root, index, schema, batch)
-    assert len(list((tmp_path / "known").iterdir())) == 2
+def test_a_batch_reads_the_buckets_of_its_own_bundles(spark, tmp_path, monkeypatch):
+    """Sixteen batches: what one looks into is bounded, every stored bundle it names is found, repeats change nothing."""
+    for name, value in {"MERGE_EVERY": 2, "REWRITE_EVERY": 3, "BUCKET_ROWS": 150}.items():
+        monkeypatch.setattr(known, name, value)
+    root, index, schema = f"{tmp_path}/receipts", f"{tmp_path}/known", "sender_id string, bundle_id string"
+    opened = {}
+    for batch in range(16):
+        for _ in range(2 if batch in (3, 8) else 1):
+            asked = [("s", f"{batch // 2}-1"), ("s", f"{max(0, batch - 1)}-2"), ("s", f"{batch}-3"), ("t", "0-1")]
+            attempts = spark.createDataFrame(asked, schema)
+            found = known.stored_among(attempts, root, index, batch)
+            if batch in (0, 3, 4, 8, 15):
+                met = sorted(tuple(r) for r in attempts.join(found.distinct(), KEYS, "left_semi").collect())
+                assert met == sorted({k for k in asked if k[0] == "s" and int(k[1].split("-")[0]) < batch})
+            files = [f.removeprefix("file:").replace("//", "/") for f in found.inputFiles()]
+            opened[batch] = sum(pq.read_metadata(f).num_rows for f in files if "/known/" in f)
+            assert sum("/receipts/" in f for f in files) <= 2
+            rows_ = [("s", f"{batch}-{i}") for i in range(200)]
+            tables.write_batch(spark.createDataFrame(rows_, schema).coalesce(1), root, batch)
+            known.merge(spark, root, index, batch)
+    states = [known.State.parsed(p.name) for p in (tmp_path / "known").iterdir() if p.name.startswith("state=")]
+    assert len(states) == 2 and max(s.rows for s in states) >= 3200 and max(s.bits for s in states) >= 4
+    # An attempt looks into one bucket, however many bundles are stored (a repeated batch appends twice).
+    assert 150 < max(opened.values()) <= len(asked) * 150 * 1.3, opened
 
 
 def test_stored_receipts_are_read_back(spark):
