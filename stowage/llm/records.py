@@ -52,7 +52,7 @@ from stowage.llm.common import blocks, fresh_folder, prepared, text_of
 from stowage.llm.files import open_folder
 
 #: Words and pieces of words that a task remembers, twice over and those of a block more; none longer than LONGEST.
-MEMORY, PIECES, LONGEST = 250_000, 500_000, 48
+MEMORY, PIECES, LONGEST = 600_000, 500_000, 48
 END_ID = 1
 #: The only splitting rule for which words are known to be independent (fixed value).
 WORDWISE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
