@@ -144,16 +144,6 @@ def backup_file_validity(spark, sf):
 
 
 # -- files and logs -----------------------------------------------------------
-@register("scan_given_files")
-def scan_given_files(spark, sf):
-    """Inventory, pre-flight and digest of the table files themselves."""
-    found = listing.scan_roots(spark, [sf, f"{sf}/no-such-folder", f"{sf}/nation.parquet"])
-    limits = Limits(max_file_bytes=1 << 20, extensions=(".parquet",))
-    checked = inventory.preflight(found, limits)
-    kept = inventory.first_root_wins(checked.drop("mtime", "reject_detail"))
-    return kept.select("relative_path", "size_bytes", "preflight")
-
-
 @register(
     "audit_log_files",
     V.with_chain("SELECT sender_id AS chain, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_broken, true AS ok FROM chain GROUP BY sender_id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from checks import views as V
@@ -9,8 +11,10 @@ from checks.arrival import KEYS, _sent, fresh_folder, with_sent
 from checks.bundles import _MANIFESTS, _SIGNED, MEMBERS
 from checks.registry import register
 
-from stowage.operators import validate
+from stowage.operators import inventory, validate
+from stowage.schemas import Limits
 from stowage.sinks import bundle_parts
+from stowage.sources import listing
 from stowage.sources.archive_files import with_archives
 
 PART = 3
@@ -86,3 +90,44 @@ def manifest_chunks_signed(spark, sf):
     chosen = validate.checked_members(members).withColumn("mtime", F.expr("1706659200 - conv_id * 61 - member_idx"))
     chunks = bundle_parts.manifest_chunks(chosen, F.lit("2026-04-19T08:12:00Z"), F.lit("/var/log"), entries=PART)
     return bundle_parts.sign_chunks(chunks, V.senders(members))
+
+
+_FILES = """SELECT p_partkey, p_type, p_size, 'brand ' || p_brand || '/' || CASE WHEN p_partkey % 7 = 0 THEN '.' ELSE '' END || 'p' || p_partkey
+  || CASE WHEN p_partkey % 5 = 0 THEN '.txt' ELSE '.log' END AS relative_path,
+  CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN p_name || chr(0) || p_type ELSE repeat(p_name || chr(10), CAST(p_size AS INTEGER)) END AS body FROM part"""
+
+
+def _written(spark, sf):
+    """A folder with one file a part: some are empty, some hidden, some hold a zero byte; and a link."""
+    folder = fresh_folder(spark, "tree")
+    rows = V.table(spark, sf, "part").selectExpr(
+        "concat('brand ', p_brand, '/', if(p_partkey % 7 = 0, '.', ''), 'p', p_partkey, if(p_partkey % 5 = 0, '.txt', '.log')) AS path",
+        "CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN concat(p_name, char(0), p_type) "
+        "ELSE repeat(concat(p_name, char(10)), CAST(p_size AS INT)) END AS body",
+    )
+    top = folder.removeprefix("file:")
+
+    def write(batches):
+        for batch in batches:
+            for path, body in zip(batch["path"], batch["body"]):
+                os.makedirs(os.path.dirname(f"{top}/{path}"), exist_ok=True)
+                with open(f"{top}/{path}", "wb") as out:
+                    out.write(body.encode())
+            yield batch[["path"]]
+
+    rows.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@register(
+    "scanned_digests",
+    f"""WITH files AS ({_FILES})
+SELECT relative_path, CAST(strlen(body) AS BIGINT) AS size_bytes, sha256(body) AS sha256,
+  CASE WHEN p_partkey % 5 = 0 THEN 'ext_not_allowed' WHEN strlen(body) > 1500 THEN 'file_too_large' WHEN contains(body, chr(0)) THEN 'not_text' ELSE 'ok' END AS preflight
+FROM files""",
+)
+def scanned_digests(spark, sf):
+    """Files that the query writes itself, listed exactly, read block by block and judged."""
+    listed = listing.scan_roots(spark, [_written(spark, sf), "/no/such/folder"], with_content=False)
+    checked = inventory.preflight(listing.with_digests(listed), Limits(max_file_bytes=1500))
+    return checked.select("relative_path", "size_bytes", "sha256", "preflight")

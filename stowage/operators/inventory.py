@@ -67,11 +67,19 @@ def _detail(limits: Limits) -> Column:
 def preflight(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Add preflight, reject_detail and toggleable; drop content.
 
-    Two branches, so a file that its name or size already rejects is not probed;
+    Files that were read block by block bring `has_nul` in place of their content.
+    Otherwise two branches, so a file that its name or size already rejects is not probed;
     the size test stands alone to reach the scan, which then skips large files.
     """
     plain = [c for c in files.columns if c != "content"]
     named = cheap_status(limits)
+    if "has_nul" in files.columns:
+        probed = F.when(F.col("has_nul"), "not_text").otherwise("ok")
+        return (
+            files.withColumn("preflight", F.coalesce(named, probed))
+            .withColumn("reject_detail", _detail(limits))
+            .withColumn("toggleable", F.col("preflight") == "ok")
+        )
     rejected = files.select(*plain).withColumn("preflight", named).filter("preflight IS NOT NULL")
     probed = (
         files.filter(F.col("size_bytes") <= limits.max_file_bytes)

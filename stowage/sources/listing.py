@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import os
+import re
 import stat
 from collections.abc import Iterator
 
@@ -17,7 +19,11 @@ from stowage.session import through_table
 
 # ---- fixed values -----------------------------------------------------------
 ARCHIVE_SUFFIX = ".tar.zst"
+PROBE_BYTES = 8192
 # ---- end of fixed values ----------------------------------------------------
+BLOCK_BYTES = 1 << 20
+_MOUNTED = re.compile(r"(?:file:)?/+(?=[^/]|$)")
+_FILE_COLUMNS = ("root", "root_ord", "root_is_file", "relative_path", "size_bytes", "mtime")
 
 
 def _local(path: Column) -> Column:
@@ -51,11 +57,23 @@ def scan_root(spark: SparkSession, root: str, root_ord: int, with_content: bool
 
 
 def scan_roots(spark: SparkSession, roots: list[str], with_content: bool = True) -> DataFrame:
-    """Union of several roots in order; roots that do not exist are skipped."""
+    """File table of several roots in order; roots that do not exist are skipped.
+
+    Roots on a mount that every executor sees are listed exactly: hidden and empty
+    files are there, links and special files are not.  Roots in another store are
+    listed by Spark, see `scan_root`.  Content is one value a file, for files that fit
+    into one; `with_digests` reads files of any size.
+    """
+    mounted = [(number, root) for number, root in enumerate(roots) if _MOUNTED.match(root)]
     frames = []
+    if mounted:
+        tops = [(_MOUNTED.sub("/", root).rstrip("/"), number) for number, root in mounted]
+        listed = from_listing(_walked(spark, tops))
+        chosen = listed.select(*_FILE_COLUMNS)
+        frames.append(_content_of(chosen) if with_content else chosen)
     for number, root in enumerate(roots):
-        if _exists(spark, root):
-            frames.append(scan_root(spark, root, number, with_content))
+        if not _MOUNTED.match(root) and _exists(spark, root):
+            frames.append(scan_root(spark, root, number, with_content).withColumn("size_bytes", F.col("size_bytes").cast("long")))
     if not frames:
         schema = "root string, root_ord int, root_is_file boolean, relative_path string, size_bytes bigint, mtime double"
         return spark.createDataFrame([], schema + (", content binary" if with_content else ""))
@@ -81,7 +99,11 @@ def walk(spark: SparkSession, roots: list[str]) -> DataFrame:
     roots give nothing.  One job per level of depth; the directories of a level
     are dealt over the executors, and entries stream out while one is read.
     """
-    tops = [(r.rstrip("/"), n, r.rstrip("/")) for n, r in enumerate(roots)]
+    return _walked(spark, [(r.rstrip("/"), n) for n, r in enumerate(roots)])
+
+
+def _walked(spark: SparkSession, numbered: list[tuple[str, int]]) -> DataFrame:
+    tops = [(root, number, root) for root, number in numbered]
     level = spark.createDataFrame(tops, "root string, root_ord int, path string")
     levels = [through_table(level.mapInPandas(_describe, LISTING), "level")]
     while not (folders := levels[-1].filter("kind = 'dir'")).isEmpty():
@@ -140,6 +162,48 @@ def with_content(files: DataFrame) -> DataFrame:
     return files.withColumn("_path", path).mapInPandas(read, schema)
 
 
+#: The same under a name that a parameter of `scan_roots` does not hide.
+_content_of = with_content
+
+
+def with_digests(files: DataFrame, probe_bytes: int = PROBE_BYTES, max_bytes: int | None = None) -> DataFrame:
+    """Add sha256, has_nul and error of listed files of any size, read block by block.
+
+    One digest runs through a file, so a task holds one block.  has_nul tells whether
+    the first probe_bytes hold a zero byte.  Files above max_bytes are not opened, and
+    their digest is null, as is that of a file that cannot be read, whose error says
+    why.  Files are dealt over the tasks by name, not by folder.
+    """
+    added = "sha256 string, has_nul boolean, error string"
+    schema = T.StructType([*files.schema.fields, *T.StructType.fromDDL(added).fields])
+    path = F.when(F.col("root_is_file"), F.col("root")).otherwise(F.concat_ws("/", "root", "relative_path"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            wanted = batch["size_bytes"].map(lambda size: max_bytes is None or size <= max_bytes)
+            found = [_digest(p, probe_bytes) if ok else (None, None, None) for p, ok in zip(batch["_path"], wanted)]
+            sha256, has_nul, error = (list(c) for c in zip(*found)) if found else ([], [], [])
+            columns = {"sha256": sha256, "has_nul": pd.array(has_nul, "boolean"), "error": error}
+            yield batch.drop(columns="_path").assign(**columns)
+
+    dealt = files.withColumn("_path", path).repartition("root", "relative_path")
+    return dealt.mapInPandas(read, schema)
+
+
+def _digest(path: str, probe_bytes: int) -> tuple[str | None, bool | None, str | None]:
+    """(digest, zero byte near the start, error) of one file."""
+    running, head = hashlib.sha256(), b""
+    try:
+        with open(path, "rb") as handle:
+            while block := handle.read(BLOCK_BYTES):
+                running.update(block)
+                if len(head) < probe_bytes:
+                    head += block[: probe_bytes - len(head)]
+    except OSError as problem:
+        return None, None, f"{type(problem).__name__}: {problem.strerror}"
+    return running.hexdigest(), b"\0" in head, None
+
+
 def _bytes(path: str) -> bytes:
     with open(path, "rb") as handle:
         return handle.read()

@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -236,3 +237,26 @@ def test_file_source_listing(spark, tmp_path):
     found = listing.scan_roots(spark, [str(tmp_path), str(tmp_path / "gone")])
     assert rows(found, "relative_path", "size_bytes", "root_ord") == [("d/b.log", 5, 0)]
     assert listing.scan_roots(spark, [str(tmp_path / "gone")]).count() == 0
+
+
+def test_files_of_any_kind_are_listed_and_digested_in_blocks(spark, tmp_path, monkeypatch):
+    """Hidden, empty, large and unreadable files; links are left out; a file may be a root."""
+    bodies = {"a.log": b"x" * 5_000_000, ".hidden.log": b"h", "_d/e.log": b"", "_d/nul.log": b"a\0b", "late.log": b"y" * 9000 + b"\0"}
+    for name, body in bodies.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    (tmp_path / "link.log").symlink_to(tmp_path / "a.log")
+    found = listing.scan_roots(spark, [str(tmp_path), f"file:{tmp_path}/a.log", str(tmp_path / "gone")], with_content=False)
+    read = listing.with_digests(found)
+    want = [(n, len(b), hashlib.sha256(b).hexdigest(), n == "_d/nul.log") for n, b in bodies.items()]
+    want.append(("a.log", 5_000_000, hashlib.sha256(bodies["a.log"]).hexdigest(), False))
+    assert rows(read, "relative_path", "size_bytes", "sha256", "has_nul") == sorted(want, key=lambda t: tuple(map(str, t)))
+    capped = listing.with_digests(found, max_bytes=100)
+    assert capped.filter("sha256 IS NULL").count() == 3 and capped.filter("error IS NOT NULL").isEmpty()
+    gone = found.withColumn("relative_path", F.concat(F.lit("no/"), "relative_path")).filter("NOT root_is_file")
+    assert rows(listing.with_digests(gone).select("sha256", F.substring_index("error", ":", 1))) == [(None, "FileNotFoundError")] * 5
+    status = inventory.preflight(read.filter("NOT root_is_file"), Limits(max_file_bytes=9500))
+    assert rows(status, "relative_path", "preflight") == [
+        (".hidden.log", "ok"), ("_d/e.log", "ok"), ("_d/nul.log", "not_text"), ("a.log", "file_too_large"), ("late.log", "ok")
+    ]
+    assert rows(inventory.preflight(listing.scan_roots(spark, [str(tmp_path)])), "relative_path").count((".hidden.log",)) == 1
