@@ -45,9 +45,7 @@ def instances_per_tunnel(
     One row per rule rather than one list per tunnel, so a tunnel may have any
     number of instances.
     """
-    known = spread.spread_semi(
-        instances, tunnels.select(F.col("name").alias("tunnel")), ["tunnel"], [order]
-    )
+    known = spread.spread_semi(instances, tunnels.select(F.col("name").alias("tunnel")), ["tunnel"])
     return SlicedOrder(("tunnel",), by_number(order, width), (order,)).position(known, "rule_no")
 
 

@@ -73,7 +73,7 @@ def stored_receipts(attempts: DataFrame, receipts: DataFrame) -> DataFrame:
     """
     asked = attempts.select(*BUNDLE).distinct()
     needed = receipts.join(asked, list(BUNDLE), "left_semi")
-    return spread.spread_lookup(attempts, needed, list(BUNDLE), ["attempt_id"], how="inner")
+    return spread.spread_lookup(attempts, needed, list(BUNDLE), how="inner")
 
 
 # -- receipts -----------------------------------------------------------------

@@ -340,9 +340,7 @@ def expand_selection(
     by_folder = spread.covered(
         listed, "absolute_path", _chosen_paths(folders), [], "_below", directories_of=everywhere
     )
-    both = spread.spread_flag(
-        by_folder, _chosen_paths(files), ["absolute_path"], ["absolute_path"], "_named", copies=1
-    )
+    both = spread.spread_flag(by_folder, _chosen_paths(files), ["absolute_path"], "_named")
     return both.filter("_below OR _named").drop("_below", "_named")
 
 
@@ -350,15 +348,13 @@ def select_by_list(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     """Selectable tree entries whose full path or last name is listed.
 
     `wanted` has one column, `entry`.  Two flag joins instead of one join on an
-    OR; a last name shared by most files is spread.
+    OR; a last name shared by most files is a skewed key, which the join splits.
     """
     base = entries.filter("toggleable").withColumn("_short", paths.base_name(F.col("relative_path")))
     by_path = spread.spread_flag(
-        base, wanted.select(F.col("entry").alias("relative_path")), ["relative_path"], ["root"], "_path"
-    )
-    by_name = spread.spread_flag(
-        by_path, wanted.select(F.col("entry").alias("_short")), ["_short"], ["relative_path"], "_name"
+        base, wanted.select(F.col("entry").alias("relative_path")), ["relative_path"], "_path"
     )
+    by_name = spread.spread_flag(by_path, wanted.select(F.col("entry").alias("_short")), ["_short"], "_name")
     return by_name.filter("_path OR _name").drop("_path", "_name", "_short")
 
 

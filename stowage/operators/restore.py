@@ -21,7 +21,7 @@ def select_members(members: DataFrame, requested: DataFrame, keys: list[str]) ->
     The request is not pruned first: a path below another adds no member.
     """
     below = spread.covered(members, "path", requested, keys, "_below")
-    named = spread.spread_flag(below, requested, [*keys, "path"], ["path"], "_named", copies=1)
+    named = spread.spread_flag(below, requested, [*keys, "path"], "_named")
     return named.filter("_below OR _named").drop("_below", "_named")
 
 

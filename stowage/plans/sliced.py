@@ -84,6 +84,17 @@ class SlicedOrder:
             .drop(*self._names, *[f"_r_{n}" for n in sums], *[f"_o_{n}" for n in sums])
         )
 
+    def running_max(self, df: DataFrame, name: str, value: Column) -> DataFrame:
+        """Add the largest value of an expression over the rows so far, the row included; nulls count for nothing."""
+        base = self.sliced(df)
+        tops = base.groupBy(*self.group).agg(F.max(value).alias("_top"))
+        before = self._across().rowsBetween(Window.unboundedPreceding, -1)
+        earlier = tops.select(*self.group, F.max("_top").over(before).alias("_earlier"))
+        upto = self._inside().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = base.withColumn("_here", F.max(value).over(upto))
+        largest = F.greatest("_here", "_earlier")
+        return self._attach(local, earlier).withColumn(name, largest).drop(*self._names, "_here", "_earlier")
+
     def position(self, df: DataFrame, name: str = "position") -> DataFrame:
         """Add the 1-based position of each row in its group."""
         return self.running(df, {name: F.lit(1).cast("long")})

@@ -1,8 +1,14 @@
-"""Joins against a lookup table that stay balanced when one key is everywhere.
+"""Lookups and containment that stay balanced when one key is everywhere.
 
-The large side's rows of one key are dealt over `copies` buckets and the lookup
-is repeated once per bucket, so no task holds a whole key.  No broadcast is
-forced: Spark still picks one when the lookup's measured size allows it.
+Lookups are plain joins: Spark picks a broadcast when the lookup's measured size allows
+it, and otherwise splits the partitions that turn out skewed (`session.RUNTIME_SETTINGS`),
+so the side with a hot key is dealt over tasks and only the lookup's rows of that key
+are read again.
+
+Containment is a sweep.  Whatever lies below a folder stands in one stretch of the order
+of paths, from "folder/" to "folder0", the next text after all that begin so.  Folders
+open stretches, and a path is covered if the farthest end of those opened so far lies
+behind it: a running maximum, which slices of the order compute on their own.
 """
 
 from __future__ import annotations
@@ -11,65 +17,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stowage.functions import paths
+from stowage.plans.sliced import by_range
 
-DEFAULT_COPIES = 16
-
-
-def _bucketed(df: DataFrame, spread_by: list[str], copies: int) -> DataFrame:
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(copies))
-    return df.withColumn("_bucket", bucket)
-
+#: Behind every path.
+_LAST = chr(0x10FFFF) * 2
 
-def _repeated(df: DataFrame, copies: int) -> DataFrame:
-    buckets = F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))
-    return df.withColumn("_bucket", F.explode(buckets))
 
-
-def spread_semi(
-    large: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    spread_by: list[str],
-    how: str = "left_semi",
-    copies: int = DEFAULT_COPIES,
-) -> DataFrame:
+def spread_semi(large: DataFrame, lookup: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Semi or anti join, large side left."""
-    keys = _repeated(lookup.select(*on).distinct(), copies)
-    return _bucketed(large, spread_by, copies).join(keys, [*on, "_bucket"], how).drop("_bucket")
+    return large.join(lookup.select(*on).distinct(), on, how)
 
 
-def spread_flag(
-    large: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    spread_by: list[str],
-    flag: str,
-    copies: int = DEFAULT_COPIES,
-) -> DataFrame:
+def spread_flag(large: DataFrame, lookup: DataFrame, on: list[str], flag: str) -> DataFrame:
     """Add a boolean that says whether the lookup holds the row's key."""
-    keys = _repeated(lookup.select(*on).distinct(), copies).withColumn(flag, F.lit(True))
-    return (
-        _bucketed(large, spread_by, copies)
-        .join(keys, [*on, "_bucket"], "left")
-        .withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-        .drop("_bucket")
-    )
+    keys = lookup.select(*on).distinct().withColumn(flag, F.lit(True))
+    return large.join(keys, on, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
-def spread_lookup(
-    large: DataFrame,
-    lookup: DataFrame,
-    on: list[str],
-    spread_by: list[str],
-    how: str = "left",
-    copies: int = DEFAULT_COPIES,
-) -> DataFrame:
+def spread_lookup(large: DataFrame, lookup: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join one lookup row to every row of the large side."""
-    return (
-        _bucketed(large, spread_by, copies)
-        .join(_repeated(lookup, copies), [*on, "_bucket"], how)
-        .drop("_bucket")
-    )
+    return large.join(lookup, on, how)
 
 
 def covered(
@@ -79,27 +46,35 @@ def covered(
     keys: list[str],
     flag: str,
     include_top: bool = False,
-    copies: int = DEFAULT_COPIES,
     directories_of: DataFrame | None = None,
 ) -> DataFrame:
     """Flag rows whose path lies strictly below one of the given folders.
 
-    `folders` has the key columns and the path column; `directories_of` is a
-    cheaper table with at least the same directories.  Containment becomes equality by
-    listing the ancestors of each distinct directory, which is far smaller than
-    the table; near the root one ancestor covers everything, so both joins are
-    spread.
+    `folders` has the key columns and the path column; `directories_of` is a cheaper
+    table with at least the same directories.  Distinct directories, far fewer than
+    paths, go through the sweep together with the folders: one range shuffle over both.
+    With `include_top` the folder '' covers every path.  Null paths and keys are neither
+    covered nor cover anything.
     """
     marked = df.withColumn("_dir", paths.parent(F.col(path)))
     source = df if directories_of is None else directories_of
-    dirs = source.select(*keys, paths.parent(F.col(path)).alias("_dir")).distinct()
-    above = dirs.withColumn(
-        "_folder",
-        F.explode(paths.ancestors(F.col("_dir"), include_self=True, include_top=include_top)),
+    points = source.select(*keys, paths.parent(F.col(path)).alias("_dir")).distinct().filter("_dir IS NOT NULL")
+    points = points.select(
+        *keys, F.concat("_dir", F.lit("/")).alias("_at"), F.lit(1).alias("_is_point"), F.lit(None).cast("string").alias("_end"), "_dir"
+    )
+    named = folders.select(*keys, F.col(path).alias("_folder")).dropna().distinct()
+    everything = (F.col("_folder") == "") & F.lit(include_top)
+    opened = named.select(
+        *keys,
+        F.when(everything, "").otherwise(F.concat("_folder", F.lit("/"))).alias("_at"),
+        F.lit(0).alias("_is_point"),
+        F.when(everything, _LAST).otherwise(F.concat("_folder", F.lit("0"))).alias("_end"),
+        F.lit(None).cast("string").alias("_dir"),
     )
-    wanted = folders.select(*keys, F.col(path).alias("_folder"))
-    hit = spread_semi(above, wanted, [*keys, "_folder"], ["_dir"], copies=copies).select(*keys, "_dir")
-    return spread_flag(marked, hit, [*keys, "_dir"], [path], flag, copies).drop("_dir")
+    order, events = by_range(points.unionByName(opened), tuple(keys), ("_at", "_is_point"))
+    swept = order.running_max(events, "_farthest", F.col("_end"))
+    hit = swept.filter((F.col("_is_point") == 1) & (F.col("_farthest") > F.col("_at"))).select(*keys, "_dir")
+    return spread_flag(marked, hit, [*keys, "_dir"], flag).drop("_dir")
 
 
 def ancestors_with_counts(

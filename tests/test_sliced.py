@@ -94,20 +94,19 @@ def test_a_group_with_a_third_of_the_rows_is_spread(spark):
     order = SlicedOrder(("k",), by_number("at", 500), ("at",))
     assert largest_share(df, ["k"]) > 1 / 3
     assert largest_share(order.sliced(df), order.group) < 0.12
-    assert largest_share(spread._bucketed(df, ["at"], 64), ["k", "_bucket"]) < 0.12
 
 
 def test_spread_joins_equal_plain_joins(skewed, spark):
     data, df = skewed
     lookup = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, w int")
     want = sorted(r for r in data if r[0] in ("hot", "k3"))
-    got = spread.spread_semi(df, lookup, ["k"], ["at"])
+    got = spread.spread_semi(df, lookup, ["k"])
     assert sorted(map(tuple, got.collect())) == want
-    left = spread.spread_semi(df, lookup, ["k"], ["at"], how="left_anti")
+    left = spread.spread_semi(df, lookup, ["k"], how="left_anti")
     assert left.count() == len(data) - len(want)
-    flagged = spread.spread_flag(df, lookup, ["k"], ["at"], "seen")
+    flagged = spread.spread_flag(df, lookup, ["k"], "seen")
     assert flagged.count() == len(data) and flagged.filter("seen").count() == len(want)
-    joined = spread.spread_lookup(df, lookup, ["k"], ["at"], how="inner")
+    joined = spread.spread_lookup(df, lookup, ["k"], how="inner")
     assert joined.count() == len(want)
 
 
@@ -124,6 +123,53 @@ def test_containment_agrees_with_prefixes(spark):
     assert everything.filter("NOT below").count() == 0
 
 
+def test_hot_keys_of_a_lookup_are_split(spark):
+    """A third of all rows have one key: the join's plan reads its partition in several tasks."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("id") % 5000)
+    df = spark.range(200_000).select(hot.alias("k"), F.col("id").alias("at"), F.expr("repeat(uuid(), 4)").alias("pad"))
+    lookup = spark.range(-1, 5000).select(F.col("id").alias("k"))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1m",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        joined = spread.spread_flag(df, lookup, ["k"], "seen").groupBy(F.spark_partition_id().alias("p")).count()
+        counts = [r["count"] for r in joined.collect()]
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert sum(counts) == 200_000 and max(counts) < 40_000
+
+
+def test_containment_of_odd_paths(spark):
+    """Nested and repeated folders, names that begin alike, absolute paths, nulls, several keys."""
+    paths_ = [("k", p) for p in ("a/b", "a/bc/d", "a/b/c", "a.b/c", "a0/x", "a", "/x/y", "/x", "x/y", "é/漢/z", None)] + [("m", "a/b/c")]
+    df = spark.createDataFrame(paths_, "k string, path string").repartition(3)
+    chosen = [("k", "a/b"), ("k", "a"), ("k", "a"), ("k", "/x"), ("k", "é"), ("k", None), ("n", "a"), (None, "a")]
+    flagged = spread.covered(df, "path", spark.createDataFrame(chosen, "k string, path string"), ["k"], "below")
+    got = sorted((r.k, r.path) for r in flagged.filter("below").collect())
+    assert got == sorted([("k", "a/b"), ("k", "a/bc/d"), ("k", "a/b/c"), ("k", "/x/y"), ("k", "é/漢/z")])
+    assert flagged.count() == len(paths_) and flagged.filter("below IS NULL").isEmpty()
+
+
+def test_running_maximum(spark):
+    rng = random.Random(8)
+    data = [(g, i, rng.choice([None, rng.randint(0, 100 + i)])) for g in "ab" for i in range(200)]
+    df = spark.createDataFrame(data, "g string, i int, v int").repartition(4)
+    got = SlicedOrder(("g",), by_number("i", 30), ("i",)).running_max(df, "top", F.col("v"))
+    want, top = [], {}
+    for g, i, v in data:
+        if v is not None:
+            top[g] = max(v, top.get(g, v))
+        want.append((g, i, top.get(g)))
+    assert rows(got, "g", "i", "top") == sorted(want, key=lambda t: tuple(map(str, t)))
+
+
 def test_counts_of_ancestors(spark):
     names = ["a/b/x", "a/b/y", "a/z", "w", "c/d/e/f"]
     df = spark.createDataFrame([(n,) for n in names], "path string")
