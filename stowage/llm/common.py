@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stowage.session import shared_folder, through_table, tune
 
@@ -18,7 +19,18 @@ BATCH_ROWS = 1000
 #: Texts of a batch are worked off in blocks of about so many characters.
 BLOCK_CHARS = 500_000
 
-__all__ = ["BATCH_ROWS", "blocks", "fresh_folder", "prepared", "text_of", "through_table", "words_of"]
+__all__ = [
+    "BATCH_ROWS",
+    "blocks",
+    "free_name",
+    "fresh_folder",
+    "in_order",
+    "own_columns",
+    "prepared",
+    "text_of",
+    "through_table",
+    "words_of",
+]
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -57,6 +69,34 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
             yield batch.slice(start), texts[start:]
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A name that no column of the frame has, whatever the letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{stem}" in taken:
+        stem += "_"
+    return f"__{stem}"
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def _sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_sortable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _sortable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType, T.CalendarIntervalType))
+
+
+def in_order(df: DataFrame) -> list[Column]:
+    """All columns to sort by; maps and the like by their JSON text."""
+    return [
+        column if _sortable(field.dataType) else F.to_json(F.struct(column.alias("value")))
+        for column, field in zip(own_columns(df), df.schema.fields, strict=True)
+    ]
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as the longs that Spark holds."""
     return values.astype(np.uint64, copy=False).view(np.int64)

@@ -13,7 +13,7 @@ is not suspect, beyond the few that share a routing bucket with a suspect one.
 Defined cases: a null text counts as empty, and all empty texts are equal.  A
 null id is never chosen to stay unless the group has no other.  Rows that repeat
 both id and text get the same answer; `kept_rows` keeps one of them, the first in
-order of all columns.
+order of all columns, which may have any name and type.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm import quotient_filter as qf
-from stowage.llm.common import prepared, signed, text_of, through_table
+from stowage.llm.common import free_name, in_order, own_columns, prepared, signed, text_of, through_table
 
 #: A block of the fingerprint space holds about so many rows when all are distinct ...
 ROWS_A_BLOCK = 1 << 20
@@ -132,15 +132,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def one_a_row(keyed: DataFrame, columns: list[str]) -> DataFrame:
-    """Of rows equal in `__key`, the first in order of the columns."""
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy(*(F.col(f"`{c}`") for c in columns)))
-    return keyed.withColumn("__rank", rank).filter("__rank = 1").select(*(F.col(f"`{c}`") for c in columns))
+def one_a_row(keyed: DataFrame, key: str, docs: DataFrame) -> DataFrame:
+    """The columns of docs; of rows equal in the key the first in order of these columns."""
+    rank = free_name(keyed, "rank")
+    ordered = Window.partitionBy(key).orderBy(*in_order(docs))
+    return keyed.withColumn(rank, F.row_number().over(ordered)).filter(F.col(rank) == 1).select(*own_columns(docs))
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all columns of docs; one of each text."""
+    name = free_name(docs, "key")
     found = exact_dedup(docs, id_col, text_col).filter("kept")
     key = F.struct(F.col(f"`{id_col}`").alias("id"), F.sha2(text_of(F.col(f"`{text_col}`")), 256).alias("sha"))
-    found = found.select(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias("__key")).distinct()
-    return one_a_row(docs.withColumn("__key", key).join(found, "__key"), docs.columns)
+    found = found.select(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias(name)).distinct()
+    return one_a_row(docs.withColumn(name, key).join(found, name), name, docs)

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.common import prepared, text_of, through_table, words_of
+from stowage.llm.common import free_name, in_order, own_columns, prepared, text_of, through_table, words_of
 
 #: A document is taken at most so many times, a source at most so many times its size.
 CAP = 3
@@ -232,23 +232,23 @@ def mixed_rows(
     the whole part of their average, and the first in order of all columns the rest.
     """
     taken = mix(docs, id_col, text_col, source_col, **how)
+    name, n_copies, n_rows, rank, copy = (free_name(docs, stem) for stem in ("key", "copies", "rows", "rank", "copy"))
     found = taken.groupBy(
-        F.struct(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.col("size").alias("size")).alias("__key")
-    ).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+        F.struct(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.col("size").alias("size")).alias(name)
+    ).agg(F.sum("copies").alias(n_copies), F.count(F.lit(1)).alias(n_rows))
     key = F.struct(
         F.col(f"`{id_col}`").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         words_of(text_of(F.col(f"`{text_col}`"))).alias("size"),
     )
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.withColumn("__key", key).join(found.filter("__copies > 0"), "__key")
-    rank = F.row_number().over(Window.partitionBy("__key").orderBy(*own))
-    each = F.floor(F.col("__copies") / F.col("__rows")) + F.when(
-        F.col("__rank") <= F.col("__copies") % F.col("__rows"), 1
+    joined = docs.withColumn(name, key).join(found.filter(F.col(n_copies) > 0), name)
+    place = F.row_number().over(Window.partitionBy(name).orderBy(*in_order(docs)))
+    each = F.floor(F.col(n_copies) / F.col(n_rows)) + F.when(
+        F.col(rank) <= F.col(n_copies) % F.col(n_rows), 1
     ).otherwise(0)
     return (
-        joined.withColumn("__rank", rank)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest(each.cast("int"), F.lit(1)))))
-        .filter((each > 0))
-        .select(*own)
+        joined.withColumn(rank, place)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.greatest(each.cast("int"), F.lit(1)))))
+        .filter(each > 0)
+        .select(*own_columns(docs))
     )

@@ -1,16 +1,16 @@
 """SimHash near-dedup by multi-index hashing.
 
-A fingerprint has 64 bits, cut into two segments.  Two fingerprints within two
-bits split their differing bits over the segments as (2, 0), (0, 2) or (1, 1).
-So every fingerprint enters the index under each value within one bit of it:
-the ball of radius one within the upper segment beside the exact lower one, the
-ball within the lower segment beside the exact upper one, and itself: 65 keys.
-Pairs within two bits meet under a key that is within one bit of both; what
-meets is verified on the complete distance.
-
-A key holds at most 65 different fingerprints, however many copies a document
-has, so no bucket is hot.  Under a key each fingerprint is linked to the least
-one there, which keeps everything connected without listing pairs.
+A fingerprint has 64 bits, cut into SEGMENTS.  Of two fingerprints that differ in
+DISTANCE bits or fewer, one segment differs in RADIUS bits or fewer.  Every segment has
+a table from its values to the fingerprints that hold them; each fingerprint looks up
+the Hamming ball of that radius around its own value in every table, and what it meets
+is verified on the complete distance.
+
+A segment value that more than MOST_A_VALUE different fingerprints share is not looked
+up: everything there would meet everything.  Fingerprints whose ball holds such a value
+name the whole fingerprints within DISTANCE that have it, and those that exist are
+found by equality, a key of which holds one fingerprint.  So no bucket grows with the
+data, however many documents share text, and no link is lost.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint
 zero, which links like any other.  A null id is never a component's id unless
@@ -18,29 +18,30 @@ its component has no other.  Rows are told apart by id and text: rows that share
 an id, null included, but not their text are documents of their own.  `kept_rows`
 keeps one row of every component: that of the smallest id, of several the one with
 the least hash of its text, and of rows that repeat both the first in order of all
-columns.
+columns.  Columns of any name and type come along.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stowage.llm import components
-from stowage.llm.common import blocks, prepared, signed, text_of, through_table
+from stowage.llm.common import blocks, free_name, prepared, signed, text_of, through_table
 from stowage.llm.exact_dedup import one_a_row
 
 BITS = 64
 SEGMENTS = 2
-#: Fingerprints link at this many differing bits or fewer ...
+#: Fingerprints link at this many differing bits or fewer.
 DISTANCE = 2
-#: ... which balls of this radius around both must reach.
-RADIUS = 1
+#: A segment value is looked up if so many different fingerprints share it at most.
+MOST_A_VALUE = 200
 SHINGLE_WORDS = 3
 SEED = 42
 
@@ -90,22 +91,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(run, f"doc_id {kind}, {'sha string, ' * hashed}fp long")
 
 
-def _ball(segment: int) -> list[int]:
-    """Masks that change one bit of a segment, as signed longs."""
-    width = BITS // SEGMENTS
-    return [(1 << b) - (1 << BITS if b == BITS - 1 else 0) for b in range(segment * width, (segment + 1) * width)]
+def _masks(bits: Sequence[int], most: int) -> list[int]:
+    """All choices of at most so many of the bits, as signed longs."""
+    chosen = (sum(1 << b for b in some) for weight in range(most + 1) for some in combinations(bits, weight))
+    return [mask - (1 << BITS if mask >> (BITS - 1) else 0) for mask in chosen]
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(u, v): links that connect all fingerprints `fp` within DISTANCE bits."""
-    masks = [0] + [m for segment in range(SEGMENTS) for m in _ball(segment)]
-    entries = distinct.select("fp", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))).alias("mask")).select(
-        F.col("fp").bitwiseXOR(F.col("mask")).alias("key"), "fp"
+def _exploded(df: DataFrame, masks: list[int], key: str) -> DataFrame:
+    """Every row once a mask, `key` changed by it and the number of changed bits beside."""
+    least = -(1 << BITS - 1)  # has no literal of its own
+    constant = ",".join("bigint('%d')" % m if m == least else f"{m}L" for m in masks)
+    return df.select("*", F.explode(F.expr(f"array({constant})")).alias("mask")).select(
+        *df.columns, F.col(key).bitwiseXOR(F.col("mask")).alias("changed"), F.bit_count("mask").alias("weight")
     )
-    least = F.min("fp").over(Window.partitionBy("key"))
-    met = entries.withColumn("least", least).filter("fp != least")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("least"))) <= DISTANCE
-    return met.filter(near).select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """(u, v): all pairs of different fingerprints `fp` within so many bits, u below v."""
+    width, radius = BITS // segments, distance // segments
+    found = None
+    for segment in range(segments):
+        own = range(segment * width, (segment + 1) * width)
+        others = [b for b in range(BITS) if b not in own]
+        inside = ((1 << width) - 1) << own.start
+        inside -= 1 << BITS if inside >> (BITS - 1) else 0
+        rows = distinct.select("fp", F.col("fp").bitwiseAND(F.lit(inside).cast("long")).alias("value"))
+        full = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_A_VALUE)
+        full = through_table(full.select("value"), "full-values")
+        asked = _exploded(rows.select(F.col("fp").alias("u"), "value"), _masks(own, radius), "value")
+        asked = asked.select("u", "weight", F.col("changed").alias("value"))
+        table = rows.join(full, "value", "left_anti").select("value", F.col("fp").alias("v"))
+        met = asked.join(table, "value").select("u", "v")
+        near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
+        pairs = met.filter((F.col("u") < F.col("v")) & near)
+        # Whole fingerprints at the full values of a ball: the value, and the rest of `u` with changes that are left.
+        rest = asked.join(full, "value", "left_semi").select(
+            "u", F.col("weight").alias("used"), F.col("u").bitwiseAND(F.lit(~inside)).bitwiseOR(F.col("value")).alias("at")
+        )
+        named = _exploded(rest, _masks(others, distance), "at").filter(F.col("used") + F.col("weight") <= distance)
+        named = named.filter(F.col("u") < F.col("changed")).select("u", F.col("changed").alias("v"))
+        exact = named.join(distinct.select(F.col("fp").alias("v")), "v", "left_semi").select("u", "v")
+        found = pairs.unionByName(exact) if found is None else found.unionByName(pairs).unionByName(exact)
+    return found.distinct()
 
 
 def _rooted(docs_fp: DataFrame) -> DataFrame:
@@ -143,6 +170,7 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # A fingerprint has one component, so its first row is found before the join.
     firsts = docs_fp.groupBy("fp").agg(F.min(order).alias("first"))
     firsts = firsts.join(_rooted(docs_fp).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    found = firsts.select(F.struct("first.id", "first.sha").alias("__key"))
-    keyed = docs.withColumn("__key", F.struct(F.col(f"`{id_col}`").alias("id"), _text_hash(text_col).alias("sha")))
-    return one_a_row(keyed.join(found, "__key"), docs.columns)
+    key = free_name(docs, "key")
+    found = firsts.select(F.struct("first.id", "first.sha").alias(key))
+    keyed = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("id"), _text_hash(text_col).alias("sha")))
+    return one_a_row(keyed.join(found, key), key, docs)

@@ -109,22 +109,23 @@ def near_fingerprints(rng, n):
     return found
 
 
-def test_links_lose_no_near_pair(spark):
-    fps = near_fingerprints(random.Random(5), 240)
-    fps += [0, 1, 3, (1 << 64) - 1, (1 << 63) - 1, 1 << 63]
+def as_long(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+@pytest.mark.parametrize("distance, most", [(2, 200), (2, 3), (3, 3)])
+def test_links_lose_no_near_pair(spark, monkeypatch, distance, most):
+    """Also where many fingerprints share a segment, which then is not looked up."""
+    monkeypatch.setattr(simhash, "MOST_A_VALUE", most)
+    rng = random.Random(5)
+    fps = near_fingerprints(rng, 160) + [0, 1, 3, (1 << 64) - 1, (1 << 63) - 1, 1 << 63]
+    fps += [(0xABCDEF01 << 32) ^ (rng.choice([0, 1 << 40]) if i % 3 else 0) ^ (0b1011 << i % 20) for i in range(60)]
+    fps += [0x12345678 ^ (1 << 33 + i % 25) ^ (rng.choice([0, 4]) if i % 2 else 0) for i in range(60)]
     distinct = sorted(set(fps))
-    as_long = lambda v: v - (1 << 64) if v >> 63 else v
     frame = spark.createDataFrame([(as_long(v),) for v in distinct], "fp long")
-    links = simhash.links(frame)
-    assert all(((u ^ v) & (2**64 - 1)).bit_count() <= 2 for u, v in links.collect())
-    root = {r["node"]: r["root"] for r in components.roots(links).collect()}
-    want = brute_components(distinct)
-    got = defaultdict(set)
-    expected = defaultdict(set)
-    for v, w in zip(distinct, want, strict=True):
-        got[root.get(as_long(v), as_long(v))].add(v)
-        expected[w].add(v)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+    got = sorted(map(tuple, simhash.links(frame, distance).collect()))
+    want = [(u, v) for u in distinct for v in distinct if u != v and (u ^ v).bit_count() <= distance]
+    assert got == sorted((as_long(u), as_long(v)) for u, v in want if as_long(u) < as_long(v))
 
 
 def test_components_of_a_long_chain(spark):
