@@ -17,23 +17,42 @@ from stowage.llm.queries import PIECE_MODEL, toxic_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half stay.  Labels train the model, on the documents given."""
+    """Documents that score below one half stay.  Labels train the model, on the documents given.
+
+    Null texts count as empty and are scored like others; every row is judged by itself,
+    so repeated rows stay or go together.  All columns come along.
+    """
     prepared(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return toxicity.kept_rows(docs, toxic_model(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays, null texts being empty ones.
+
+    A null id stays only where its text has no other; of rows that repeat id and text
+    the first in order of all columns.  An empty table stays empty.
+    """
     prepared(spark)
     return exact_dedup.kept_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the row with the smallest id stays, nulls last.
+
+    Texts without words are near copies of each other.  Rows that share an id but not
+    their text are documents of their own; ties go by the text's hash, then by all columns.
+    """
     prepared(spark)
     return simhash.kept_rows(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it, three times at most; texts without words never.
+
+    A null source is a source of its own, last in order.  Rows that share id, source and
+    size are taken as evenly as whole numbers allow.
+    """
     prepared(spark)
     return mixing.mixed_rows(docs)
 
