@@ -30,7 +30,7 @@ def tables(spark, tmp_path):
     copies = [[200 + i, rows[i][1], "de", "s1", 1] for i in range(0, 40, 2)]
     near = [[300 + i, rows[i][1].replace(".", " .").replace(" .", "."), None, None, None] for i in range(0, 20, 5)]
     upper = [[400 + i, rows[i][1].upper(), "en", "s0", 3] for i in range(1, 30, 4)]
-    odd = [[None, "null id " + rows[5][1], "en", None, 1], [None, None, None, None, None], [500, "", "en", "s2", 0], [501, "word " * 30_000, "en", "s2", 1]]
+    odd = [[None, "null id " + rows[5][1], "en", None, 1], [None, None, None, None, None], [500, "", "en", "s2", 0], [501, "word " * 1_500, "en", "s2", 1]]
     everything = rows + copies + near + upper + odd + [list(rows[0])]
     data = [
         (*r, {"k": str(i % 2)}, f"clash {i % 3}", i % 5, [i], f"r{i}") for i, r in enumerate(everything)
