@@ -16,6 +16,7 @@ from stowage.schemas import Limits
 from stowage.sinks import bundle_parts
 from stowage.sources import listing
 from stowage.sources.archive_files import with_archives
+from stowage.streaming import absence_stream
 
 PART = 3
 
@@ -131,3 +132,26 @@ def scanned_digests(spark, sf):
     listed = listing.scan_roots(spark, [_written(spark, sf), "/no/such/folder"], with_content=False)
     checked = inventory.preflight(listing.with_digests(listed), Limits(max_file_bytes=1500))
     return checked.select("relative_path", "size_bytes", "sha256", "preflight")
+
+
+@register(
+    "silent_users",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS follows FROM (SELECT DISTINCT user_id, ts FROM events))
+SELECT user_id, ts AS last_seen, ts + INTERVAL 2 DAY AS due FROM e
+WHERE (follows IS NULL OR follows > ts + INTERVAL 2 DAY) AND ts + INTERVAL 2 DAY < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""",
+)
+def silent_users(spark, sf):
+    """Users of whom nothing came for two days, raised by a stream as its watermark passes them."""
+    root = fresh_folder(spark, "silence")
+    V.table(spark, sf, "events").select("user_id", "ts").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("user_id bigint, ts timestamp").parquet(f"{root}/in")
+    query = (
+        absence_stream.missing(stream, "user_id", 2 * 86_400, "1 hour")
+        .writeStream.format("parquet")
+        .option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("user_id string, last_seen timestamp, due timestamp").parquet(f"{root}/out")
