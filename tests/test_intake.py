@@ -291,17 +291,17 @@ def test_only_the_newest_batch_is_opened(spark, tmp_path):
 
 
 def test_a_batch_reads_the_buckets_of_its_own_bundles(spark, tmp_path, monkeypatch):
-    """Sixteen batches: what one looks into is bounded, every stored bundle it names is found, repeats change nothing."""
+    """Ten batches: what one looks into is bounded, every stored bundle it names is found, repeats change nothing."""
     for name, value in {"MERGE_EVERY": 2, "REWRITE_EVERY": 3, "BUCKET_ROWS": 150}.items():
         monkeypatch.setattr(known, name, value)
     root, index, schema = f"{tmp_path}/receipts", f"{tmp_path}/known", "sender_id string, bundle_id string"
     opened = {}
-    for batch in range(16):
-        for _ in range(2 if batch in (3, 8) else 1):
+    for batch in range(10):
+        for _ in range(2 if batch == 3 else 1):
             asked = [("s", f"{batch // 2}-1"), ("s", f"{max(0, batch - 1)}-2"), ("s", f"{batch}-3"), ("t", "0-1")]
             attempts = spark.createDataFrame(asked, schema)
             found = known.stored_among(attempts, root, index, batch)
-            if batch in (0, 3, 4, 8, 15):
+            if batch in (0, 4, 9):
                 met = sorted(tuple(r) for r in attempts.join(found.distinct(), KEYS, "left_semi").collect())
                 assert met == sorted({k for k in asked if k[0] == "s" and int(k[1].split("-")[0]) < batch})
             files = [f.removeprefix("file:").replace("//", "/") for f in found.inputFiles()]
@@ -311,7 +311,7 @@ def test_a_batch_reads_the_buckets_of_its_own_bundles(spark, tmp_path, monkeypat
             tables.write_batch(spark.createDataFrame(rows_, schema).coalesce(1), root, batch)
             known.merge(spark, root, index, batch)
     states = [known.State.parsed(p.name) for p in (tmp_path / "known").iterdir() if p.name.startswith("state=")]
-    assert len(states) == 2 and max(s.rows for s in states) >= 3200 and max(s.bits for s in states) >= 4
+    assert len(states) == 2 and max(s.rows for s in states) >= 2000 and max(s.bits for s in states) >= 4
     # An attempt looks into one bucket, however many bundles are stored (a repeated batch appends twice).
     assert 150 < max(opened.values()) <= len(asked) * 150 * 1.3, opened
 
