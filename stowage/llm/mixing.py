@@ -45,6 +45,8 @@ MOST_STEPS = 200
 #: A bucket of a cell ranks about so many documents in one task.
 ROWS_A_BUCKET = 200_000
 LEAST_BUCKETS = 16
+#: A file of the solver's state holds about so many sources: every file costs processes and a commit.
+SOURCES_A_FILE = 50_000
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -112,7 +114,8 @@ def solve(cells: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
     )
     # A target at the limit has no finite solution: all rates are at the cap.
     state = state.withColumn("tilt", F.when(F.col("done"), F.col("high")).otherwise(F.col("tilt")))
-    state = through_table(state, "mix-state")
+    files = -(-targets.count() // SOURCES_A_FILE) or 1
+    state = through_table(state.coalesce(files), "mix-state")
     for _ in range(MOST_STEPS):
         if state.filter("NOT done").isEmpty():
             return state.select("source", "tilt", "mean")
@@ -146,7 +149,7 @@ def solve(cells: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
                 F.when(open_, low).otherwise(F.col("low")).alias("low"),
                 F.when(open_, high).otherwise(F.col("high")).alias("high"),
                 F.when(open_, close | still).otherwise(F.lit(True)).alias("done"),
-            ),
+            ).coalesce(files),
             "mix-state",
         )
     raise RuntimeError("the dual did not settle")
@@ -170,45 +173,42 @@ def mix(
         ),
         "mix-sizes",
     )
-    cells = through_table(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
+    # No more files than the rows they count are read in.
+    counted = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    cells = through_table(counted.coalesce(max(1, sizes.rdd.getNumPartitions())), "mix-cells")
     targets = through_table(
         source_targets(
             cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, cap
         ),
         "mix-targets",
     )
-    sized = cells.filter("size > 0")
-    tilts = solve(sized, targets, cap)
+    tilts = solve(cells.filter("size > 0"), targets, cap)
 
-    c, t = sized.alias("c"), tilts.alias("t")
-    rated = c.join(t, F.expr("c.source <=> t.source")).select(
-        "c.source", "size", "n", _rate(F.col("tilt"), F.col("size") / F.col("mean"), cap).alias("rate")
-    )
+    c, t, g = cells.alias("c"), tilts.alias("t"), targets.alias("g")
+    rate = _rate(F.col("tilt"), F.col("size") / F.col("mean"), cap)
     so_far = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    rated = rated.select(
-        "source",
-        "size",
-        "rate",
-        F.coalesce(F.sum(F.col("n") * F.col("rate")).over(so_far), F.lit(0.0)).alias("sum_before"),
-        F.greatest(F.lit(LEAST_BUCKETS), F.ceil(F.col("n") / ROWS_A_BUCKET)).cast("long").alias("buckets"),
-    )
-    d, r, g = sizes.alias("d"), rated.alias("r"), targets.alias("g")
-    placed = (
-        d.join(g, F.expr("d.source <=> g.source"))
-        .join(r, F.expr("d.source <=> r.source AND d.size = r.size"), "left")
+    rated = (
+        c.join(g, F.expr("c.source <=> g.source"))
+        .join(t, F.expr("c.source <=> t.source"), "left")
+        .select("c.source", "size", "n", "source_size", "target", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))
         .select(
-            "d.doc_id", "d.source", "d.size", "source_size", "target", "rate", "sum_before",
-            F.coalesce(F.pmod(F.xxhash64("d.doc_id"), "buckets"), F.lit(0)).alias("bucket"),
+            "source", "size", "source_size", "target", "rate",
+            F.coalesce(F.sum(F.col("n") * F.col("rate")).over(so_far), F.lit(0.0)).alias("sum_before"),
+            F.greatest(F.lit(LEAST_BUCKETS), F.ceil(F.col("n") / ROWS_A_BUCKET)).cast("long").alias("buckets"),
         )
     )
-    placed = through_table(placed, "mix-placed")
+    d, r = sizes.alias("d"), rated.alias("r")
+    placed = d.join(r, F.expr("d.source <=> r.source AND d.size = r.size")).select(
+        "d.doc_id", "d.source", "d.size", "source_size", "target", "rate", "sum_before",
+        F.pmod(F.xxhash64("d.doc_id"), "buckets").alias("bucket"),
+    )
     in_bucket = Window.partitionBy("source", "size", "bucket").orderBy("doc_id")
     earlier = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     starts = starts.select(
         "source", "size", "bucket", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("rows_before")
     )
-    p = placed.filter("size > 0").withColumn("place", F.row_number().over(in_bucket)).alias("p")
+    p = placed.withColumn("place", F.row_number().over(in_bucket)).alias("p")
     b = starts.alias("b")
     place = F.col("place") + F.col("rows_before")
     # A half keeps the running total centred on that of the rates.
@@ -216,11 +216,11 @@ def mix(
     before = F.floor(F.col("sum_before") + (place - 1) * F.col("rate") + 0.5)
     copies = F.least(F.lit(cap), F.greatest(F.lit(0), upto - before)).cast("int")
     columns = ["doc_id", "source", "size", "source_size", "target"]
-    dealt = p.join(b, F.expr("p.source <=> b.source AND p.size = b.size AND p.bucket = b.bucket")).select(
-        *(F.col(f"p.{x}").alias(x) for x in columns), "rate", copies.alias("copies")
+    return p.join(b, F.expr("p.source <=> b.source AND p.size = b.size AND p.bucket = b.bucket")).select(
+        *(F.col(f"p.{x}").alias(x) for x in ("doc_id", "source", "size", "source_size", "target", "rate")),
+        copies.alias("copies"),
+        (F.col("p.size") * copies).alias("taken"),
     )
-    wordless = placed.filter("size = 0").select(*columns, F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
-    return dealt.union(wordless).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mixed_rows(

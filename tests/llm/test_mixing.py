@@ -102,3 +102,30 @@ def test_mix_odd(odd_docs, no_docs):
 def test_one_source_keeps_everything(spark):
     docs = spark.createDataFrame([(i, "w " * (i + 1), "s") for i in range(50)], "doc_id long, text string, source string")
     assert all(r["copies"] == 1 for r in mixing.mix(docs).collect())
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """One row a source is no reason for a file a source: every file costs its executor child processes."""
+    docs, rows = corpus(spark)
+    own, files, conf = mixing.through_table, defaultdict(list), {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def counted(df, label):
+        written = own(df, label)
+        files[label].append(len(written.inputFiles()))
+        return written
+
+    monkeypatch.setattr(mixing, "through_table", counted)
+    monkeypatch.setattr(mixing, "prepared", lambda session: session)
+    before = {key: spark.conf.get(key) for key in conf}
+    want = sorted(mixing.mix(docs.coalesce(2)).select("doc_id", "copies", "taken").collect())
+    files.clear()
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        found = sorted(mixing.mix(docs.coalesce(2)).select("doc_id", "copies", "taken").collect())
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert found == want and len(found) == len(rows)
+    assert set(files["mix-state"]) == {1} and files["mix-cells"][0] <= 2 >= files["mix-sizes"][0]
+    assert sum(map(sum, files.values())) <= 6 + len(files["mix-state"])
