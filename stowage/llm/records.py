@@ -20,11 +20,11 @@ Files hold ranges of ids, in order.  A task writes its own file under a name of
 its own; the manifest, a table, names the files of the tasks that succeeded.
 What a lost or repeated task left behind is named nowhere.
 
-Splitting words: the vocabulary's rules drop white space and never match across
-it, so the words of a text are encoded independently, and a task remembers the
-tokens of words.  A word that is new is mostly letters with marks after them, which the
-rules split as well; its lower-cased letters have often been met in another word.
-Tokenizers of other rules are given whole texts.
+Splitting words: in a text of Latin-1 characters nothing composes and letters lower-case
+one by one, so one pattern finds the pieces that the vocabulary's rules split, and a
+task remembers their tokens.  In other texts the rules still drop white space and never
+match across it: words are encoded independently and remembered, those of Latin-1
+characters by their pieces.  Tokenizers of other rules are given whole texts.
 
 Defined cases: a null text counts as empty; its sequence is the end token alone.
 Null ids come first.  Rows that share an id follow each other by a hash of their
@@ -60,13 +60,16 @@ WORDWISE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORD = re.compile(r"[^ \n]+")
 #: What str.split takes for white space and the vocabulary's rules do not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
-#: Letters that lower-case one by one and compose with nothing in their word, then ASCII marks but the apostrophe.
-_STEM = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: The pieces of WORDWISE_SPLIT in lower-cased text of Latin-1 characters; endings before marks, letters first for speed.
+_LATIN = re.compile(
+    "[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)"
+    "|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+)
 _LENGTH, _CHECK, _HEAD = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<q?B")
 #: Letters of two bytes as the vocabulary writes bytes that are no printed character: shifted out of their way.
 _BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHIFTED = dict(zip([b for b in range(256) if b not in _BYTES], range(256, 512), strict=False))
-_AS_BYTES = {c: "".join(chr(_SHIFTED.get(b, b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+_AS_BYTES = {c: "".join(chr(_SHIFTED.get(b, b)) for b in chr(c).encode()) for c in range(0x100)}
 MANIFEST = "part int, file string, index string, records long, tokens long"
 
 
@@ -123,9 +126,13 @@ class WordEncoder:
             and splits[0]["behavior"] == "Removed"
             and splits[0]["invert"]
             and not splits[1]["add_prefix_space"]
-            and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
+            and not any(
+                re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["normalized"] for t in rules["added_tokens"]
+            )
         )
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.added = [t["content"] for t in rules["added_tokens"]]
+        self.encoded = [self._bytes([i]) for i in range(self.tokenizer.get_vocab_size())] if self.by_word else []
         self.words, self.pieces = Memory(MEMORY), Memory(PIECES)
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -135,23 +142,41 @@ class WordEncoder:
         """The tokens of each text as little-endian integers."""
         if not self.by_word:
             return [self._bytes(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        plain = [self._is_latin(t) for t in texts]
+        found = [_LATIN.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p]
+        known = self.pieces.with_all(set().union(*found), self._pieces)
+        latin = iter([b"".join(map(known.__getitem__, pieces)) for pieces in found])
+        rest = [t for t, p in zip(texts, plain, strict=True) if not p]
+        others = iter(self._in_words(rest) if rest else ())
+        return [next(latin) if p else next(others) for p in plain]
+
+    def _is_latin(self, text: str) -> bool:
+        """Latin-1 characters alone, and no token that is looked for before all rules."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return not any(t in text for t in self.added)
+
+    def _in_words(self, texts: list[str]) -> list[bytes]:
         words = [_WORD.findall(t) if any(c in t for c in _NOT_SPACE) else t.split() for t in texts]
         known = self.words.with_all(set().union(*words), self._words)
         return [b"".join(map(known.__getitem__, found)) for found in words]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Words in parts where the rules split them for certain: lower-cased letters, and marks after them."""
-        found = [_STEM.fullmatch(w) for w in words]
-        parts = [None if m is None else (m[1].lower(), m[2]) for m in found]
-        pieces = self.pieces.with_all({p for both in parts if both for p in both}, self._pieces)
-        others = [w for w, both in zip(words, parts, strict=True) if both is None]
+        """Words of Latin-1 characters by their pieces, the others as the tokenizer encodes them."""
+        parts = [_LATIN.findall(w.lower()) if self._is_latin(w) else None for w in words]
+        pieces = self.pieces.with_all(set().union(*filter(None, parts)), self._pieces)
+        others = [w for w, found in zip(words, parts, strict=True) if found is None]
         whole = iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
-        return [self._bytes(next(whole).ids) if both is None else pieces[both[0]] + pieces[both[1]] for both in parts]
+        return [self._bytes(next(whole).ids) if found is None else b"".join(map(pieces.__getitem__, found)) for found in parts]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """What no rule changes or splits goes to the vocabulary's merges at once."""
         merge = self.tokenizer.model.tokenize
-        return [self._bytes([token.id for token in merge(p.translate(_AS_BYTES))]) for p in pieces]
+        shown = [p if p.isascii() and p.isprintable() else p.translate(_AS_BYTES) for p in pieces]
+        return [b"".join([self.encoded[token.id] for token in merge(p)]) for p in shown]
 
 
 class Memory:

@@ -96,6 +96,43 @@ def test_words_equal_whole_texts():
     assert np.frombuffer(byte_level.encode(["a  b"])[0], "<u2").tolist() == byte_level.tokenizer.encode("a  b").ids
 
 
+def test_latin_texts_need_no_whole_encoding():
+    """All characters up to U+00FF, pieces found at once: no word is given to the slower whole encoder."""
+    own, library, rng = records.WordEncoder(WORDS), Tokenizer.from_file(WORDS), random.Random(7)
+    letters = [chr(c) for c in range(0x100)]
+    often = ["'s", "'LL", "'", "Don't", "(a", "b)c", "3rd", "É", "ß", " ", "\n", "<|", "|>"]
+    texts = letters + [a + c + b for c in letters for a in ("a", "É", "7", ".", "'", " ") for b in ("b", "s", " ", "!", "2")]
+    texts += ["".join(rng.choices(letters + often * 12, k=rng.randint(1, 24))) for _ in range(6000)] + ["Ab" * 40_000]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+    class MergesOnly:
+        model = own.tokenizer.model
+
+    own.tokenizer = MergesOnly()
+    for text, tokens, ids in zip(texts, own.encode(texts), want, strict=True):
+        assert np.frombuffer(tokens, "<u2").tolist() == ids, repr(text)
+    own = records.WordEncoder(WORDS)  # beside texts of other characters and added tokens
+    for text in ("é<|endoftext|>é", "eé\u0301", "É漢", "'S"):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert [np.frombuffer(b, "<u2").tolist() for b in own.encode([text, "É's", text])][::2] == [want, want]
+
+
+def test_only_words_beyond_latin_are_encoded_whole():
+    own, library, given = records.WordEncoder(WORDS), Tokenizer.from_file(WORDS), []
+    text = "“Don't DON'T (a3)b 3rd café É!’ \x1c \x85 naïve… x"
+
+    class Noted:
+        model = own.tokenizer.model
+
+        def encode_batch_fast(self, words, **how):
+            given.extend(words)
+            return library.encode_batch_fast(words, **how)
+
+    own.tokenizer = Noted()
+    assert np.frombuffer(own.encode([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(given) == sorted(["“Don't", "É!’", "naïve…"])
+
+
 def brute_records(rows):
     library = Tokenizer.from_file(WORDS)
     start, found = 0, []
