@@ -121,7 +121,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
         asked = _exploded(rows.select(F.col("fp").alias("u"), "value"), _masks(own, radius), "value")
         asked = asked.select("u", "weight", F.col("changed").alias("value"))
         table = rows.join(full, "value", "left_anti").select("value", F.col("fp").alias("v"))
-        met = asked.join(table, "value").select("u", "v")
+        # Spark sizes an exploded frame by its input, many times too low, and would broadcast it: these joins are merges.
+        met = asked.hint("merge").join(table, "value").select("u", "v")
         near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
         pairs = met.filter((F.col("u") < F.col("v")) & near)
         # Whole fingerprints at the full values of a ball: the value, and the rest of `u` with changes that are left.
@@ -130,7 +131,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
         )
         named = _exploded(rest, _masks(others, distance), "at").filter(F.col("used") + F.col("weight") <= distance)
         named = named.filter(F.col("u") < F.col("changed")).select("u", F.col("changed").alias("v"))
-        exact = named.join(distinct.select(F.col("fp").alias("v")), "v", "left_semi").select("u", "v")
+        exact = named.hint("merge").join(distinct.select(F.col("fp").alias("v")), "v", "left_semi").select("u", "v")
         found = pairs.unionByName(exact) if found is None else found.unionByName(pairs).unionByName(exact)
     return found.distinct()
 
@@ -155,7 +156,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs_fp = through_table(fingerprints(docs, id_col, text_col), "fingerprints")
     rooted = _rooted(docs_fp)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root")
-    return docs_fp.join(named.select("fp", "n", "component_id"), "fp").select(
+    # A table of repeated fingerprints is a small file of many rows, which Spark would broadcast by the file's size.
+    return docs_fp.hint("merge").join(named.select("fp", "n", "component_id"), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

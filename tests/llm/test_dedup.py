@@ -5,11 +5,13 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from frames import broadcast_parts
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stowage.llm import components, exact_dedup, simhash
 from stowage.llm import quotient_filter as qf
+from stowage.session import through_table
 
 
 @settings(max_examples=60, deadline=None)
@@ -128,6 +130,21 @@ def test_links_lose_no_near_pair(spark, monkeypatch, distance, most):
     assert got == sorted((as_long(u), as_long(v)) for u, v in want if as_long(u) < as_long(v))
 
 
+def test_exploded_rows_are_not_broadcast(spark):
+    """Nor the fingerprints they are looked up in: Spark takes an exploded frame for as small as its input."""
+    stored = through_table(spark.range(1000).selectExpr("xxhash64(id) AS fp"), "test-fingerprints")
+    found = simhash.links(stored)
+    assert "Generate explode" in found._jdf.queryExecution().executedPlan().toString()
+    assert not any("Generate explode" in part or "FileScan parquet [fp" in part for part in broadcast_parts(found))
+
+
+def test_rows_of_all_documents_are_not_broadcast(spark):
+    """Their table is a small file of many rows where fingerprints repeat."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text of document ', id % 3) AS text")
+    parts = broadcast_parts(simhash.near_duplicates(docs))
+    assert not any("FileScan parquet [doc_id" in part for part in parts)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(0, 400).selectExpr("id AS u", "id + 1 AS v").union(spark.range(1000, 1002).selectExpr("id AS u", "id AS v"))
     found = {r["node"]: r["root"] for r in components.roots(links).collect()}
