@@ -198,7 +198,8 @@ def mix(
         )
     )
     d, r = sizes.alias("d"), rated.alias("r")
-    placed = d.join(r, F.expr("d.source <=> r.source AND d.size = r.size")).select(
+    # The documents' sizes are a small file of many rows, which Spark would broadcast by the file's size.
+    placed = d.hint("merge").join(r, F.expr("d.source <=> r.source AND d.size = r.size")).select(
         "d.doc_id", "d.source", "d.size", "source_size", "target", "rate", "sum_before",
         F.pmod(F.xxhash64("d.doc_id"), "buckets").alias("bucket"),
     )

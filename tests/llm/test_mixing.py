@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from frames import broadcast_parts
 
 from stowage.llm import mixing
 
@@ -129,3 +130,9 @@ def test_small_tables_are_few_files(spark, monkeypatch):
     assert found == want and len(found) == len(rows)
     assert set(files["mix-state"]) == {1} and files["mix-cells"][0] <= 2 >= files["mix-sizes"][0]
     assert sum(map(sum, files.values())) <= 6 + len(files["mix-state"])
+
+
+def test_rows_of_all_documents_are_not_broadcast(spark):
+    """Their table is a small file of many rows."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('word ', CAST(id % 9 AS INT)) AS text", "'s' AS source")
+    assert not any("FileScan parquet [doc_id" in part for part in broadcast_parts(mixing.mix(docs)))
