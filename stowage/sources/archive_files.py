@@ -5,7 +5,8 @@
 A file is read as a stream, so memory stays within one member's content.  What lies
 beside a file as `<name>.frames` tells where independent streams start inside it (see
 `sinks.bundle_parts`); then several tasks share one archive.  Without it a compressed
-file has no place to start but its beginning, and one task reads it.
+file has no place to start but its beginning, and one task reads it.  Small archives
+share a task: there are as many tasks as there is to read, not as there are files.
 
 Filters on the member's name, type and size and on the file's path are pushed into the
 reader: content of other members is passed over without being kept, and files of other
@@ -15,8 +16,9 @@ paths are not opened.
 from __future__ import annotations
 
 import gzip
+import os
 import tarfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,8 +47,10 @@ from stowage.sources.store import Range, open_store
 
 FRAMES = ".frames"
 SUFFIXES = {".tar.gz": "gzip", ".tgz": "gzip", ".tar.zst": "zstd"}
-#: Frames next to each other are read by one task until they hold so many bytes.
+#: Frames next to each other, and small archives, are read by one task until they hold so many bytes.
 TASK_BYTES = 64 << 20
+#: To open an archive costs as much as to read so many bytes, at a share of a task.
+OPEN_SHARE = 256
 
 MEMBERS = (
     "path string, member_idx bigint, name string, member_type string, size_bytes bigint, content binary, error string"
@@ -120,15 +124,38 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
-@dataclass
-class Stretch(InputPartition):
+@dataclass(frozen=True)
+class Stretch:
     path: str
     offset: int
     length: int | None
     first: int
 
-    def __post_init__(self):
+
+class Task(InputPartition):
+    """Stretches that one task reads after each other; what their paths begin with is held once."""
+
+    def __init__(self, stretches: list[Stretch]) -> None:
         super().__init__(None)
+        self.start = os.path.commonprefix([s.path for s in stretches])
+        self.rest = [(s.path[len(self.start) :], s.offset, s.length, s.first) for s in stretches]
+
+    def stretches(self) -> Iterator[Stretch]:
+        return (Stretch(self.start + rest, *where) for rest, *where in self.rest)
+
+
+def tasks_of(stretches: Iterable[Stretch]) -> Iterator[Task]:
+    """Stretches in order, together until they would hold more than TASK_BYTES."""
+    held, size = [], 0
+    for stretch in stretches:
+        cost = (stretch.length or 0) + TASK_BYTES // OPEN_SHARE
+        if held and size + cost > TASK_BYTES:
+            yield Task(held)
+            held, size = [], 0
+        held.append(stretch)
+        size += cost
+    if held:
+        yield Task(held)
 
 
 _TESTS = {
@@ -173,47 +200,52 @@ class ArchiveReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         if info.type == fs.FileType.File:
-            found = [info]
+            every = [info, store.get_file_info(path + FRAMES)]
         else:
             every = store.get_file_info(fs.FileSelector(path, recursive=True))
-            found = sorted((f for f in every if f.type == fs.FileType.File), key=lambda f: f.path)
-        sizes = {f.path: f.size for f in found}
-        stretches = []
-        for name, size in sizes.items():
+        sizes = {f.path: f.size for f in every if f.type == fs.FileType.File}
+        del every  # of many small archives the list is the largest thing here
+        return list(tasks_of(self._stretches(store, sizes))) or [Task([])]
+
+    def _stretches(self, store: fs.FileSystem, sizes: dict[str, int]) -> Iterator[Stretch]:
+        for name in sorted(sizes):
+            size = sizes[name]
             if codec_of(name) is None or not self._passes("path", name):
                 continue
-            side = store.get_file_info(name + FRAMES)
-            if side.type != fs.FileType.File:
-                stretches.append(Stretch(name, 0, size, 0))
+            # Frames are only looked at where they can cut a file.
+            if name + FRAMES not in sizes or size is None or 0 < size < TASK_BYTES:
+                yield Stretch(name, 0, size, 0)
                 continue
             with store.open_input_stream(name + FRAMES) as opened:
                 frames = np.frombuffer(opened.read(), "<i8").reshape(-1, 3).tolist()
             start, first, members = 0, 0, 0
             for offset, length, n in frames:
                 if offset + length - start >= TASK_BYTES:
-                    stretches.append(Stretch(name, start, offset + length - start, first))
+                    yield Stretch(name, start, offset + length - start, first)
                     start, first = offset + length, members + n
                 members += n
             if start < size:
-                stretches.append(Stretch(name, start, size - start, first))
-        return stretches or [Stretch("", 0, 0, 0)]
+                yield Stretch(name, start, size - start, first)
 
-    def read(self, partition: Stretch):
-        if not partition.path:
-            return
+    def read(self, partition: Task):
         store, _ = open_store(self.path)
         member = ("name", "member_type", "size_bytes")
 
         def wanted(*values) -> bool:
             return all(self._passes(column, value) for column, value in zip(member, values, strict=True))
 
-        with store.open_input_file(partition.path) as opened:
-            stretch = Range(opened, partition.offset, partition.length)
-            rows = stream_members(
-                stretch, codec_of(partition.path), partition.first, wanted, self.max_content_bytes, self.content
-            )
-            named = ((partition.path, *row) for row in rows if row[-1] is None or not (self.tests["name"] or self.tests["member_type"]))
-            yield from batches_of(named, _ARROW, content_at=5)
+        def rows() -> Iterator[tuple]:
+            for at in partition.stretches():
+                with store.open_input_file(at.path) as opened:
+                    stretch = Range(opened, at.offset, at.length)
+                    found = stream_members(
+                        stretch, codec_of(at.path), at.first, wanted, self.max_content_bytes, self.content
+                    )
+                    for row in found:
+                        if row[-1] is None or not (self.tests["name"] or self.tests["member_type"]):
+                            yield (at.path, *row)
+
+        yield from batches_of(rows(), _ARROW, content_at=5)
 
 
 class ArchiveMembers(DataSource):

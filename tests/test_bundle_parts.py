@@ -112,6 +112,30 @@ def test_foreign_and_damaged_files(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_small_archives_share_a_task(spark, tmp_path):
+    """As many tasks as there is to read, not as there are files; damage in one ends that one."""
+    for i in range(600):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for k in range(i % 3):
+                info = tarfile.TarInfo(f"{k}.log")
+                info.size = 4
+                tar.addfile(info, io.BytesIO(b"%04d" % i))
+        whole = gzip.compress(out.getvalue())
+        folder = tmp_path / "a" / ("x" if i % 2 else "longer")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.tar.gz").write_bytes(whole[:30] if i == 301 else whole)
+    (tmp_path / "a" / "longer" / "302.tar.gz.frames").write_bytes(b"")  # nothing is cut there
+    assert 2 <= len(ArchiveReader({"path": f"{tmp_path}/a"}).partitions()) <= 4
+    found = with_archives(spark).read.format("archive_members").load(f"{tmp_path}/a")
+    assert found.rdd.getNumPartitions() <= 4
+    got = [(r["path"].split("/")[-1], r["member_idx"], r["name"], bytes(r["content"])) for r in found.filter("error IS NULL").collect()]
+    assert sorted(got) == sorted((f"{i}.tar.gz", k, f"{k}.log", b"%04d" % i) for i in range(600) if i != 301 for k in range(i % 3))
+    assert [r["path"].split("/")[-1] for r in found.filter("error IS NOT NULL").collect()] == ["301.tar.gz"]
+    alone = with_archives(spark).read.format("archive_members").load(f"{tmp_path}/a/x/5.tar.gz")
+    assert alone.count() == 2
+
+
 def test_manifest_chunks_are_the_canonical_text(spark):
     data = [
         (s, b, i, f"{i}\x1f\\é\".log", hashlib.sha256(b"%d" % i).hexdigest(), i, 1776586264.0 + i)
