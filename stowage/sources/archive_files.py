@@ -43,7 +43,7 @@ from pyspark.sql.types import StructType
 
 from stowage.session import tune
 from stowage.sources.archives import BATCH_BYTES, BATCH_ROWS, kind_of
-from stowage.sources.store import Range, open_store
+from stowage.sources.store import Range, files_below, open_store
 
 FRAMES = ".frames"
 SUFFIXES = {".tar.gz": "gzip", ".tgz": "gzip", ".tar.zst": "zstd"}
@@ -199,21 +199,15 @@ class ArchiveReader(DataSourceReader):
         info = store.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        if info.type == fs.FileType.File:
-            every = [info, store.get_file_info(path + FRAMES)]
-        else:
-            every = store.get_file_info(fs.FileSelector(path, recursive=True))
-        sizes = {f.path: f.size for f in every if f.type == fs.FileType.File}
-        del every  # of many small archives the list is the largest thing here
-        return list(tasks_of(self._stretches(store, sizes))) or [Task([])]
-
-    def _stretches(self, store: fs.FileSystem, sizes: dict[str, int]) -> Iterator[Stretch]:
-        for name in sorted(sizes):
-            size = sizes[name]
-            if codec_of(name) is None or not self._passes("path", name):
-                continue
-            # Frames are only looked at where they can cut a file.
-            if name + FRAMES not in sizes or size is None or 0 < size < TASK_BYTES:
+        every = [(path, info.size)] if info.type == fs.FileType.File else files_below(store, path)
+        found = [(name, size) for name, size in every if codec_of(name) is not None and self._passes("path", name)]
+        found.sort()
+        return list(tasks_of(self._stretches(store, found))) or [Task([])]
+
+    def _stretches(self, store: fs.FileSystem, found: list[tuple[str, int | None]]) -> Iterator[Stretch]:
+        for name, size in found:
+            # Frames are only looked for where they can cut a file.
+            if size is None or 0 < size < TASK_BYTES or store.get_file_info(name + FRAMES).type != fs.FileType.File:
                 yield Stretch(name, 0, size, 0)
                 continue
             with store.open_input_stream(name + FRAMES) as opened:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -18,6 +19,25 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def files_below(store: fs.FileSystem, path: str) -> Iterator[tuple[str, int | None]]:
+    """(path, size) of all files below a folder, in no order; on a mount they are never held all at once."""
+    if not isinstance(store, fs.LocalFileSystem):
+        every = store.get_file_info(fs.FileSelector(path, recursive=True))
+        while every:
+            file = every.pop()
+            if file.type == fs.FileType.File:
+                yield file.path, file.size
+        return
+    folders = [path]
+    while folders:
+        with os.scandir(folders.pop()) as entries:
+            for entry in entries:
+                if entry.is_dir():
+                    folders.append(entry.path)
+                elif entry.is_file():
+                    yield entry.path, entry.stat().st_size
+
+
 class Range:
     """A stretch of an open file as a stream of its own."""
 

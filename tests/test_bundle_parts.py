@@ -5,12 +5,14 @@ import tarfile
 
 import pytest
 from frames import rows
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from stowage.functions import digests
 from stowage.operators import manifest, validate
 from stowage.sinks import bundle_parts
 from stowage.sources.archive_files import ArchiveReader, with_archives
+from stowage.sources.store import files_below
 
 SCHEMA = "sender_id string, bundle_id string, member_idx long, relative_path string, content binary"
 KEYS = list(validate.BUNDLE)
@@ -136,6 +138,22 @@ def test_small_archives_share_a_task(spark, tmp_path):
     assert alone.count() == 2
 
 
+def test_files_are_listed_as_the_store_lists_them(tmp_path):
+    (tmp_path / "a" / ".b").mkdir(parents=True)
+    (tmp_path / "o").mkdir()
+    for at, name in enumerate(("a/x.tgz", "a/.b/é y.tgz", "a/.hidden", "o/z.tgz")):
+        (tmp_path / name).write_bytes(b"." * at)
+    (tmp_path / "a" / "linked").symlink_to(tmp_path / "o")
+    (tmp_path / "a" / "link.tgz").symlink_to(tmp_path / "a" / "x.tgz")
+    (tmp_path / "a" / "gone.tgz").symlink_to("/no/such")
+    store = fs.LocalFileSystem()
+    want = store.get_file_info(fs.FileSelector(f"{tmp_path}/a", recursive=True))
+    want = sorted((f.path, f.size) for f in want if f.type == fs.FileType.File)
+    assert len(want) == 5 and sorted(files_below(store, f"{tmp_path}/a")) == want
+    below = [(f"{tmp_path}/{p}", n) for p, n in files_below(fs.SubTreeFileSystem(str(tmp_path), store), "a")]
+    assert sorted(below) == want
+
+
 def test_manifest_chunks_are_the_canonical_text(spark):
     data = [
         (s, b, i, f"{i}\x1f\\é\".log", hashlib.sha256(b"%d" % i).hexdigest(), i, 1776586264.0 + i)
